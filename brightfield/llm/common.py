@@ -92,3 +92,28 @@ def struct_type(ddl: str) -> T.StructType:
 
 def struct_of(df: DataFrame, names: list[str]) -> T.StructType:
     return T.StructType([df.schema[n] for n in names])
+
+
+#: Boundary values in one group of the two-step search below.
+BOUNDS_STEP = 64
+
+
+def id_bounds(df: DataFrame, column: str, buckets: int) -> list:
+    """At most ``buckets`` - 1 ascending values that cut the column into ranges of about as many rows each."""
+    if buckets < 2:
+        return []
+    cuts = [k / buckets for k in range(1, buckets)]
+    found = df.agg(F.percentile_approx(column, cuts, max(10_000, 20 * buckets)).alias("cuts")).first()["cuts"]
+    return sorted(set(found or []))
+
+
+def bucket_of(column: str, bounds: list) -> Column:
+    """How many bounds a value reaches: the number of its range. Nulls belong to the first. Depends on the value alone."""
+    if not bounds:
+        return F.lit(0)
+    lists = [bounds[i : i + BOUNDS_STEP] for i in range(0, len(bounds), BOUNDS_STEP)]
+    value = F.coalesce(F.col(column), F.lit(bounds[0] - 1))
+    reached = lambda values: F.size(F.filter(values, lambda b: b <= value))
+    group = F.greatest(reached(F.array(*[F.lit(x[0]) for x in lists])), F.lit(1))
+    within = F.element_at(F.array(*[F.array(*[F.lit(b) for b in x]) for x in lists]), group)
+    return ((group - 1) * BOUNDS_STEP + reached(within)).cast("int")
