@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightfield.llm import decontamination, fingerprints, near_dedup, packing, pii, token_files
+from brightfield.llm import decontamination, fingerprints, near_dedup, packing, pii, quality, token_files
 from brightfield.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_decontamination": op2_decontamination,
         "op3_pii": op3_pii,
+        "op4_quality": op4_quality,
         "op5_token_files": op5_token_files,
         "op6_packing": op6_packing,
         "op8_near_dedup": op8_near_dedup,
