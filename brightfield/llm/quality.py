@@ -85,7 +85,9 @@ class QualityModel:
             return np.zeros(0)
         if not len(self.weights):
             return np.full(len(texts), 0.5)
-        return np.clip(np.interp(self.raw(np.stack([statistics(t) for t in texts])), *self.knots), 0, 1)
+        raw = self.raw(np.stack([statistics(t) for t in texts]))
+        # A thousandth of the score keeps the order of texts inside a level of the isotonic fit.
+        return 0.999 * np.clip(np.interp(raw, *self.knots), 0, 1) + 0.001 / (1 + np.exp(-4 * (np.clip(raw, -5, 5) - 0.5)))
 
 
 def features(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
