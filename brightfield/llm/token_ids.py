@@ -1,24 +1,25 @@
 """Encoding texts with a public word-end BPE tokenizer, piece by piece through a bounded cache.
 
 The tokenizer's pre-tokenizer cuts a text into pieces that are encoded apart, so the ids of a text are those of its pieces in
-turn. A worker remembers pieces; the library encodes the unseen ones together, and the ids that end a word part them again.
+turn. A worker remembers pieces; the library encodes the unseen ones together, and the ids that end a piece part them again.
 A text with characters outside a plain range, where Python's classes may differ from the library's, goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker remembers; the cache is emptied when full.
-CACHE_PIECES = 400_000
-#: Longer pieces are encoded but not remembered.
-CACHE_PIECE_CHARS = 64
+#: Pieces that a worker remembers; the cache is emptied when full. Pieces longer than LONG are not remembered.
+PIECES, LONG = 700_000, 64
+CHARS_AT_ONCE = 1_000_000
 #: Unseen pieces that the library gets as one text.
-JOINED = 4_000
+JOINED = 500
 TOKENIZER = "word_bpe_49k.json"
 
 #: ASCII and Latin-1 without the four control characters that are white space to Python alone, and general punctuation.
@@ -42,36 +43,47 @@ class Encoder:
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.cache: dict[str, bytes] = {}
-
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        new = {}
-        for i in range(0, len(pieces), JOINED):
-            some = pieces[i : i + JOINED]
-            ids = self._library(" ".join(some))
+        self.pieces: dict[str, bytes] = {}
+        plain = json.loads(self.tokenizer.to_str())
+        plain["normalizer"] = None  # pieces are normal already
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        for some, made in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
                 raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
-                new.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])], strict=False))
+                self.pieces.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
             else:
-                new.update((p, self._library(p).tobytes()) for p in some)
-        return new
+                self.pieces.update((p, self._library(p)) for p in some)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cache = self.cache
+        """The ids of each text as little-endian unsigned 32-bit integers; a few texts at a time, to hold few pieces at once."""
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size >= CHARS_AT_ONCE:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [None if _BEYOND.search(t) else _PIECE.findall(t.lower()) for t in texts]
-        unseen = list({p for x in split if x for p in x if p not in cache})
-        cache.update(self._learn(unseen))
-        out = [self._library(t).tobytes() if x is None else b"".join([cache[p] for p in x]) for t, x in zip(texts, split, strict=True)]
+        unseen = list(set(chain.from_iterable(x for x in split if x)).difference(self.pieces))
+        self._learn(unseen)
+        known = self.pieces.__getitem__
+        out = [self._library(t) if x is None else b"".join(map(known, x)) for t, x in zip(texts, split, strict=True)]
         for p in unseen:
-            if len(p) > CACHE_PIECE_CHARS:
-                del cache[p]
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
+            if len(p) > LONG:
+                del self.pieces[p]
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
         return out
 
 
