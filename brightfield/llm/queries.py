@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightfield.llm import decontamination, fingerprints, near_dedup, packing, pii, quality, token_files
+from brightfield.llm import decontamination, fingerprints, near_dedup, packing, pii, quality, token_files, warc
 from brightfield.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_components(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": op5_token_files,
         "op6_packing": op6_packing,
         "op8_near_dedup": op8_near_dedup,
+        "op9_warc": op9_warc,
     }
 
 
@@ -78,4 +83,11 @@ edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM doc UNION SELECT e.x, reach.r FROM reach JOIN edge e ON e.y = reach.doc_id)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
 FROM doc d LEFT JOIN size s USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)""",
+        "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages WHERE page_id IS NOT NULL)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(sha1(body), 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS INT), 1) FOR i IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p""",
     }
