@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightfield.llm import decontamination, fingerprints, near_dedup, packing, pii, quality, token_files, warc
+from brightfield.llm import decontamination, fingerprints, html_text, near_dedup, packing, pii, quality, token_files, warc
 from brightfield.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_components(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_token_files": op5_token_files,
         "op6_packing": op6_packing,
+        "op7_html_text": op7_html_text,
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
     }
