@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightfield.llm import decontamination, fingerprints, html_text, near_dedup, packing, pii, quality, token_files, warc
+from brightfield.llm import decontamination, fingerprints, html_text, near_dedup, packing, pii, quality, token_files, toxicity, warc
 from brightfield.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_text": op7_html_text,
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
+        "op10_toxicity": op10_toxicity,
     }
 
 
