@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from brightfield.plans import search  # noqa: F401
+from brightfield.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "e4_city_radius_search"
 
-FLAGSHIP = ""
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
