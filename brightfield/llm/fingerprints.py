@@ -1,10 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text's paragraphs are its lines, cut into a short head and longer pieces. Every distinct piece becomes a 64-bit key: a hash of
-the piece whose low bits hold its length. A sketch has three tables of ten cells; a key is added to one cell of each, where keys
-are counted and XORed, and their check hashes XORed. Sketches subtract cell by cell: what two texts share cancels out. A cell
-left with one key gives it up; peeling such cells recovers the differing keys of either side. When that fails, both texts are
-sketched again with four times as many blocks of thirty cells (a block is chosen by the key), until it works.
+A text's paragraphs are its lines; long lines are cut, and the beginning of a text is cut finer, so that short texts have several
+pieces too. Every distinct piece becomes a 64-bit key: a hash of the piece whose low bits hold its length. A sketch has three
+tables of fifteen cells; a key is added to one cell of each, where keys are counted and XORed, and their check hashes XORed.
+Sketches subtract cell by cell: what two texts share cancels out. A cell left with one key gives it up; peeling such cells
+recovers the differing keys of either side. When that fails, the keys are sketched again with four times the cells: each quarter,
+by bits of the check hash, gets a sketch of its own, and a quarter that fails is quartered again.
 
 The likeness of two texts is the length of the pieces they share over that of all their distinct pieces.
 
@@ -21,17 +22,17 @@ from pyspark.sql import functions as F
 
 from brightfield.llm.common import bucket_of, id_bounds, text_of
 
-#: Words of a line's head and of its other pieces.
-HEAD, PIECE = 8, 48
-TABLES, CELLS = 3, 10
+#: Words of a piece, and of one that starts in a text's first characters.
+PIECE, FINE, FIRST = 128, 16, 400
+TABLES, CELLS = 3, 15
 #: Turns of peeling; every turn peels all cells that hold one key.
 TURNS = 14
-#: Retries with 4, 16, 64, ... blocks.
-RETRIES = 12
+#: Times that a failed sketch is quartered part by part; then a part's sketches grow fourfold all at once, so many times.
+QUARTERED, GROWN = 2, 8
 ROWS_PER_BUCKET = 4_096
 
 _WORD = r"\S++[^\S\n]*+"
-_PIECES = rf"(?<![^\n])[^\S\n]*+(?:{_WORD}){{1,{HEAD}}}+|(?:{_WORD}){{1,{PIECE}}}+"
+_PIECES = rf"(?<=\A[\s\S]{{0,{FIRST}}})(?:{_WORD}){{1,{FINE}}}+|(?:{_WORD}){{1,{PIECE}}}+"
 _LENGTH = 4095
 
 
@@ -44,28 +45,39 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7))
 
 
+def _key(k: Column, c: Column) -> Column:
+    """A key with its check hash and its cell in each table."""
+    place = lambda t: F.pmod(F.shiftrightunsigned(c, 10 * t), F.lit(CELLS)).cast("int")
+    return F.struct(k.alias("k"), c.alias("c"), *[place(t).alias(f"p{t}") for t in range(TABLES)])
+
+
 def paragraph_keys(text: Column) -> Column:
-    """The distinct pieces of a text as (k, c): key and check hash."""
+    """The distinct pieces of a text as keys."""
     pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
     key = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(F.least(F.char_length(p), F.lit(_LENGTH)).cast("bigint"))
-    return F.transform(F.array_distinct(F.transform(pieces, key)), lambda k: F.struct(k.alias("k"), _check(k).alias("c")))
+    checked = F.transform(F.array_distinct(F.transform(pieces, key)), lambda k: F.struct(k.alias("k"), _check(k).alias("c")))
+    return F.transform(checked, lambda x: _key(x["k"], x["c"]))
 
 
 def _cell(n: Column, k: Column, c: Column) -> Column:
     return F.struct(n.alias("n"), k.alias("k"), c.alias("c"))
 
 
-def _in_cell(c: Column, i: Column) -> Column:
-    """Whether a key with check hash c belongs to cell i; the first ten cells are the first table, and so on."""
-    turn = F.when(i < CELLS, c).when(i < 2 * CELLS, F.shiftrightunsigned(c, 10)).otherwise(F.shiftrightunsigned(c, 20))
-    return F.pmod(turn, F.lit(CELLS)) == i % CELLS
+def _by_cell(keys: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """``value`` of (cell number, the keys in that cell) for the cells of the three tables in turn."""
+    numbers = F.array(*[F.lit(i) for i in range(CELLS)])
+
+    def table(t: int) -> Column:
+        return F.transform(numbers, lambda i: value(i + t * CELLS, F.filter(keys, lambda x: x[f"p{t}"] == i)))
+
+    return F.concat(*[table(t) for t in range(TABLES)])
 
 
 def sketch(keys: Column) -> Column:
-    """The cells of (k, c) keys."""
+    """The cells of keys."""
     zero = _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
     add = lambda a, x: _cell(a["n"] + 1, a["k"].bitwiseXOR(x["k"]), a["c"].bitwiseXOR(x["c"]))
-    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1)), lambda i: F.aggregate(F.filter(keys, lambda x: _in_cell(x["c"], i)), zero, add))
+    return _by_cell(keys, lambda _, mine: F.aggregate(mine, zero, add))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -73,37 +85,57 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column) -> Column:
-    """(ok, found): the keys (n, k, c) of a difference, n = 1 for those of the first text and -1 for the second's."""
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,k:bigint,c:bigint>>").alias("found"))
+    """(ok, found): the keys (n, k) of a difference, n = 1 for those of the first text and -1 for the second's."""
+    start = F.struct(F.lit(True).alias("more"), cells.alias("cells"), F.array().cast("array<struct<n:int,k:bigint>>").alias("found"))
 
     def turn(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))))
+        lone = F.array_distinct(F.filter(state["cells"], lambda x: ((x["n"] == 1) | (x["n"] == -1)) & (x["c"] == _check(x["k"]))))
+        pure = F.transform(lone, lambda x: F.struct(x["n"].alias("n"), *[_key(x["k"], x["c"])[f].alias(f) for f in ("k", "c", *[f"p{t}" for t in range(TABLES)])]))
         take = lambda a, p: _cell(a["n"] - p["n"], a["k"].bitwiseXOR(p["k"]), a["c"].bitwiseXOR(p["c"]))
 
         def without(p: Column) -> Column:
-            rest = F.transform(state["cells"], lambda cell, i: F.aggregate(F.filter(p, lambda x: _in_cell(x["c"], i)), cell, take))
-            return F.when(F.size(p) == 0, state).otherwise(F.struct(rest.alias("cells"), F.concat(state["found"], p).alias("found")))
+            rest = _by_cell(p, lambda i, mine: F.aggregate(mine, state["cells"][i], take))
+            more = F.concat(state["found"], F.transform(p, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"))))
+            stopped = F.struct(F.lit(False).alias("more"), state["cells"].alias("cells"), state["found"].alias("found"))
+            return F.when(F.size(p) == 0, stopped).otherwise(F.struct(F.lit(True).alias("more"), rest.alias("cells"), more.alias("found")))
 
-        return _let(pure, without)
+        return F.when(state["more"], _let(pure, without)).otherwise(state)
 
     done = lambda s: F.struct(F.forall(s["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)).alias("ok"), s["found"].alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TURNS)), start, turn, done)
+    return F.aggregate(F.array(*[F.lit(i) for i in range(TURNS)]), start, turn, done)
+
+
+def _grown(keys_a: Column, keys_b: Column, peeled: Column) -> Column:
+    """A failed difference again with 4, 16, 64, ... sketches, to which the check hash deals the keys."""
+
+    def sketches(n: Column) -> Column:
+        def one(b: Column) -> Column:
+            mine = lambda x: F.pmod(F.shiftrightunsigned(x["c"], 42), n) == b
+            cells = lambda keys: _let(F.filter(keys, mine), sketch)
+            return peel(subtract(cells(keys_a), cells(keys_b)))
+
+        parts = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), one)
+        return _let(parts, lambda p: F.struct(F.forall(p, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(p, lambda x: x["found"])).alias("found")))
+
+    sizes = F.array(*[F.lit(4**k).cast("bigint") for k in range(1, GROWN + 1)])
+    return F.aggregate(sizes, peeled, lambda state, n: F.when(state["ok"], state).otherwise(sketches(n)))
 
 
-def difference(keys_a: Column, cells_a: Column, keys_b: Column, cells_b: Column) -> Column:
-    """(ok, found) for two texts: their sketches' difference peeled, or that of larger sketches where it cannot be."""
+def difference(keys_a: Column, cells_a: Column, keys_b: Column, cells_b: Column, level: int = 0) -> Column:
+    """(ok, found) for two texts: their sketches' difference peeled, or its quarters' differences where it cannot be."""
+    peeled = peel(subtract(cells_a, cells_b))
+    if level == QUARTERED:
+        return _grown(keys_a, keys_b, peeled)
 
-    def blocks(n: Column) -> Column:
-        def block(b: Column) -> Column:
-            mine = lambda x: F.pmod(F.shiftrightunsigned(x["c"], 32), n) == b
-            return peel(subtract(sketch(F.filter(keys_a, mine)), sketch(F.filter(keys_b, mine))))
+    def quarter(q: Column) -> Column:
+        mine = lambda x: F.shiftrightunsigned(x["c"], 36 + 2 * level).bitwiseAND(F.lit(3).cast("bigint")) == q
+        return _let(F.filter(keys_a, mine), lambda a: _let(F.filter(keys_b, mine), lambda b: difference(a, sketch(a), b, sketch(b), level + 1)))
 
-        peeled = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), block)
-        return _let(peeled, lambda p: F.struct(F.forall(p, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(p, lambda x: x["found"])).alias("found")))
+    def quartered() -> Column:
+        parts = F.transform(F.array(*[F.lit(q).cast("bigint") for q in range(4)]), quarter)
+        return _let(parts, lambda p: F.struct(F.forall(p, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(p, lambda x: x["found"])).alias("found")))
 
-    retry = lambda state, n: F.when(state["ok"], state).otherwise(blocks(n))
-    sizes = F.array(*[F.lit(4**k).cast("bigint") for k in range(1, RETRIES + 1)])
-    return F.aggregate(sizes, peel(subtract(cells_a, cells_b)), retry)
+    return _let(peeled, lambda p: F.when(p["ok"], p).otherwise(quartered()))
 
 
 def _length(keys: Column) -> Column:
@@ -115,17 +147,17 @@ def likeness(keys_a: Column, cells_a: Column, keys_b: Column, cells_b: Column) -
 
     def of(found: Column) -> Column:
         only = lambda n: _length(F.filter(found["found"], lambda x: x["n"] == n))
-        all_a = _length(keys_a)
-        union = all_a + only(-1)
-        return F.when(found["ok"], F.when(union == 0, F.lit(1.0)).otherwise((all_a - only(1)) / union))
+        lengths = F.struct(_length(keys_a).alias("a"), only(1).alias("left"), only(-1).alias("right"))
+        share = _let(lengths, lambda x: F.when(x["a"] + x["right"] == 0, F.lit(1.0)).otherwise((x["a"] - x["left"]) / (x["a"] + x["right"])))
+        return F.when(found["ok"], share)
 
     return _let(difference(keys_a, cells_a, keys_b, cells_b), of)
 
 
 def written(keys: Column, cells: Column) -> Column:
-    """A sketch as text: the pieces' whole length, then every cell's count, key and check, in base64."""
+    """A sketch as text: the pieces' whole length, then every cell's count, key and half of its check, in base64."""
     fixed = lambda value, digits: F.lpad(F.hex(value), digits, "0")
-    cell = lambda x: F.concat(fixed(x["n"].cast("bigint"), 8), fixed(x["k"], 16), fixed(x["c"], 16))
+    cell = lambda x: F.concat(fixed(x["n"].cast("bigint"), 8), fixed(x["k"], 16), F.substring(fixed(x["c"], 16), 9, 8))
     return F.base64(F.unhex(F.concat(fixed(_length(keys), 16), F.array_join(F.transform(cells, cell), ""))))
 
 
