@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,11 +35,11 @@ def _remove(spark: SparkSession, place: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/brightfield-{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(place) if partition_by else df.write.parquet(place)
+    df.write.options(**options).parquet(place)
     atexit.register(_remove, spark, place)
     return spark.read.schema(df.schema).parquet(place)
 
@@ -51,6 +52,25 @@ def drop_materialised(*frames: DataFrame) -> None:
                 _remove(df.sparkSession, name)
 
 
+#: Bytes of a batch that a Python worker turns into objects at once.
+SLICE_BYTES = 4_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about SLICE_BYTES, one row at least."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python workers in batches of 8 MB, unless the session has chosen a size itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(key, "8m")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -66,7 +86,7 @@ def map_texts(df: DataFrame, work: Callable[[list[str]], list[tuple]], fields: T
     found = _arrow_type(df.sparkSession, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = work(batch.column(1).to_pylist())
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in found]
             parts = [pa.array(list(c), f.type) for c, f in zip(columns, found, strict=True)]

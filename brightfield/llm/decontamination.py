@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brightfield.llm.common import map_texts, materialise, struct_of, struct_type, text_of
+from brightfield.llm.common import map_texts, materialise, slices, struct_of, struct_type, text_of
 
 WINDOW = 10
 BLOCK = 2
@@ -154,7 +154,7 @@ def _searcher(table, last: bool):
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = machines(table.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = words_of(text)

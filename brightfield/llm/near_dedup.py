@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brightfield.llm.common import materialise, text_of
+from brightfield.llm.common import materialise, slices, text_of
 from brightfield.llm.graph import connected_components
 
 WORDS = 5
@@ -235,7 +235,7 @@ def _sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_id (equal for equal sets, null for empty ones), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, digests, signatures = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t)
@@ -267,7 +267,7 @@ def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     schema = T.StructType([joined.schema["id"], joined.schema["known"], T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             signatures, sets = [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t)

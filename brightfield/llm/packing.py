@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightfield.llm.common import materialise, text_of
+from brightfield.llm.common import materialise, slices, text_of
 from brightfield.llm.token_ids import encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     base = docs.select("doc_id", text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, at = [], []
             for k, ids in enumerate(encoder(path).encode(batch.column(1).to_pylist())):
                 ids += end

@@ -22,16 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightfield.llm.common import bucket_of, id_bounds, materialise, text_of
+from brightfield.llm.common import bucket_of, id_bounds, materialise, slices, text_of
 from brightfield.llm.token_ids import encoder, tokenizer_path
 
 END_ID = 2
 BLOCK = 128
 #: The share of a block's differences that the packed width must hold.
 PERCENTILE = 0.9
-DOCS_PER_SHARD = 8_192
+DOCS_PER_SHARD = 4_096
 #: A file is closed when it has so many ids.
-IDS_PER_FILE = 500_000
+IDS_PER_FILE = 200_000
+
+#: Rows of a few hundred KB: small row groups, no dictionaries.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
 
 _MAGIC = b"PFORIDS1"
 _HEAD = struct.Struct("<8sQQQ")  # magic, documents, ids, blocks
@@ -136,6 +139,16 @@ def read_block(payload: bytes, block: int) -> np.ndarray:
     return decode_blocks(raw, starts[block : block + 1], min(BLOCK, ids - block * BLOCK))
 
 
+def narrow(ids: bytes) -> bytes:
+    """Ids for the shuffle: 16 bits each where all fit, after a byte that tells the width."""
+    values = np.frombuffer(ids, "<u4")
+    return b"2" + values.astype("<u2").tobytes() if not len(values) or values.max() < 2**16 else b"4" + ids
+
+
+def widen(ids: bytes) -> bytes:
+    return np.frombuffer(ids, "<u2", offset=1).astype("<u4").tobytes() if ids[:1] == b"2" else ids[1:]
+
+
 def write_token_files(docs: DataFrame, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """Encode documents and write them, in ascending doc_id order, as files: shard, part, tokens, payload (stored in the shared folder)."""
     path = tokenizer or tokenizer_path()
@@ -144,8 +157,8 @@ def write_token_files(docs: DataFrame, end_id: int = END_ID, tokenizer: str | No
     base = docs.select(bucket_of("doc_id", id_bounds(docs, "doc_id", shards)).alias("shard"), F.col("doc_id").cast("bigint"), text_of().alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [x + end for x in encoder(path).encode(batch.column(2).to_pylist())]
+        for batch in slices(batches):
+            ids = [narrow(x + end) for x in encoder(path).encode(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +175,7 @@ def write_token_files(docs: DataFrame, end_id: int = END_ID, tokenizer: str | No
                     held, size, part = [], 0, part + 1
                 if s != shard:
                     shard, part = s, 0
-                raw = ids.as_py()
+                raw = widen(ids.as_py())
                 held.append((d if d is not None else -(2**63), raw))
                 size += len(raw) // 4
         if held:
@@ -170,7 +183,7 @@ def write_token_files(docs: DataFrame, end_id: int = END_ID, tokenizer: str | No
 
     encoded = base.mapInArrow(encode, "shard int, doc_id bigint, ids binary")
     in_order = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    return materialise(in_order.mapInArrow(write, "shard int, part int, tokens bigint, payload binary"), "token-files")
+    return materialise(in_order.mapInArrow(write, "shard int, part int, tokens bigint, payload binary"), "token-files", **LARGE_ROWS)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

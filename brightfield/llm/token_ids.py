@@ -10,13 +10,13 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
 
 #: Pieces that a worker remembers; the cache is emptied when full. Pieces longer than LONG are not remembered.
-PIECES, LONG = 700_000, 64
+PIECES, LONG = 200_000, 64
 CHARS_AT_ONCE = 1_000_000
 #: Unseen pieces that the library gets as one text.
 JOINED = 500
@@ -39,14 +39,21 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = piece.endswith("</w>")
-        self.pieces: dict[str, bytes] = {}
-        plain = json.loads(self.tokenizer.to_str())
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f)
         plain["normalizer"] = None  # pieces are normal already
+        self.path = path
         self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.ends = np.zeros(max(self.plain.get_vocab().values()) + 1, bool)
+        self.ends[[i for piece, i in self.plain.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
+
+    @cached_property
+    def tokenizer(self):
+        """The whole tokenizer, for the texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
