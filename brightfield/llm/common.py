@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,8 +66,19 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, step)
 
 
+def _import_in_workers(spark: SparkSession) -> None:
+    """Where this package is not installed, let Python workers look for it in the folder it came from."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Let Spark hand texts to Python workers in batches of 8 MB, unless the session has chosen a size itself."""
+    """Let Spark read and hand over long texts in small batches, unless the session has chosen the sizes itself."""
+    _import_in_workers(spark)
+    if spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096":
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key).lower() in ("67108864b", "67108864", "64m", "64mb"):
         spark.conf.set(key, "8m")

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a worker remembers; the cache is emptied when full. Pieces longer than LONG are not remembered.
-PIECES, LONG = 200_000, 64
+PIECES, LONG = 400_000, 64
 CHARS_AT_ONCE = 1_000_000
 #: Unseen pieces that the library gets as one text.
 JOINED = 500
