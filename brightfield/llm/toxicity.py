@@ -2,8 +2,7 @@
 
 Words are compared by the string kernel of common, possibly gapped, subsequences of three characters, so inserted characters and
 spelled-out words still resemble an insult. Landmarks are the words that tell toxic from other labelled documents best, or
-beginnings of words (^ marks a word's start). A kernel value is normalised by the landmark's own kernel, so that a word that holds
-the landmark counts in full. A sentence's kernel to a landmark is the largest of its words'; the landmarks' own kernel matrix whitens these values (Nyström),
+beginnings of words (^ marks a word's start), and are compared with the beginnings of words. A sentence's kernel to a landmark is the largest of its words'; the landmarks' own kernel matrix whitens these values (Nyström),
 and a linear support vector machine is trained on labelled sentences: those of toxic documents that hold a telling word, and
 those of other documents that resemble any landmark. A document counts by its most toxic sentence and by how many there are;
 a logistic fit on documents kept apart makes that a probability.
@@ -35,11 +34,11 @@ STEMS = range(4, 9)
 #: The most labelled documents that the model is fitted on.
 MOST = 20_000
 #: Characters of a subsequence, and what each character that it spans costs.
-ORDER, DECAY = 3, 0.8
+ORDER, DECAY = 3, 0.9
 #: The power of the kernel, a kernel again, in which resemblance by chance counts little.
-POWER = 3
-#: Longer words are compared window by window.
-WINDOW, STRIDE = 16, 8
+POWER = 2
+#: Characters that may be put into a landmark's length of a word.
+SLACK = 2
 #: Kernel values below this count as none.
 LEAST = 0.4
 #: The least log odds of a telling word, and of its log odds times its toxic documents: what chance alone rarely reaches.
@@ -106,32 +105,38 @@ def _bigrams(codes: np.ndarray, gaps: int) -> np.ndarray:
 
 
 class Kernel:
-    """Normalised kernels of words to landmarks. Pairs that share too few close pairs of characters are 0 without computing."""
+    """Normalised kernels of words to landmarks: the largest over the word's beginnings, as long as the landmark or SLACK longer.
+
+    Landmarks are beginnings too, so an insulting stem counts in full whatever follows it. Pairs that share too few close pairs
+    of characters are 0 without computing.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes = _codes(landmarks, max(map(len, landmarks), default=1))
+        self.sizes = np.array([len(x) for x in landmarks], np.int64)
+        self.codes = _codes(landmarks, int(self.sizes.max(initial=1)))
         self.own = np.maximum(_subsequence_kernel(self.codes, self.codes), 1e-12)
         self.bigrams = _bigrams(self.codes, 1)
         self.least = np.maximum(2, np.ceil(0.6 * np.bitwise_count(self.bigrams))).astype(np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
         """words x landmarks."""
-        parts, owner = [], []
-        for k, w in enumerate(words):
-            for a in range(0, max(1, len(w) - STRIDE), STRIDE):
-                parts.append(w[a : a + WINDOW])
-                owner.append(k)
         out = np.zeros((len(words), len(self.landmarks)))
-        if not parts:
-            return out
-        codes = _codes(parts, WINDOW)
-        shared = np.bitwise_count(_bigrams(codes, 3)[:, None] & self.bigrams[None, :])
-        part, mark = np.nonzero(shared >= self.least)
-        for i in range(0, len(part), 4096):
-            p, m = part[i : i + 4096], mark[i : i + 4096]
-            value = np.minimum(1, _subsequence_kernel(codes[p], self.codes[m]) / self.own[m])
-            np.maximum.at(out, (np.array(owner)[p], m), np.where(value >= LEAST, value**POWER, 0))
+        codes = _codes(words, self.codes.shape[1] + SLACK)
+        shared = np.bitwise_count(_bigrams(codes, 1 + SLACK)[:, None] & self.bigrams[None, :])
+        word, mark = np.nonzero(shared >= self.least)
+        for i in range(0, len(word), 4096):
+            w, m = word[i : i + 4096], mark[i : i + 4096]
+            best = np.zeros(len(w))
+            for more in range(SLACK + 1):
+                part = np.where(np.arange(codes.shape[1]) < (self.sizes[m] + more)[:, None], codes[w], 0)
+                open_ = np.flatnonzero((best < 0.99) & (part.astype(bool).sum(1) > self.sizes[m] + more - 1 if more else best < 0.99))
+                if len(open_):
+                    part, marks = part[open_], m[open_]
+                    own = np.maximum(_subsequence_kernel(part, part), 1e-12)
+                    best[open_] = np.maximum(best[open_], _subsequence_kernel(part, self.codes[marks]) / np.sqrt(own * self.own[marks]))
+            best = np.minimum(best, 1)
+            out[w, m] = np.where(best >= LEAST, best**POWER, 0)
         return out
 
 
