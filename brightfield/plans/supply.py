@@ -177,7 +177,7 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
 
 _CITY = """SELECT lower(trim(locality)) AS city_key, country_code, count(*) AS listing_count, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude,
   round(count(*) FILTER (WHERE rating IS NOT NULL) / count(*), 6) AS coverage, min(r.region) AS region FROM locations l
-  JOIN (SELECT lower(trim(locality)) AS k, country_code AS c, min(rating) AS region FROM (SELECT *, count(*) OVER (PARTITION BY lower(trim(locality)), country_code, rating) AS n FROM locations WHERE rating IS NOT NULL AND status = 'active') x
+  LEFT JOIN (SELECT lower(trim(locality)) AS k, country_code AS c, min(rating) AS region FROM (SELECT *, count(*) OVER (PARTITION BY lower(trim(locality)), country_code, rating) AS n FROM locations WHERE rating IS NOT NULL AND status = 'active') x
     WHERE n = (SELECT max(n) FROM (SELECT locality, country_code, rating, count(*) AS n FROM locations WHERE rating IS NOT NULL AND status = 'active' GROUP BY ALL) y WHERE lower(trim(y.locality)) = lower(trim(x.locality)) AND y.country_code = x.country_code) GROUP BY 1, 2) r ON r.k = lower(trim(locality)) AND r.c = country_code
   WHERE status = 'active' GROUP BY 1, 2"""
 
