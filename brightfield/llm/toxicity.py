@@ -63,6 +63,12 @@ def tokens(text: str) -> list[str]:
     return words + ["^" + _OTHER.sub("", t) for t in _SPELLED.findall(low)]
 
 
+def word_set(low: str) -> set[str]:
+    """The different tokens of a text in lower case."""
+    words = {"^" + t if t.isalnum() else "^" + _OTHER.sub("", t) for t in set(_TOKEN.findall(low))}
+    return words.union("^" + _OTHER.sub("", t) for t in _SPELLED.findall(low))
+
+
 # ---- the kernel ----
 
 
@@ -117,7 +123,7 @@ class Kernel:
         self.codes = _codes(landmarks, int(self.sizes.max(initial=1)))
         self.own = np.maximum(_subsequence_kernel(self.codes, self.codes), 1e-12)
         self.bigrams = _bigrams(self.codes, 1)
-        self.least = np.maximum(2, np.ceil(0.6 * np.bitwise_count(self.bigrams))).astype(np.int64)
+        self.least = np.maximum(2, np.ceil(0.75 * np.bitwise_count(self.bigrams))).astype(np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
         """words x landmarks."""
@@ -156,25 +162,30 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "kernel": None}
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, texts: list[set[str]]) -> None:
         """Remember the kernel values of words not seen before; None for words that resemble no landmark."""
         if self.kernel is None:
             self.kernel = Kernel(self.landmarks)
         if len(self.known) > WORDS:
             self.known.clear()
-        new = list({w for t in texts for w in t if w not in self.known})
+        new = list(set().union(*texts).difference(self.known))
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
             values = self.kernel.of(some)
             like = values.max(1) > 0
             self.known.update((w, values[k].astype(np.float32) if like[k] else None) for k, w in enumerate(some))
 
-    def sentences(self, text: str, words: list[str]) -> np.ndarray:
-        """The kernel rows of the sentences that resemble any landmark."""
-        if all(self.known[w] is None for w in words):
+    def sentences(self, low: str, words: set[str]) -> np.ndarray:
+        """The kernel rows of the sentences of a lower-case text that resemble any landmark."""
+        alike = [w[1:] for w in words if self.known[w] is not None]
+        if not alike:
             return np.zeros((0, len(self.landmarks)))
+        # Only sentences that hold such a word are cut into tokens, unless one is written in a way that hides it.
+        plain = all(w in low for w in alike)
         rows = []
-        for s in _SENTENCE.findall(text):
+        for s in _SENTENCE.findall(low):
+            if plain and not any(w in s for w in alike):
+                continue
             like = [v for w in tokens(s) if (v := self._value(w)) is not None]
             if like:
                 rows.append(np.max(like, axis=0))
@@ -182,15 +193,16 @@ class ToxicityModel:
 
     def _value(self, word: str) -> np.ndarray | None:
         if word not in self.known:
-            self.learn([[word]])
+            self.learn([{word}])
         return self.known[word]
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """For each text: the largest margin of its sentences, and the logarithm of the number of toxic ones."""
-        words = [tokens(t) for t in texts]
+        lows = [t.lower() for t in texts]
+        words = [word_set(t) for t in lows]
         self.learn(words)
         out = np.full((len(texts), 2), [self.bias, 0.0])
-        for k, (t, w) in enumerate(zip(texts, words, strict=True)):
+        for k, (t, w) in enumerate(zip(lows, words, strict=True)):
             rows = self.sentences(t, w)
             if len(rows):
                 margins = rows @ self.whiten @ self.weights + self.bias
@@ -212,7 +224,7 @@ def _telling_words(sample: DataFrame) -> list[tuple[str, float]]:
         for b in slices(batches):
             count: tuple[Counter, Counter] = Counter(), Counter()
             for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = set(tokens(t))
+                own = word_set(t.lower())
                 count[label].update({x[: n + 1] for x in own for n in STEMS if len(x) > n or n == STEMS[0] and len(x) > 3})
             stems = list(count[0] | count[1])
             columns = [pa.array(stems, pa.string()), *[pa.array([count[y][x] for x in stems], pa.int64()) for y in (1, 0)]]
@@ -278,7 +290,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Toxici
         for b in slices(batches):
             x, y = [], []
             texts = b.column(0).to_pylist()
-            model.learn([tokens(t) for t in texts])
+            model.learn([word_set(t.lower()) for t in texts])
             for t, label in zip(texts, b.column(1).to_pylist(), strict=True):
                 for s in _SENTENCE.findall(t):
                     own = tokens(s)
