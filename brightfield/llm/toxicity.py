@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ POWER = 2
 SLACK = 2
 #: Kernel values below this count as none.
 LEAST = 0.4
+#: Different characters of a landmark that the gate looks for at first.
+GATED = 9
 #: The least log odds of a telling word, and of its log odds times its toxic documents: what chance alone rarely reaches.
 TELLING, WORTH = 2.5, 25.0
 #: The share of the toxic documents that a telling word is found in at least.
@@ -79,42 +82,100 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
-def _subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Unnormalised kernels of the rows of a with those of b (character codes, 0 fills up)."""
+def _beginnings_kernel(a: np.ndarray, b: np.ndarray, alone: bool = False) -> np.ndarray:
+    """Unnormalised kernels of all beginnings of the rows of a (column k: of k + 1 characters) with the rows of b, or alone, with the
+    beginnings of b of the same length; character codes, 0 fills up."""
     n, width, other = len(a), a.shape[1], b.shape[1]
     same = np.ascontiguousarray(((a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]).transpose(1, 2, 0)) * np.float32(DECAY * DECAY)
     before = np.ones((width + 1, other + 1, n), np.float32)
-    total = np.zeros(n, np.float32)
     for order in range(ORDER):
         after = np.zeros((width + 1, other + 1, n), np.float32)
-        total[:] = 0
-        for i in range(1, width + 1):
+        total = np.zeros((width, n), np.float32)
+        for i in range(order + 1, width + 1):
             run = np.zeros(n, np.float32)
-            for j in range(1, other + 1):
+            for j in range(order + 1, other + 1):
                 hit = same[i - 1, j - 1] * before[i - 1, j - 1]
-                total += hit
-                run = DECAY * run + hit
-                after[i, j] = DECAY * after[i - 1, j] + run
+                if order == ORDER - 1:
+                    total[max(i, j) - 1 if alone else i - 1] += hit
+                else:
+                    run = DECAY * run + hit
+                    after[i, j] = DECAY * after[i - 1, j] + run
         before = after
-    return total
+    return np.cumsum(total, axis=0).T
+
+
+def _subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unnormalised kernels of the rows of a with those of b (character codes, 0 fills up)."""
+    return _beginnings_kernel(a, b)[:, -1]
 
 
-def _bigrams(codes: np.ndarray, gaps: int) -> np.ndarray:
-    """A 64-bit mask of the pairs of characters at most ``gaps`` apart."""
-    mask = np.zeros(len(codes), np.uint64)
-    for g in range(1, gaps + 1):
-        left, right = codes[:, :-g].astype(np.int64), codes[:, g:].astype(np.int64)
-        bit = np.uint64(1) << ((left * 31 + right * 7) & 63).astype(np.uint64)
-        bit[(left == 0) | (right == 0)] = 0
-        mask |= np.bitwise_or.reduce(bit, axis=1)
-    return mask
+class Gate:
+    """The pairs of a word and a landmark whose normalised kernel can reach LEAST, for the word or any stretch of it.
+
+    By Cauchy and Schwarz the kernel is at most the norm of those of the landmark's features that the word has, over the norm of
+    all. The word has a subsequence only if it has its characters, tried first, and neighbours in that order.
+    """
+
+    def __init__(self, landmarks: list[str]):
+        letters = sorted(set("".join(landmarks)))
+        self.letters = np.array([ord(c) for c in letters], np.int32)
+        at = {c: k for k, c in enumerate(letters)}
+        self.bits = np.zeros((len(letters), len(landmarks)), np.float32)
+        self.subsets = np.zeros((len(landmarks), 1 << GATED), bool)
+        features = []
+        for m, mark in enumerate(landmarks):
+            own: dict[tuple[int, ...], float] = {}
+            for x in combinations(range(len(mark)), ORDER):
+                key = tuple(at[mark[i]] for i in x)
+                own[key] = own.get(key, 0) + DECAY ** (x[-1] - x[0] + 1)
+            chars = sorted({at[c] for c in mark})[:GATED]
+            self.bits[chars, m] = 1 << np.arange(len(chars))
+            norm = sum(v * v for v in own.values()) or 1.0
+            part = np.zeros(1 << GATED)
+            for key, v in own.items():
+                part[sum(1 << chars.index(c) for c in set(key) if c in chars)] += v * v / norm
+            for bit in range(GATED):  # from the features of each set of characters to those of all its subsets
+                pair = part.reshape(-1, 2, 1 << bit)
+                pair[:, 1] += pair[:, 0]
+            self.subsets[m] = part >= LEAST**2 * 0.999
+            features.append([(key, v * v / norm) for key, v in own.items()])
+        most = max(map(len, features), default=0)
+        self.keys = np.zeros((len(landmarks), ORDER - 1, most), np.int64)  # neighbours in each feature
+        self.worth = np.zeros((len(landmarks), most), np.float32)
+        for m, found in enumerate(features):
+            for k, (key, v) in enumerate(found):
+                self.keys[m, :, k] = [x * (len(letters) + 1) + y for x, y in zip(key, key[1:])]
+                self.worth[m, k] = v
+
+    def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, width, size = len(codes), codes.shape[1], len(self.letters)
+        if not size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        letter = np.minimum(np.searchsorted(self.letters, codes), size - 1)
+        letter = np.where(self.letters[letter] == codes, letter, size)
+        has = np.zeros((n, size + 1), np.float32)
+        has[np.arange(n)[:, None], letter] = 1
+        subset = (has[:, :size] @ self.bits).astype(np.int64)
+        word, mark = np.nonzero(self.subsets[np.arange(len(self.subsets)), subset])
+        kept = np.zeros(len(word), bool)
+        for i in range(0, len(word), 4096):
+            w, key = word[i : i + 4096], self.keys[mark[i : i + 4096]]
+            used, at = np.unique(w, return_inverse=True)
+            order = np.zeros((len(used), (size + 1) ** 2), bool)
+            for k in range(width - 1):
+                np.put_along_axis(order, letter[used, k, None] * (size + 1) + letter[used, k + 1 :], True, axis=1)
+            flat = order.ravel()
+            base = (at * (size + 1) ** 2)[:, None]
+            found = np.logical_and.reduce([flat[base + key[:, k]] for k in range(ORDER - 1)])
+            kept[i : i + 4096] = (found * self.worth[mark[i : i + 4096]]).sum(1) >= LEAST**2 * 0.999
+        return word[kept], mark[kept]
 
 
 class Kernel:
     """Normalised kernels of words to landmarks: the largest over the word's beginnings, as long as the landmark or SLACK longer.
 
-    Landmarks are beginnings too, so an insulting stem counts in full whatever follows it. Pairs that share too few close pairs
-    of characters are 0 without computing.
+    Landmarks are beginnings too, so an insulting stem counts in full whatever follows it. Only pairs that the gate proves to stay
+    under LEAST are 0 without computing.
     """
 
     def __init__(self, landmarks: list[str]):
@@ -122,25 +183,23 @@ class Kernel:
         self.sizes = np.array([len(x) for x in landmarks], np.int64)
         self.codes = _codes(landmarks, int(self.sizes.max(initial=1)))
         self.own = np.maximum(_subsequence_kernel(self.codes, self.codes), 1e-12)
-        self.bigrams = _bigrams(self.codes, 1)
-        self.least = np.maximum(2, np.ceil(0.75 * np.bitwise_count(self.bigrams))).astype(np.int64)
+        self.gate = Gate(landmarks)
 
     def of(self, words: list[str]) -> np.ndarray:
         """words x landmarks."""
         out = np.zeros((len(words), len(self.landmarks)))
         codes = _codes(words, self.codes.shape[1] + SLACK)
-        shared = np.bitwise_count(_bigrams(codes, 1 + SLACK)[:, None] & self.bigrams[None, :])
-        word, mark = np.nonzero(shared >= self.least)
+        word, mark = self.gate.pairs(codes)
+        used, at = np.unique(word, return_inverse=True)
+        own = np.maximum(_beginnings_kernel(codes[used], codes[used], alone=True), 1e-12) if len(used) else np.zeros((0, codes.shape[1]))
+        lengths = (codes != 0).sum(1)
         for i in range(0, len(word), 4096):
-            w, m = word[i : i + 4096], mark[i : i + 4096]
+            w, m, o = word[i : i + 4096], mark[i : i + 4096], own[at[i : i + 4096]]
+            value = _beginnings_kernel(codes[w], self.codes[m]) / np.sqrt(o * self.own[m][:, None])
             best = np.zeros(len(w))
             for more in range(SLACK + 1):
-                part = np.where(np.arange(codes.shape[1]) < (self.sizes[m] + more)[:, None], codes[w], 0)
-                open_ = np.flatnonzero((best < 0.99) & (part.astype(bool).sum(1) > self.sizes[m] + more - 1 if more else best < 0.99))
-                if len(open_):
-                    part, marks = part[open_], m[open_]
-                    own = np.maximum(_subsequence_kernel(part, part), 1e-12)
-                    best[open_] = np.maximum(best[open_], _subsequence_kernel(part, self.codes[marks]) / np.sqrt(own * self.own[marks]))
+                size = self.sizes[m] + more
+                best = np.maximum(best, value[np.arange(len(w)), np.minimum(size, lengths[w]) - 1])
             best = np.minimum(best, 1)
             out[w, m] = np.where(best >= LEAST, best**POWER, 0)
         return out
@@ -177,15 +236,10 @@ class ToxicityModel:
 
     def sentences(self, low: str, words: set[str]) -> np.ndarray:
         """The kernel rows of the sentences of a lower-case text that resemble any landmark."""
-        alike = [w[1:] for w in words if self.known[w] is not None]
-        if not alike:
+        if all(self.known[w] is None for w in words):
             return np.zeros((0, len(self.landmarks)))
-        # Only sentences that hold such a word are cut into tokens, unless one is written in a way that hides it.
-        plain = all(w in low for w in alike)
         rows = []
         for s in _SENTENCE.findall(low):
-            if plain and not any(w in s for w in alike):
-                continue
             like = [v for w in tokens(s) if (v := self._value(w)) is not None]
             if like:
                 rows.append(np.max(like, axis=0))

@@ -173,6 +173,28 @@ def test_subsequence_kernel_by_brute_force():
         assert made == pytest.approx(slow(s, t), rel=1e-5)
 
 
+def test_toxicity_gate_drops_nothing(monkeypatch):
+    kernel = toxicity.Kernel(["^clown", "^idiot", "^quejall", "^aaab"])
+    rng = random.Random(5)
+    words = ["^clwn", "^cl0wn", "^clown", "^idit", "^1diot", "^aab", "^a", "^", ""]
+    for mark in kernel.landmarks * 60:
+        w = list(mark)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = rng.choice(["", "0", "x", "l", "oo"])
+        words.append("".join(w))
+    made = kernel.of(words)
+    assert (made[:3, 0] > 0).all()
+    everything = lambda codes: tuple(x.ravel() for x in np.indices((len(codes), 4)))
+    monkeypatch.setattr(kernel.gate, "pairs", everything)
+    assert (made == kernel.of(words)).all()
+
+
+def test_toxicity_judges_sentences_with_hidden_words():
+    model = toxicity.ToxicityModel(["^idiot", "^clown"], np.eye(2), np.array([1.0, 1.0]), -0.5)
+    x = model.evidence(["An idiot here. You id-iot and cl*wn. Fine words.", "An idiot here. Fine words."])
+    assert x[0, 0] > x[1, 0] and x[0, 1] > x[1, 1]
+
+
 # ---- 5 and 6 ----
 
 
