@@ -2,7 +2,8 @@
 
 The tokenizer's pre-tokenizer cuts a text into pieces that are encoded apart, so the ids of a text are those of its pieces in
 turn. A worker remembers pieces; the library encodes the unseen ones together, and the ids that end a piece part them again.
-A text with characters outside a plain range, where Python's classes may differ from the library's, goes to the library whole.
+A text with characters outside a plain range, where Python's classes may differ from the library's, goes to the library whole, and so
+does one with the content of an added token, which the library looks for before it cuts.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ class Encoder:
         self.ends = np.zeros(max(self.plain.get_vocab().values()) + 1, bool)
         self.ends[[i for piece, i in self.plain.get_vocab().items() if piece.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
+        #: In lower case: whatever the file says of normalised matching, such a text is the library's.
+        self.added = [x["content"].lower() for x in plain.get("added_tokens", [])]
 
     @cached_property
     def tokenizer(self):
@@ -58,6 +61,13 @@ class Encoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _split(self, text: str) -> list[str] | None:
+        """The pieces of a text, None if it goes to the library whole."""
+        if _BEYOND.search(text):
+            return None
+        low = text.lower()
+        return None if any(x in low for x in self.added) else _PIECE.findall(low)
+
     def _learn(self, pieces: list[str]) -> None:
         groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
         for some, made in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -81,7 +91,7 @@ class Encoder:
         return out + self._encode(some)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _BEYOND.search(t) else _PIECE.findall(t.lower()) for t in texts]
+        split = [self._split(t) for t in texts]
         unseen = list(set(chain.from_iterable(x for x in split if x)).difference(self.pieces))
         self._learn(unseen)
         known = self.pieces.__getitem__

@@ -222,6 +222,15 @@ def test_token_files(spark, monkeypatch):
     assert token_files.read_token_files(token_files.write_token_files(docs.limit(0))).count() == 0
 
 
+def test_added_tokens_in_plain_texts():
+    from brightfield.llm import token_ids
+
+    made = token_ids.Encoder(token_ids.tokenizer_path())
+    texts = ["one<|endoftext|>two", "<|startoftext|> a b", "<|EndOfText|> x", "<|endoftext|><|endoftext|>", "a <|endoftex|> b", "<| endoftext |>", "plain"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.encode(texts)] == [encoded(t, 0)[:-1] for t in texts]
+    assert 49407 in np.frombuffer(made.encode(texts)[0], "<u4")
+
+
 def test_packing(spark):
     docs = documents(spark, TOKEN_TEXTS * 3)
     rows = packing.pack_documents(docs).collect()
