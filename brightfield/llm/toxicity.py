@@ -2,7 +2,7 @@
 
 Words are compared by the string kernel of common, possibly gapped, subsequences of three characters, so inserted characters and
 spelled-out words still resemble an insult. Landmarks are the words that tell toxic from other labelled documents best, or
-beginnings of words (^ marks a word's start), and are compared with the beginnings of words. A sentence's kernel to a landmark is the largest of its words'; the landmarks' own kernel matrix whitens these values (Nyström),
+beginnings of words (^ marks a word's start), and are compared with every stretch of a word. A sentence's kernel to a landmark is the largest of its words'; the landmarks' own kernel matrix whitens these values (Nyström),
 and a linear support vector machine is trained on labelled sentences: those of toxic documents that hold a telling word, and
 those of other documents that resemble any landmark. A document counts by its most toxic sentence and by how many there are;
 a logistic fit on documents kept apart makes that a probability.
@@ -38,16 +38,18 @@ MOST = 20_000
 ORDER, DECAY = 3, 0.9
 #: The power of the kernel, a kernel again, in which resemblance by chance counts little.
 POWER = 2
-#: Characters that may be put into a landmark's length of a word.
-SLACK = 2
+#: Characters that may be put into a landmark's length of a word, for each of the landmark's characters.
+SLACK = 0.75
+#: Longer words are compared in windows that overlap by the longest stretch.
+WINDOW = 36
 #: Kernel values below this count as none.
 LEAST = 0.4
 #: Different characters of a landmark that the gate looks for at first.
 GATED = 9
 #: The least log odds of a telling word, and of its log odds times its toxic documents: what chance alone rarely reaches.
 TELLING, WORTH = 2.5, 25.0
-#: The share of the toxic documents that a telling word is found in at least.
-SHARE = 0.01
+#: The number of toxic documents that a telling word is found in at least.
+FEWEST = 5
 THRESHOLD = 0.5
 #: Words that a worker remembers; the cache is emptied when full.
 WORDS = 600_000
@@ -147,22 +149,29 @@ class Gate:
                 self.keys[m, :, k] = [x * (len(letters) + 1) + y for x, y in zip(key, key[1:])]
                 self.worth[m, k] = v
 
-    def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, width, size = len(codes), codes.shape[1], len(self.letters)
-        if not size:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def letters_of(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of the characters, that of no landmark's last."""
+        size = len(self.letters)
         letter = np.minimum(np.searchsorted(self.letters, codes), size - 1)
-        letter = np.where(self.letters[letter] == codes, letter, size)
-        has = np.zeros((n, size + 1), np.float32)
-        has[np.arange(n)[:, None], letter] = 1
-        subset = (has[:, :size] @ self.bits).astype(np.int64)
-        word, mark = np.nonzero(self.subsets[np.arange(len(self.subsets)), subset])
-        kept = np.zeros(len(word), bool)
+        return np.where(self.letters[letter] == codes, letter, size)
+
+    def possible(self, letter: np.ndarray) -> np.ndarray:
+        """rows x landmarks: whether the row's characters, in any order, let the kernel reach LEAST."""
+        has = np.zeros((len(letter), len(self.letters) + 1), np.float32)
+        has[np.arange(len(letter))[:, None], letter] = 1
+        return self.subsets[np.arange(len(self.subsets)), (has[:, :-1] @ self.bits).astype(np.int64)]
+
+    def pairs(self, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.narrowed(letter, *np.nonzero(self.possible(letter)))
+
+    def narrowed(self, letter: np.ndarray, word: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs of a row and a landmark whose kernel the order of the row's characters lets reach LEAST."""
+        size, kept = len(self.letters), np.zeros(len(word), bool)
         for i in range(0, len(word), 4096):
             w, key = word[i : i + 4096], self.keys[mark[i : i + 4096]]
             used, at = np.unique(w, return_inverse=True)
             order = np.zeros((len(used), (size + 1) ** 2), bool)
-            for k in range(width - 1):
+            for k in range(letter.shape[1] - 1):
                 np.put_along_axis(order, letter[used, k, None] * (size + 1) + letter[used, k + 1 :], True, axis=1)
             flat = order.ravel()
             base = (at * (size + 1) ** 2)[:, None]
@@ -172,9 +181,10 @@ class Gate:
 
 
 class Kernel:
-    """Normalised kernels of words to landmarks: the largest over the word's beginnings, as long as the landmark or SLACK longer.
+    """Normalised kernels of words to landmarks: the largest over the word's stretches, as long as the landmark or up to SLACK times longer.
 
-    Landmarks are beginnings too, so an insulting stem counts in full whatever follows it. Only pairs that the gate proves to stay
+    Landmarks are beginnings, so an insulting stem counts in full at a word's start, and less the ^ elsewhere, whatever follows it. A
+    stretch that starts with none of the landmark's characters is never the best. Only pairs that the gate proves to stay
     under LEAST are 0 without computing.
     """
 
@@ -184,24 +194,41 @@ class Kernel:
         self.codes = _codes(landmarks, int(self.sizes.max(initial=1)))
         self.own = np.maximum(_subsequence_kernel(self.codes, self.codes), 1e-12)
         self.gate = Gate(landmarks)
+        self.most = np.ceil(self.sizes * (1 + SLACK)).astype(np.int64)
 
     def of(self, words: list[str]) -> np.ndarray:
         """words x landmarks."""
         out = np.zeros((len(words), len(self.landmarks)))
-        codes = _codes(words, self.codes.shape[1] + SLACK)
-        word, mark = self.gate.pairs(codes)
-        used, at = np.unique(word, return_inverse=True)
-        own = np.maximum(_beginnings_kernel(codes[used], codes[used], alone=True), 1e-12) if len(used) else np.zeros((0, codes.shape[1]))
-        lengths = (codes != 0).sum(1)
-        for i in range(0, len(word), 4096):
-            w, m, o = word[i : i + 4096], mark[i : i + 4096], own[at[i : i + 4096]]
-            value = _beginnings_kernel(codes[w], self.codes[m]) / np.sqrt(o * self.own[m][:, None])
-            best = np.zeros(len(w))
-            for more in range(SLACK + 1):
-                size = self.sizes[m] + more
-                best = np.maximum(best, value[np.arange(len(w)), np.minimum(size, lengths[w]) - 1])
-            best = np.minimum(best, 1)
-            out[w, m] = np.where(best >= LEAST, best**POWER, 0)
+        if not self.landmarks:
+            return out
+        longest = int(self.most.max())
+        step = max(1, WINDOW - longest)
+        parts = [(k, w[i : i + step + longest]) for k, w in enumerate(words) for i in range(0, max(1, len(w) - longest), step)]
+        owner = np.array([k for k, _ in parts], np.int64)
+        codes = _codes([x for _, x in parts], max((len(x) for _, x in parts), default=1) + longest)
+        letter = self.gate.letters_of(codes)
+        part, mark = self.gate.pairs(letter[:, : codes.shape[1] - longest])
+        for i in range(0, len(part), 1024):
+            p, m = part[i : i + 1024], mark[i : i + 1024]
+            pair, start = np.nonzero((codes[p][:, : codes.shape[1] - longest, None] == self.codes[m][:, None, :]).any(2) & (codes[p] != 0)[:, : codes.shape[1] - longest])
+            # The different stretches that start somewhere, and the landmarks to compare each with.
+            place, row = np.unique(p[pair] * codes.shape[1] + start, return_inverse=True)
+            reach = (place // codes.shape[1])[:, None], (place % codes.shape[1])[:, None] + np.arange(longest)
+            stretch = codes[reach]
+            some = self.gate.possible(letter[reach])[row, m[pair]]
+            row, marks = self.gate.narrowed(letter[reach], row[some], m[pair][some])
+            if not len(row):
+                continue
+            used, at = np.unique(row, return_inverse=True)
+            stretch = stretch[used]
+            own = np.maximum(_beginnings_kernel(stretch, stretch, alone=True), 1e-12)
+            value = _beginnings_kernel(stretch[at], self.codes[marks]) / np.sqrt(own[at] * self.own[marks][:, None])
+            lengths = (stretch != 0).sum(1)[at]
+            size = np.arange(1, longest + 1)
+            least = self.sizes[marks] - (stretch[at, 0] != ord("^"))
+            fits = (size >= np.minimum(least, lengths)[:, None]) & (size <= np.minimum(self.most[marks], lengths)[:, None])
+            best = np.minimum(np.where(fits, value, 0).max(1), 1)
+            np.maximum.at(out, (owner[place[used][at] // codes.shape[1]], marks), np.where(best >= LEAST, best**POWER, 0))
         return out
 
 
@@ -227,7 +254,7 @@ class ToxicityModel:
             self.kernel = Kernel(self.landmarks)
         if len(self.known) > WORDS:
             self.known.clear()
-        new = list(set().union(*texts).difference(self.known))
+        new = sorted(set().union(*texts).difference(self.known), key=len)  # words of a length together
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
             values = self.kernel.of(some)
@@ -289,7 +316,7 @@ def _telling_words(sample: DataFrame) -> list[tuple[str, float]]:
     if not n1 or not n0:
         return []
     counts = sample.select("text", "label").mapInArrow(words, "word string, toxic bigint, other bigint").groupBy("word")
-    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") >= max(3, SHARE * n1))
+    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") >= FEWEST)
     odds = F.log((F.col("toxic") / n1 + 1e-4) / (F.col("other") / n0 + 1e-4))
     best = counts.select("word", odds.alias("odds"), (F.col("toxic") * odds).alias("worth")).where((F.col("odds") >= TELLING) & (F.col("worth") >= WORTH))
     return [(r["word"], r["odds"]) for r in best.orderBy(F.desc("worth"), F.desc(F.length("word")), "word").limit(CANDIDATES).collect()]

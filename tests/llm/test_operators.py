@@ -184,11 +184,20 @@ def test_toxicity_gate_drops_nothing(monkeypatch):
         words.append("".join(w))
     made = kernel.of(words)
     assert (made[:3, 0] > 0).all()
-    everything = lambda codes: tuple(x.ravel() for x in np.indices((len(codes), 4)))
+    everything = lambda letter, *pairs: pairs or tuple(x.ravel() for x in np.indices((len(letter), 4)))
     monkeypatch.setattr(kernel.gate, "pairs", everything)
+    monkeypatch.setattr(kernel.gate, "narrowed", everything)
+    monkeypatch.setattr(kernel.gate, "possible", lambda letter: np.ones((len(letter), 4), bool))
     assert (made == kernel.of(words)).all()
 
 
+def test_toxicity_kernel_takes_any_stretch():
+    kernel = toxicity.Kernel(["^idiot", "^worthless"])
+    made = kernel.of(["^vollidiot", "^" + "的" * 200 + "idiot" + "的" * 90, "^woxrtxhlexss", "^idiot" + "a" * 100, "^clean", ""])
+    assert made[0, 0] > 0 and made[0, 0] == pytest.approx(made[1, 0])
+    assert made[2, 1] > 0 and made[3, 0] == pytest.approx(1) and not made[4:].any()
+
+
 def test_toxicity_judges_sentences_with_hidden_words():
     model = toxicity.ToxicityModel(["^idiot", "^clown"], np.eye(2), np.array([1.0, 1.0]), -0.5)
     x = model.evidence(["An idiot here. You id-iot and cl*wn. Fine words.", "An idiot here. Fine words."])
