@@ -252,8 +252,6 @@ class ToxicityModel:
         """Remember the kernel values of words not seen before; None for words that resemble no landmark."""
         if self.kernel is None:
             self.kernel = Kernel(self.landmarks)
-        if len(self.known) > WORDS:
-            self.known.clear()
         new = sorted(set().union(*texts).difference(self.known), key=len)  # words of a length together
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
@@ -261,6 +259,11 @@ class ToxicityModel:
             like = values.max(1) > 0
             self.known.update((w, values[k].astype(np.float32) if like[k] else None) for k, w in enumerate(some))
 
+    def forget(self) -> None:
+        """Empty a full cache: between batches only, as a batch's texts look up the words learnt for it."""
+        if len(self.known) > WORDS:
+            self.known.clear()
+
     def sentences(self, low: str, words: set[str]) -> np.ndarray:
         """The kernel rows of the sentences of a lower-case text that resemble any landmark."""
         if all(self.known[w] is None for w in words):
@@ -281,6 +284,7 @@ class ToxicityModel:
         """For each text: the largest margin of its sentences, and the logarithm of the number of toxic ones."""
         lows = [t.lower() for t in texts]
         words = [word_set(t) for t in lows]
+        self.forget()
         self.learn(words)
         out = np.full((len(texts), 2), [self.bias, 0.0])
         for k, (t, w) in enumerate(zip(lows, words, strict=True)):
@@ -371,6 +375,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Toxici
         for b in slices(batches):
             x, y = [], []
             texts = b.column(0).to_pylist()
+            model.forget()
             model.learn([word_set(t.lower()) for t in texts])
             for t, label in zip(texts, b.column(1).to_pylist(), strict=True):
                 for s in _SENTENCE.findall(t):

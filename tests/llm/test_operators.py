@@ -204,6 +204,13 @@ def test_toxicity_judges_sentences_with_hidden_words():
     assert x[0, 0] > x[1, 0] and x[0, 1] > x[1, 1]
 
 
+def test_toxicity_cache_lasts_for_a_batch(monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 3)
+    model = toxicity.ToxicityModel(["^idiot"], np.eye(1), np.array([1.0]), -0.5)
+    x = model.evidence(["idiot a b. c d e f g h", "idiot some other words", "fine"])
+    assert x[0, 0] == x[1, 0] > x[2, 0]
+
+
 # ---- 5 and 6 ----
 
 
