@@ -1,32 +1,27 @@
-"""Encoding texts with a public word-end BPE tokenizer, piece by piece through a bounded cache.
+"""Encoding texts with a public tokenizer file through its library.
 
-The tokenizer's pre-tokenizer cuts a text into pieces that are encoded apart, so the ids of a text are those of its pieces in
-turn. A worker remembers pieces; the library encodes the unseen ones together, and the ids that end a piece part them again.
-A text with characters outside a plain range, where Python's classes may differ from the library's, goes to the library whole, and so
-does one with the content of an added token, which the library looks for before it cuts.
+Most word tokenizers cut at white space and drop it, so that the ids of a text are those of its words in turn. Where the file is of
+that kind, a worker remembers the ids of words, and the library encodes only the unseen ones; every other file gets whole texts.
+Which kind a file is, the library itself tells: its normaliser and pre-tokenizer must part samples at a blank just as they part
+the samples alone, and no added token may hold white space or look at its neighbours.
 """
 
 from __future__ import annotations
 
-import json
 import os
-import re
-from functools import cached_property, lru_cache
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker remembers; the cache is emptied when full. Pieces longer than LONG are not remembered.
-PIECES, LONG = 400_000, 64
+#: Words that a worker remembers; the cache is emptied when full. Longer words than LONG are not remembered.
+WORDS, LONG = 400_000, 64
 CHARS_AT_ONCE = 1_000_000
-#: Unseen pieces that the library gets as one text.
-JOINED = 500
 TOKENIZER = "word_bpe_49k.json"
 
-#: ASCII and Latin-1 without the four control characters that are white space to Python alone, and general punctuation.
-_BEYOND = re.compile("[^\x00-\x1b\x20-\x7e\xa1-\xff‐-‧‰-⁞€]")
-#: The pre-tokenizer's pattern, its letter and number classes written out for the plain range in lower case.
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: Samples that a blank must part; the blanks that texts are cut at.
+_SAMPLES = ("a", "Ab", "1", "12", ".", "'s", "'", "-", "é", "ß", "é", "́", "你", "🙂", "<|", "…")
+_BLANKS = (" ", "\n")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -40,47 +35,29 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            plain = json.load(f)
-        plain["normalizer"] = None  # pieces are normal already
-        self.path = path
-        self.plain = Tokenizer.from_str(json.dumps(plain))
-        self.ends = np.zeros(max(self.plain.get_vocab().values()) + 1, bool)
-        self.ends[[i for piece, i in self.plain.get_vocab().items() if piece.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-        #: In lower case: whatever the file says of normalised matching, such a text is the library's.
-        self.added = [x["content"].lower() for x in plain.get("added_tokens", [])]
-
-    @cached_property
-    def tokenizer(self):
-        """The whole tokenizer, for the texts that need it."""
-        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = self._parts_at_blanks()
+        self.words: dict[str, bytes] = {}
+
+    def _parts_at_blanks(self) -> bool:
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if cutter is None:
+            return False
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            if token.lstrip or token.rstrip or token.single_word or any(c.isspace() for c in token.content):
+                return False
+
+        def pieces(text: str) -> list[str]:
+            return [p for p, _ in cutter.pre_tokenize_str(normalizer.normalize_str(text) if normalizer else text)]
+
+        alone = {s: pieces(s) for s in _SAMPLES}
+        return all(pieces(x + blank + y) == alone[x] + alone[y] and pieces(x + 2 * blank + y) == alone[x] + alone[y] for blank in _BLANKS for x in _SAMPLES for y in _SAMPLES)
 
-        return Tokenizer.from_file(self.path)
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _split(self, text: str) -> list[str] | None:
-        """The pieces of a text, None if it goes to the library whole."""
-        if _BEYOND.search(text):
-            return None
-        low = text.lower()
-        return None if any(x in low for x in self.added) else _PIECE.findall(low)
-
-    def _learn(self, pieces: list[str]) -> None:
-        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
-        for some, made in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(made.ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
-                self.pieces.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
-            else:
-                self.pieces.update((p, self._library(p)) for p in some)
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; a few texts at a time, to hold few pieces at once."""
+        """The ids of each text as little-endian unsigned 32-bit integers; a few texts at a time, to hold few words at once."""
         out, some, size = [], [], 0
         for t in texts:
             some.append(t)
@@ -91,16 +68,18 @@ class Encoder:
         return out + self._encode(some)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        unseen = list(set(chain.from_iterable(x for x in split if x)).difference(self.pieces))
-        self._learn(unseen)
-        known = self.pieces.__getitem__
-        out = [self._library(t) if x is None else b"".join(map(known, x)) for t, x in zip(texts, split, strict=True)]
-        for p in unseen:
-            if len(p) > LONG:
-                del self.pieces[p]
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
+        if not self.by_word:
+            return self._library(texts)
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        unseen = list(set(chain.from_iterable(split)).difference(self.words))
+        self.words.update(zip(unseen, self._library(unseen), strict=True))
+        known = self.words.__getitem__
+        out = [b"".join(map(known, words)) for words in split]
+        for w in unseen:
+            if len(w) > LONG:
+                del self.words[w]
+        if len(self.words) > WORDS:
+            self.words.clear()
         return out
 
 
