@@ -1,16 +1,18 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text's paragraphs are its lines; long lines are cut, and the beginning of a text is cut finer, so that short texts have several
-pieces too. Every distinct piece becomes a 64-bit key: a hash of the piece whose low bits hold its length. A sketch has three
-tables of fifteen cells; a key is added to one cell of each, where keys are counted and XORed, and their check hashes XORed.
-Sketches subtract cell by cell: what two texts share cancels out. A cell left with one key gives it up; peeling such cells
-recovers the differing keys of either side. When that fails, the keys are sketched again with four times the cells: each quarter,
-by bits of the check hash, gets a sketch of its own, and a quarter that fails is quartered again.
+A text's paragraphs are its lines; longer ones are cut after every sixteen words (a word of over sixteen characters counts once for
+every sixteen), so that a long line or a text without blanks has several pieces too. Every distinct piece becomes a 64-bit key: a
+hash of the piece whose low bits hold its length. A sketch has three tables of cells; a key is added to one cell of each, where
+keys are counted and XORed, and their check hashes XORed. Sketches subtract cell by cell: what two texts share cancels out. A cell
+left with one key gives it up; peeling such cells recovers the differing keys of either side. When that fails, the keys are
+sketched again with four times the cells: each quarter, by bits of the check hash, gets a sketch of its own, and a quarter that
+fails is quartered again. Should the largest sketches fail too, the keys themselves are compared.
 
 The likeness of two texts is the length of the pieces they share over that of all their distinct pieces.
 
 Defined cases: a null text counts as empty; texts without words have an empty sketch, and two of those are alike (1.0); repeats
-of a piece count once; rows with equal ids are ordered by text; a row that is alone comes next after itself.
+of a piece count once; rows with equal ids are ordered by a hash of their texts, and equal rows have the same next document;
+documents without an id come last; a row that is alone comes next after itself.
 """
 
 from __future__ import annotations
@@ -20,20 +22,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightfield.llm.common import bucket_of, id_bounds, text_of
+from brightfield.llm.common import materialise, text_of
 
-#: Words of a piece, and of one that starts in a text's first characters.
-PIECE, FINE, FIRST = 128, 16, 400
-TABLES, CELLS = 3, 15
+#: Words of a piece; characters of a word, and blanks after it, that count as one.
+PIECE, WORD, BLANKS = 16, 16, 15
+TABLES, CELLS = 3, 20
 #: Turns of peeling; every turn peels all cells that hold one key.
 TURNS = 14
 #: Times that a failed sketch is quartered part by part; then a part's sketches grow fourfold all at once, so many times.
 QUARTERED, GROWN = 2, 8
-ROWS_PER_BUCKET = 4_096
 
-_WORD = r"\S++[^\S\n]*+"
-_PIECES = rf"(?<=\A[\s\S]{{0,{FIRST}}})(?:{_WORD}){{1,{FINE}}}+|(?:{_WORD}){{1,{PIECE}}}+"
-_LENGTH = 4095
+_PIECES = rf"(?:\S{{1,{WORD}}}+[^\S\n]{{0,{BLANKS}}}+){{1,{PIECE}}}+"
+#: The bits of a key that hold the piece's length, which is below PIECE * (WORD + BLANKS) + 1.
+_LENGTH = 511
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,7 +55,7 @@ def _key(k: Column, c: Column) -> Column:
 def paragraph_keys(text: Column) -> Column:
     """The distinct pieces of a text as keys."""
     pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
-    key = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(F.least(F.char_length(p), F.lit(_LENGTH)).cast("bigint"))
+    key = lambda p: F.xxhash64(p).bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(F.char_length(p).cast("bigint"))
     checked = F.transform(F.array_distinct(F.transform(pieces, key)), lambda k: F.struct(k.alias("k"), _check(k).alias("c")))
     return F.transform(checked, lambda x: _key(x["k"], x["c"]))
 
@@ -143,13 +144,15 @@ def _length(keys: Column) -> Column:
 
 
 def likeness(keys_a: Column, cells_a: Column, keys_b: Column, cells_b: Column) -> Column:
-    """Shared over all distinct length, 0 to 1; null if no sketch of the largest size could be peeled."""
+    """Shared over all distinct length, 0 to 1."""
+
+    def share(a: Column, left: Column, right: Column) -> Column:
+        return _let(F.struct(a.alias("a"), left.alias("left"), right.alias("right")), lambda x: F.when(x["a"] + x["right"] == 0, F.lit(1.0)).otherwise((x["a"] - x["left"]) / (x["a"] + x["right"])))
 
     def of(found: Column) -> Column:
         only = lambda n: _length(F.filter(found["found"], lambda x: x["n"] == n))
-        lengths = F.struct(_length(keys_a).alias("a"), only(1).alias("left"), only(-1).alias("right"))
-        share = _let(lengths, lambda x: F.when(x["a"] + x["right"] == 0, F.lit(1.0)).otherwise((x["a"] - x["left"]) / (x["a"] + x["right"])))
-        return F.when(found["ok"], share)
+        compared = share(_length(keys_a), _length(F.array_except(keys_a, keys_b)), _length(F.array_except(keys_b, keys_a)))
+        return F.when(found["ok"], share(_length(keys_a), only(1), only(-1))).otherwise(compared)
 
     return _let(difference(keys_a, cells_a, keys_b, cells_b), of)
 
@@ -168,22 +171,38 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc", "keys", "cells", written(F.col("keys"), F.col("cells")).alias("fingerprint"))
 
 
+def next_ids(rows: DataFrame) -> DataFrame:
+    """For every distinct (doc_id, h): n, and (next_id, next_h) of the next by descending doc_id, then h; after the last the first.
+
+    Only ids, hashes and lengths are sorted, in ranges; every range's first row is the next one of the last row before it.
+    """
+    order = F.col("doc_id").desc_nulls_last(), F.col("h").asc()
+    ids = rows.select("doc_id", "h", "n").distinct().repartitionByRange(*order).withColumn("bucket", F.spark_partition_id())
+    ids = materialise(ids, "fingerprint-ids")
+    within = Window.partitionBy("bucket").orderBy(*order)
+    after = lambda c, w: F.lead(F.struct(*c)).over(w)
+    ids = ids.withColumn("after", after(("doc_id", "h"), within)).withColumn("turn", F.row_number().over(within))
+    heads = ids.where("turn = 1").select("bucket", F.struct("doc_id", "h").alias("head"))
+    buckets = Window.orderBy("bucket")  # a row per range
+    first = F.first("head").over(buckets.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("bucket", F.coalesce(F.lead("head").over(buckets), first).alias("head"))
+    made = ids.join(heads, "bucket").withColumn("after", F.coalesce("after", "head"))
+    return made.select("doc_id", "h", "n", F.col("after.doc_id").alias("next_id"), F.col("after.h").alias("next_h"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text, the text of the next document by descending doc_id; after the last comes the first.
+    """doc_id, text, keys (of its pieces), borrowed (a third of its length of the next document's beginning) and next_keys.
 
-    Ranges of ids are sorted apart. A copy of every range's first row goes to the range before it, as its last row's next one.
+    Texts are shuffled once, by id; of the next document only the borrowed part and the keys move.
     """
-    ranges = max(1, -(-docs.count() // ROWS_PER_BUCKET))
-    rows = docs.select(bucket_of("doc_id", id_bounds(docs, "doc_id", ranges)).alias("bucket"), "doc_id", text_of().alias("text"))
-    heads = sorted((r["bucket"], r["head"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect() if r["head"] is not None)  # a row per range
-    places = [(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    to = F.broadcast(docs.sparkSession.createDataFrame(places, f"doc_id {kind}, bucket int"))
-    copies = docs.select("doc_id", text_of().alias("text")).join(to, "doc_id").select("bucket", "doc_id", "text", F.lit(True).alias("copy"))
-    every = rows.withColumn("copy", F.lit(False)).unionByName(copies)
-    order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
-    every = every.withColumn("next_text", F.lead("text").over(order)).where(~F.col("copy"))
-    return every.select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    rows = docs.select("doc_id", text_of().alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").cast("bigint").alias("n"), "text")
+    pairs = next_ids(rows).select(F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), F.col("n").alias("for_n"), "next_id", "next_h")
+    lent = rows.join(pairs, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("h") == F.col("next_h")))
+    lent = lent.select("for_id", "for_h", F.substring("text", F.lit(1), F.floor(F.col("for_n") / 3).cast("int")).alias("borrowed"), paragraph_keys(F.col("text")).alias("next_keys"))
+    lent = lent.groupBy("for_id", "for_h").agg(F.any_value("borrowed").alias("borrowed"), F.any_value("next_keys").alias("next_keys"))
+    joined = rows.join(lent, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("h") == F.col("for_h")))
+    return joined.select("doc_id", "text", paragraph_keys(F.col("text")).alias("keys"), "borrowed", "next_keys")
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -193,18 +212,17 @@ def edits(docs: DataFrame) -> DataFrame:
     """
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))
-    rows = rows.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[paragraph_keys(F.col(c)).alias(f"keys_{c}") for c in ("text", "edited", "next_text")])
-    rows = rows.select("*", *[sketch(F.col(f"keys_{c}")).alias(f"cells_{c}") for c in ("text", "edited", "next_text")])
-    mine = F.col("keys_text"), F.col("cells_text")
-    near = lambda c: likeness(*mine, F.col(f"keys_{c}"), F.col(f"cells_{c}"))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), "borrowed"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", paragraph_keys(F.col("edited")).alias("edited_keys"), "next_keys")
+    rows = rows.select("*", *[sketch(F.col(c)).alias(c.replace("keys", "cells")) for c in ("keys", "edited_keys", "next_keys")])
+    mine = F.col("keys"), F.col("cells")
+    near = lambda c: likeness(*mine, F.col(f"{c}_keys"), F.col(f"{c}_cells"))
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         written(*mine).alias("fingerprint"),
-        written(F.col("keys_edited"), F.col("cells_edited")).alias("edited_fingerprint"),
+        written(F.col("edited_keys"), F.col("edited_cells")).alias("edited_fingerprint"),
         near("edited").alias("near_edited"),
-        near("next_text").alias("near_next"),
+        near("next").alias("near_next"),
     )
