@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only in local mode, where they share all folders, may the session leave it unset."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="brightfield-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -37,12 +40,16 @@ def _remove(spark: SparkSession, place: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and outlives lost executors."""
+def materialise(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: cuts the lineage and outlives lost executors.
+
+    It goes to ``path`` for good, or into the shared folder until drop_materialised or the interpreter's end.
+    """
     spark = df.sparkSession
-    place = f"{shared_dir(spark)}/brightfield-{name}-{uuid.uuid4().hex}"
+    place = path or f"{shared_dir(spark)}/brightfield-{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(place)
-    atexit.register(_remove, spark, place)
+    if not path:
+        atexit.register(_remove, spark, place)
     return spark.read.schema(df.schema).parquet(place)
 
 
@@ -125,28 +132,3 @@ def struct_type(ddl: str) -> T.StructType:
 
 def struct_of(df: DataFrame, names: list[str]) -> T.StructType:
     return T.StructType([df.schema[n] for n in names])
-
-
-#: Boundary values in one group of the two-step search below.
-BOUNDS_STEP = 64
-
-
-def id_bounds(df: DataFrame, column: str, buckets: int) -> list:
-    """At most ``buckets`` - 1 ascending values that cut the column into ranges of about as many rows each."""
-    if buckets < 2:
-        return []
-    cuts = [k / buckets for k in range(1, buckets)]
-    found = df.agg(F.percentile_approx(column, cuts, max(10_000, 20 * buckets)).alias("cuts")).first()["cuts"]
-    return sorted(set(found or []))
-
-
-def bucket_of(column: str, bounds: list) -> Column:
-    """How many bounds a value reaches: the number of its range. Nulls belong to the first. Depends on the value alone."""
-    if not bounds:
-        return F.lit(0)
-    lists = [bounds[i : i + BOUNDS_STEP] for i in range(0, len(bounds), BOUNDS_STEP)]
-    value = F.coalesce(F.col(column), F.lit(bounds[0] - 1))
-    reached = lambda values: F.size(F.filter(values, lambda b: b <= value))
-    group = F.greatest(reached(F.array(*[F.lit(x[0]) for x in lists])), F.lit(1))
-    within = F.element_at(F.array(*[F.array(*[F.lit(b) for b in x]) for x in lists]), group)
-    return ((group - 1) * BOUNDS_STEP + reached(within)).cast("int")

@@ -8,7 +8,7 @@ A data set is a table of such files (shard, part, payload, tokens) in ascending
 parts follow each other inside a shard. Spark stores and reads the table, so any store that Spark knows will do.
 
 Defined cases: a null or empty text holds the end id only; repeated rows are written as often as they come; no documents make no
-files; documents without an id come first.
+files; documents without an id come first; documents of one id are ordered by a hash of their texts.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brightfield.llm.common import bucket_of, id_bounds, materialise, slices, text_of
+from brightfield.llm.common import materialise, slices, text_of
 from brightfield.llm.token_ids import encoder, tokenizer_path
 
 END_ID = 2
 BLOCK = 128
 #: The share of a block's differences that the packed width must hold.
 PERCENTILE = 0.9
-DOCS_PER_SHARD = 4_096
 #: A file is closed when it has so many ids.
 IDS_PER_FILE = 200_000
 
@@ -110,11 +110,12 @@ def decode_blocks(raw: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray
     return full.reshape(-1)[:count]
 
 
-def write_file(documents: list[tuple[int, bytes]]) -> bytes:
+def write_file(documents: list[tuple[int | None, bytes]]) -> bytes:
     """A file of (doc_id, little-endian 32-bit ids)."""
     values = np.frombuffer(b"".join(ids for _, ids in documents), "<u4")
     body, starts = encode_blocks(values)
-    table = b"".join(struct.pack("<qQ", d, len(ids) // 4) for d, ids in documents)
+    #: The top bit of a number of ids marks a document without an id.
+    table = b"".join(struct.pack("<qQ", d or 0, len(ids) // 4 | (d is None) << 63) for d, ids in documents)
     return _HEAD.pack(_MAGIC, len(documents), len(values), len(starts)) + table + starts.astype("<u8").tobytes() + body
 
 
@@ -127,10 +128,12 @@ def _parts(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return table, np.frombuffer(payload, "<u8", blocks, at), np.frombuffer(payload, np.uint8, offset=at + 8 * blocks), ids
 
 
-def read_file(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(doc_id, number of ids) of each document, and all ids."""
+def read_file(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, number of ids) of each document, which have no doc_id, and all ids."""
     table, starts, raw, ids = _parts(payload)
-    return table, decode_blocks(raw, starts, ids)
+    table, no_id = table.copy(), table[:, 1] < 0
+    table[:, 1] &= 2**63 - 1
+    return table, no_id, decode_blocks(raw, starts, ids)
 
 
 def read_block(payload: bytes, block: int) -> np.ndarray:
@@ -139,73 +142,53 @@ def read_block(payload: bytes, block: int) -> np.ndarray:
     return decode_blocks(raw, starts[block : block + 1], min(BLOCK, ids - block * BLOCK))
 
 
-def narrow(ids: bytes) -> bytes:
-    """Ids for the shuffle: 16 bits each where all fit, after a byte that tells the width."""
-    values = np.frombuffer(ids, "<u4")
-    return b"2" + values.astype("<u2").tobytes() if not len(values) or values.max() < 2**16 else b"4" + ids
+def write_token_files(docs: DataFrame, end_id: int = END_ID, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+    """Encode documents and write them, in ascending doc_id order, as files: shard, part, tokens, payload.
 
-
-def widen(ids: bytes) -> bytes:
-    return np.frombuffer(ids, "<u2", offset=1).astype("<u4").tobytes() if ids[:1] == b"2" else ids[1:]
-
-
-def write_token_files(docs: DataFrame, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
-    """Encode documents and write them, in ascending doc_id order, as files: shard, part, tokens, payload (stored in the shared folder)."""
-    path = tokenizer or tokenizer_path()
+    Spark's range partitioning deals texts out by id (and a hash of the text, which splits repeated ids); every range is sorted,
+    encoded and written by one task. The table of files goes to ``path``, or to the shared folder until the session ends.
+    """
+    vocabulary = tokenizer or tokenizer_path()
     end = int(end_id).to_bytes(4, "little")
-    shards = max(1, -(-docs.count() // DOCS_PER_SHARD))
-    base = docs.select(bucket_of("doc_id", id_bounds(docs, "doc_id", shards)).alias("shard"), F.col("doc_id").cast("bigint"), text_of().alias("text"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids = [narrow(x + end) for x in encoder(path).encode(batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, part, held, size = None, 0, [], 0
+        shard, part, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def file() -> pa.RecordBatch:
             arrays = [pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([write_file(held)], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, ["shard", "part", "tokens", "payload"])
 
-        for batch in batches:
-            for s, d, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if held and (s != shard or size >= IDS_PER_FILE):
+        for batch in slices(batches):
+            for d, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
+                if held and size >= IDS_PER_FILE:
                     yield file()
                     held, size, part = [], 0, part + 1
-                if s != shard:
-                    shard, part = s, 0
-                raw = widen(ids.as_py())
-                held.append((d if d is not None else -(2**63), raw))
-                size += len(raw) // 4
+                held.append((d, ids + end))
+                size += len(ids) // 4 + 1
         if held:
             yield file()
 
-    encoded = base.mapInArrow(encode, "shard int, doc_id bigint, ids binary")
-    in_order = encoded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    return materialise(in_order.mapInArrow(write, "shard int, part int, tokens bigint, payload binary"), "token-files", **LARGE_ROWS)
+    files = base.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, "shard int, part int, tokens bigint, payload binary")
+    return materialise(files, "token-files", path, **LARGE_ROWS)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """One row per document, from the files alone: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
-    spark = files.sparkSession
-    totals = sorted((r["shard"], r["tokens"]) for r in files.groupBy("shard").agg(F.sum("tokens").alias("tokens")).collect())  # a row per shard
-    starts, ids = [], 0
-    for shard, tokens in totals:
-        starts.append((shard, ids))
-        ids += tokens
+    shards = files.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
+    # A row per shard, which is a partition of the writing job.
+    shards = shards.select("shard", (F.sum("shard_tokens").over(Window.orderBy("shard")) - F.col("shard_tokens")).alias("shard_start"))
     order = Window.partitionBy("shard").orderBy("part")
-    parts = files.select("shard", "part", (F.sum("tokens").over(order) - F.col("tokens")).alias("part_start"))
-    parts = parts.join(F.broadcast(spark.createDataFrame(starts, "shard int, shard_start bigint")), "shard")
+    parts = files.select("shard", "part", (F.sum("tokens").over(order) - F.col("tokens")).alias("part_start")).join(shards, "shard")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                table, values = read_file(payload.as_py())
+                table, no_id, values = read_file(payload.as_py())
                 ends = np.cumsum(table[:, 1])
                 raw = memoryview(values.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), table[:, 1].tolist(), strict=True)]
-                no_id = table[:, 0] == -(2**63)
                 arrays = [pa.array(np.full(len(table), shard, np.int32)), pa.array(np.full(len(table), part, np.int32)), pa.array(table[:, 0], mask=no_id), pa.array(ends - table[:, 1]), pa.array(table[:, 1]), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["shard", "part", "doc_id", "start", "n_tokens", "ids_crc32"])
 

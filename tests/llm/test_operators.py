@@ -40,27 +40,21 @@ def test_against_sql(spark, name):
 
 
 def pieces(text):
-    big, small = (re.compile(rf"(?:\S+[^\S\n]*){{1,{n}}}") for n in (fingerprints.PIECE, fingerprints.FINE))
-    out, at = set(), 0
-    while m := re.compile(r"\S").search(text, at):
-        x = (small if m.start() <= fingerprints.FIRST else big).match(text, m.start())
-        out.add(x.group())
-        at = x.end()
-    return out
+    word = rf"\S{{1,{fingerprints.WORD}}}+[^\S\n]{{0,{fingerprints.BLANKS}}}+"
+    return set(re.findall(rf"(?a:(?:{word}){{1,{fingerprints.PIECE}}}+)", text))
 
 
 def likeness(a, b):
     a, b = pieces(a), pieces(b)
-    size = lambda s: sum(min(len(x), 4095) for x in s)
+    size = lambda s: sum(map(len, s))
     return size(a & b) / size(a | b) if a | b else 1.0
 
 
-def test_fingerprints(spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", 4)
+def test_fingerprints(spark):
     long_ = "\n".join(prose(k, 12) for k in range(300))
-    texts = [*ODD, long_, long_ + "\nmore of it", prose(1, 80), prose(1, 80)]
+    texts = [*ODD, long_, long_ + "\nmore of it", prose(1, 80), prose(1, 80), "的" * 3000, "x " + " " * 900 + "y", prose(8, 9000)]
     docs = documents(spark, texts)
-    rows = {r.doc_id: r for r in fingerprints.edits(docs).collect()}
+    rows = {r.doc_id: r for r in fingerprints.edits(docs.repartition(5)).collect()}
     order = list(reversed(range(len(texts))))
     for i, k in enumerate(order):
         mine, after = texts[k] or "", texts[order[(i + 1) % len(order)]] or ""
@@ -73,6 +67,19 @@ def test_fingerprints(spark, monkeypatch):
     assert rows[0].fingerprint == rows[1].fingerprint
     assert fingerprints.edits(docs.limit(0)).count() == 0
     assert fingerprints.edits(docs.where("doc_id = 3")).first().near_next == 1.0
+    repeated = docs.where("doc_id in (3, 9)").unionByName(docs.where("doc_id = 9")).unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("bigint")))
+    made = fingerprints.edits(repeated).collect()
+    assert len(made) == 4 and {(r.doc_id, r.near_next) for r in made} == {(9, 0.0), (3, 1.0), (None, 0.0)}
+
+
+def test_fingerprints_fall_back_to_keys(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CELLS", 1)
+    monkeypatch.setattr(fingerprints, "QUARTERED", 0)
+    monkeypatch.setattr(fingerprints, "GROWN", 1)
+    docs = documents(spark, [prose(1, 200), prose(1, 160) + prose(2, 40)])
+    rows = {r.doc_id: r for r in fingerprints.edits(docs).collect()}
+    a, b = (r.text for r in docs.orderBy("doc_id").collect())
+    assert rows[0].near_next == pytest.approx(likeness(a, b)) and rows[1].near_next == pytest.approx(likeness(a, b))
 
 
 # ---- 2 ----
@@ -226,7 +233,6 @@ TOKEN_TEXTS = [*ODD, prose(2, 50), "It's DON'T we'll\x1cx <|endoftext|> ½ ２ 
 
 
 def test_token_files(spark, monkeypatch):
-    monkeypatch.setattr(token_files, "DOCS_PER_SHARD", 3)
     monkeypatch.setattr(token_files, "IDS_PER_FILE", 100)
     docs = documents(spark, TOKEN_TEXTS)
     rows = sorted(token_files.read_token_files(token_files.write_token_files(docs)).collect())
@@ -236,6 +242,29 @@ def test_token_files(spark, monkeypatch):
         assert tuple(r) == (k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert token_files.read_token_files(token_files.write_token_files(docs.limit(0))).count() == 0
+    no_id = docs.where("doc_id in (3, 4)").unionByName(docs.where("doc_id < 2").withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(-(2**63))))
+    made = token_files.read_token_files(token_files.write_token_files(no_id)).orderBy("start").collect()
+    assert [r.doc_id for r in made] == [None, None, -(2**63), 3, 4] and [r.start for r in made] == list(np.cumsum([0] + [r.n_tokens for r in made])[:-1])
+
+
+def test_token_files_stay_where_they_are_wanted(spark, tmp_path):
+    docs = documents(spark, TOKEN_TEXTS)
+    token_files.write_token_files(docs, path=str(tmp_path / "ids"))
+    assert token_files.read_token_files(spark.read.parquet(str(tmp_path / "ids"))).count() == len(TOKEN_TEXTS)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_librarys(spark, name):
+    from tokenizers import Tokenizer
+
+    from brightfield.llm import token_ids
+
+    path = token_ids.tokenizer_path(name)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += [t or "" for t in TOKEN_TEXTS] + ["hello <|endoftext|> world", "x<|startoftext|>y", "e ́x\ty\r\n z", "ΣΑΣ ΣΑΣ. ﬁ", "你好 世界"]
+    library, made = Tokenizer.from_file(path), token_ids.Encoder(path)
+    assert made.by_word == (name == "word_bpe_49k.json")
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_added_tokens_in_plain_texts():
@@ -283,6 +312,14 @@ def test_plan_is_whole_and_tight(seed):
     assert filled.max() <= packing.CAPACITY and filled.min() > 0 and len(filled) == plan.n_sequences
     large = sum(c for n, c in histogram.items() if n > packing.CAPACITY / 2)
     assert plan.n_sequences <= 1.35 * max(total / packing.CAPACITY, large) + 2
+    assert plan.n_sequences <= packing.rounded(histogram, [], 0.0).n_sequences
+
+
+def test_the_program_beats_filling_gaps_alone():
+    rng = np.random.default_rng(1)
+    sizes, counts = np.unique(rng.integers(1200, 1900, 50_000), return_counts=True)
+    histogram = dict(zip(sizes.tolist(), counts.tolist(), strict=True))
+    assert packing.plan_packing(histogram).n_sequences < 0.985 * packing.rounded(histogram, [], 0.0).n_sequences
 
 
 # ---- 7 and 9 ----
