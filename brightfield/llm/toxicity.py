@@ -1,14 +1,16 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-Words are compared by the string kernel of common, possibly gapped, subsequences of three characters, so inserted characters and
-spelled-out words still resemble an insult. Landmarks are the words that tell toxic from other labelled documents best, or
-beginnings of words (^ marks a word's start), and are compared with every stretch of a word. A sentence's kernel to a landmark is the largest of its words'; the landmarks' own kernel matrix whitens these values (Nyström),
-and a linear support vector machine is trained on labelled sentences: those of toxic documents that hold a telling word, and
-those of other documents that resemble any landmark. A document counts by its most toxic sentence and by how many there are;
-a logistic fit on documents kept apart makes that a probability.
+Words are compared by the string kernel of common, possibly gapped, subsequences of three characters, divided by the words' norms:
+inserted characters and spelled-out words still resemble an insult. Landmarks are words that tell toxic from other labelled
+documents, by the z-score of their log odds, and some words drawn by hash; the landmarks' own kernel matrix whitens the kernel
+values (Nyström). A linear support vector machine is trained on labelled sentences, each by the word of it that most resembles
+telling landmarks. Its margin is linear in a word's subsequences, so that the landmarks fold into one weight for each subsequence:
+scoring a word costs the same for any number of landmarks. A document counts by its most toxic sentence and by how many of its different
+words are toxic or doubtful; a logistic fit makes that a probability.
 
 Defined cases: a null or empty text has no sentences and the lowest score; without labels of both classes every score is 0;
-labels other than 0 and 1 and those of held-out documents are not used; of several labels of a document the largest counts.
+labels other than 0 and 1 and those of held-out documents are not used; of several labels of a document the largest counts; words
+longer than LONG characters count as overlapping windows of that length.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -29,31 +32,28 @@ from brightfield.llm.common import held_out, materialise, slices, struct_of, tex
 from brightfield.llm.learning import labelled_sample
 from brightfield.llm.near_dedup import shingle_set
 
-LANDMARKS, CANDIDATES = 64, 600
-#: Lengths of the beginnings of words that may become landmarks.
-STEMS = range(4, 9)
+#: Landmarks by z-score and by hash, and how many words are looked at for the former.
+TELLING, DRAWN, CANDIDATES = 96, 32, 1_000
+#: A telling word that resembles a chosen one so closely adds nothing.
+ALIKE = 0.9
 #: The most labelled documents that the model is fitted on.
 MOST = 20_000
+#: A toxic document is learnt by so many words that most resemble telling ones and come so close to its best; another by so many.
+TOXIC_WORDS, CLOSE, OTHER_WORDS = 3, 0.8, 4
+#: What an error on a toxic example costs more than on another.
+TOXIC_WEIGHT = 3.0
+RIDGE, NEWTON_STEPS = 1e-3, 20
+#: The margin over which a word counts as doubtful.
+DOUBTFUL = -0.5
+#: Margins count up to this size.
+EXTREME = 1.5
 #: Characters of a subsequence, and what each character that it spans costs.
-ORDER, DECAY = 3, 0.9
-#: The power of the kernel, a kernel again, in which resemblance by chance counts little.
-POWER = 2
-#: Characters that may be put into a landmark's length of a word, for each of the landmark's characters.
-SLACK = 0.75
-#: Longer words are compared in windows that overlap by the longest stretch.
-WINDOW = 36
-#: Kernel values below this count as none.
-LEAST = 0.4
-#: Different characters of a landmark that the gate looks for at first.
-GATED = 9
-#: The least log odds of a telling word, and of its log odds times its toxic documents: what chance alone rarely reaches.
-TELLING, WORTH = 2.5, 25.0
-#: The number of toxic documents that a telling word is found in at least.
-FEWEST = 5
+ORDER, DECAY = 3, 0.95
+#: Longer words are compared in windows that overlap by half.
+LONG = 24
 THRESHOLD = 0.5
 #: Words that a worker remembers; the cache is emptied when full.
 WORDS = 600_000
-SENTENCES = 60_000
 
 _TOKEN = re.compile(r"[^\W_]+(?:[^\w\s]{1,2}[^\W_]+)*")
 _SPELLED = re.compile(r"(?<!\S)[^\W\d_](?:[ .*_-]{1,2}[^\W\d_](?![^\W_])){3,}")
@@ -61,174 +61,103 @@ _SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\S)[^.!?\n]+)*")
 _OTHER = re.compile(r"[\W_]+")
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-case words; characters put between letters stay in their word, letters spelled out one by one make one word."""
-    low = text.lower()
-    words = ["^" + t if t.isalnum() else "^" + _OTHER.sub("", t) for t in _TOKEN.findall(low)]
-    return words + ["^" + _OTHER.sub("", t) for t in _SPELLED.findall(low)]
+def _word(token: str) -> str:
+    return "^" + (token if token.isalnum() else _OTHER.sub("", token))
 
 
-def word_set(low: str) -> set[str]:
-    """The different tokens of a text in lower case."""
-    words = {"^" + t if t.isalnum() else "^" + _OTHER.sub("", t) for t in set(_TOKEN.findall(low))}
-    return words.union("^" + _OTHER.sub("", t) for t in _SPELLED.findall(low))
+def tokens(low: str) -> list[str]:
+    """The words of a lower-case text, ^ before each; characters put between letters stay in their word, and letters spelled out one by one
+    make one word more."""
+    return [_word(t) for t in _TOKEN.findall(low)] + [_word(t) for t in _SPELLED.findall(low)]
+
+
+def windows(word: str) -> list[str]:
+    """A word, or the overlapping windows of a long one."""
+    return [word] if len(word) <= LONG else [word[i : i + LONG] for i in range(0, len(word) - LONG // 2, LONG // 2)]
 
 
 # ---- the kernel ----
 
 
-def _codes(words: list[str], width: int) -> np.ndarray:
-    out = np.zeros((len(words), width), np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [ord(c) for c in w[:width]]
-    return out
+def _codes(words: list[str]) -> np.ndarray:
+    """Character codes of words of one length."""
+    return np.array([list(map(ord, w)) for w in words], np.int32).reshape(len(words), -1)
 
 
-def _beginnings_kernel(a: np.ndarray, b: np.ndarray, alone: bool = False) -> np.ndarray:
-    """Unnormalised kernels of all beginnings of the rows of a (column k: of k + 1 characters) with the rows of b, or alone, with the
-    beginnings of b of the same length; character codes, 0 fills up."""
+def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Kernels of the rows of a with those of b (character codes): the dynamic program over gapped common subsequences."""
     n, width, other = len(a), a.shape[1], b.shape[1]
-    same = np.ascontiguousarray(((a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]).transpose(1, 2, 0)) * np.float32(DECAY * DECAY)
-    before = np.ones((width + 1, other + 1, n), np.float32)
+    before = np.ones((width + 1, other + 1, n))
     for order in range(ORDER):
-        after = np.zeros((width + 1, other + 1, n), np.float32)
-        total = np.zeros((width, n), np.float32)
+        after, total = np.zeros((width + 1, other + 1, n)), np.zeros(n)
         for i in range(order + 1, width + 1):
-            run = np.zeros(n, np.float32)
+            run = np.zeros(n)
             for j in range(order + 1, other + 1):
-                hit = same[i - 1, j - 1] * before[i - 1, j - 1]
-                if order == ORDER - 1:
-                    total[max(i, j) - 1 if alone else i - 1] += hit
-                else:
-                    run = DECAY * run + hit
-                    after[i, j] = DECAY * after[i - 1, j] + run
+                hit = (a[:, i - 1] == b[:, j - 1]) * before[i - 1, j - 1] * DECAY**2
+                total += hit
+                run = DECAY * run + hit
+                after[i, j] = DECAY * after[i - 1, j] + run
         before = after
-    return np.cumsum(total, axis=0).T
-
-
-def _subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Unnormalised kernels of the rows of a with those of b (character codes, 0 fills up)."""
-    return _beginnings_kernel(a, b)[:, -1]
-
-
-class Gate:
-    """The pairs of a word and a landmark whose normalised kernel can reach LEAST, for the word or any stretch of it.
-
-    By Cauchy and Schwarz the kernel is at most the norm of those of the landmark's features that the word has, over the norm of
-    all. The word has a subsequence only if it has its characters, tried first, and neighbours in that order.
-    """
-
-    def __init__(self, landmarks: list[str]):
-        letters = sorted(set("".join(landmarks)))
-        self.letters = np.array([ord(c) for c in letters], np.int32)
-        at = {c: k for k, c in enumerate(letters)}
-        self.bits = np.zeros((len(letters), len(landmarks)), np.float32)
-        self.subsets = np.zeros((len(landmarks), 1 << GATED), bool)
-        features = []
-        for m, mark in enumerate(landmarks):
-            own: dict[tuple[int, ...], float] = {}
-            for x in combinations(range(len(mark)), ORDER):
-                key = tuple(at[mark[i]] for i in x)
-                own[key] = own.get(key, 0) + DECAY ** (x[-1] - x[0] + 1)
-            chars = sorted({at[c] for c in mark})[:GATED]
-            self.bits[chars, m] = 1 << np.arange(len(chars))
-            norm = sum(v * v for v in own.values()) or 1.0
-            part = np.zeros(1 << GATED)
-            for key, v in own.items():
-                part[sum(1 << chars.index(c) for c in set(key) if c in chars)] += v * v / norm
-            for bit in range(GATED):  # from the features of each set of characters to those of all its subsets
-                pair = part.reshape(-1, 2, 1 << bit)
-                pair[:, 1] += pair[:, 0]
-            self.subsets[m] = part >= LEAST**2 * 0.999
-            features.append([(key, v * v / norm) for key, v in own.items()])
-        most = max(map(len, features), default=0)
-        self.keys = np.zeros((len(landmarks), ORDER - 1, most), np.int64)  # neighbours in each feature
-        self.worth = np.zeros((len(landmarks), most), np.float32)
-        for m, found in enumerate(features):
-            for k, (key, v) in enumerate(found):
-                self.keys[m, :, k] = [x * (len(letters) + 1) + y for x, y in zip(key, key[1:])]
-                self.worth[m, k] = v
-
-    def letters_of(self, codes: np.ndarray) -> np.ndarray:
-        """Numbers of the characters, that of no landmark's last."""
-        size = len(self.letters)
-        letter = np.minimum(np.searchsorted(self.letters, codes), size - 1)
-        return np.where(self.letters[letter] == codes, letter, size)
-
-    def possible(self, letter: np.ndarray) -> np.ndarray:
-        """rows x landmarks: whether the row's characters, in any order, let the kernel reach LEAST."""
-        has = np.zeros((len(letter), len(self.letters) + 1), np.float32)
-        has[np.arange(len(letter))[:, None], letter] = 1
-        return self.subsets[np.arange(len(self.subsets)), (has[:, :-1] @ self.bits).astype(np.int64)]
-
-    def pairs(self, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.narrowed(letter, *np.nonzero(self.possible(letter)))
-
-    def narrowed(self, letter: np.ndarray, word: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of the pairs of a row and a landmark whose kernel the order of the row's characters lets reach LEAST."""
-        size, kept = len(self.letters), np.zeros(len(word), bool)
-        for i in range(0, len(word), 4096):
-            w, key = word[i : i + 4096], self.keys[mark[i : i + 4096]]
-            used, at = np.unique(w, return_inverse=True)
-            order = np.zeros((len(used), (size + 1) ** 2), bool)
-            for k in range(letter.shape[1] - 1):
-                np.put_along_axis(order, letter[used, k, None] * (size + 1) + letter[used, k + 1 :], True, axis=1)
-            flat = order.ravel()
-            base = (at * (size + 1) ** 2)[:, None]
-            found = np.logical_and.reduce([flat[base + key[:, k]] for k in range(ORDER - 1)])
-            kept[i : i + 4096] = (found * self.worth[mark[i : i + 4096]]).sum(1) >= LEAST**2 * 0.999
-        return word[kept], mark[kept]
-
-
-class Kernel:
-    """Normalised kernels of words to landmarks: the largest over the word's stretches, as long as the landmark or up to SLACK times longer.
-
-    Landmarks are beginnings, so an insulting stem counts in full at a word's start, and less the ^ elsewhere, whatever follows it. A
-    stretch that starts with none of the landmark's characters is never the best. Only pairs that the gate proves to stay
-    under LEAST are 0 without computing.
-    """
-
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        self.sizes = np.array([len(x) for x in landmarks], np.int64)
-        self.codes = _codes(landmarks, int(self.sizes.max(initial=1)))
-        self.own = np.maximum(_subsequence_kernel(self.codes, self.codes), 1e-12)
-        self.gate = Gate(landmarks)
-        self.most = np.ceil(self.sizes * (1 + SLACK)).astype(np.int64)
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """words x landmarks."""
-        out = np.zeros((len(words), len(self.landmarks)))
-        if not self.landmarks:
-            return out
-        longest = int(self.most.max())
-        step = max(1, WINDOW - longest)
-        parts = [(k, w[i : i + step + longest]) for k, w in enumerate(words) for i in range(0, max(1, len(w) - longest), step)]
-        owner = np.array([k for k, _ in parts], np.int64)
-        codes = _codes([x for _, x in parts], max((len(x) for _, x in parts), default=1) + longest)
-        letter = self.gate.letters_of(codes)
-        part, mark = self.gate.pairs(letter[:, : codes.shape[1] - longest])
-        for i in range(0, len(part), 1024):
-            p, m = part[i : i + 1024], mark[i : i + 1024]
-            pair, start = np.nonzero((codes[p][:, : codes.shape[1] - longest, None] == self.codes[m][:, None, :]).any(2) & (codes[p] != 0)[:, : codes.shape[1] - longest])
-            # The different stretches that start somewhere, and the landmarks to compare each with.
-            place, row = np.unique(p[pair] * codes.shape[1] + start, return_inverse=True)
-            reach = (place // codes.shape[1])[:, None], (place % codes.shape[1])[:, None] + np.arange(longest)
-            stretch = codes[reach]
-            some = self.gate.possible(letter[reach])[row, m[pair]]
-            row, marks = self.gate.narrowed(letter[reach], row[some], m[pair][some])
-            if not len(row):
+    return total
+
+
+@lru_cache(maxsize=64)
+def _places(length: int) -> list[tuple[int, int, int, float]]:
+    return [(i, j, k, DECAY ** (k - i + 1)) for i, j, k in combinations(range(length), ORDER)]
+
+
+class Subsequences:
+    """Numbers for the subsequences of some words; 0 is any other."""
+
+    def __init__(self, words: list[str]):
+        self.letters = np.array(sorted({ord(c) for w in words for c in w}), np.int32)
+        size = len(self.letters) + 1  # the last letter stands for all others
+        pairs: dict[tuple[int, int], int] = {}
+        triples: dict[tuple[int, int], int] = {}
+        for w in words:
+            x = self._letters(_codes([w]))[0].tolist()
+            for i, j, k, _ in _places(len(x)):
+                pair = pairs.setdefault((x[i], x[j]), len(pairs) + 1)
+                triples.setdefault((pair, x[k]), len(triples) + 1)
+        self.pair = np.zeros((size, size), np.int32)
+        for (x, y), k in pairs.items():
+            self.pair[x, y] = k
+        self.triple = np.zeros((len(pairs) + 1, size), np.int32)
+        for (p, x), k in triples.items():
+            self.triple[p, x] = k
+        self.count = len(triples) + 1
+
+    def _letters(self, codes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.letters, codes)
+        last = len(self.letters)
+        return np.where((at < last) & (self.letters[np.minimum(at, last - 1)] == codes), at, last)
+
+    def sums(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """For each word the sum of its normalised features by the rows of ``weights`` (one for each number)."""
+        out = np.zeros((len(words), *weights.shape[1:]))
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            if len(w) >= ORDER:
+                by_length.setdefault(len(w), []).append(k)
+        for length, mine in by_length.items():
+            codes = _codes([words[k] for k in mine])
+            letters, total = self._letters(codes), np.zeros((len(mine), *weights.shape[1:]))
+            for i, j, k, decay in _places(length):
+                total += decay * weights[self.triple[self.pair[letters[:, i], letters[:, j]], letters[:, k]]]
+            norm = np.sqrt(np.maximum(_kernel(codes, codes), 1e-12))
+            out[mine] = total / norm.reshape(-1, *[1] * (total.ndim - 1))
+        return out
+
+    def table(self, words: list[str]) -> np.ndarray:
+        """The normalised features of the words themselves: a column for each."""
+        out = np.zeros((self.count, len(words)))
+        for m, w in enumerate(words):
+            if len(w) < ORDER:
                 continue
-            used, at = np.unique(row, return_inverse=True)
-            stretch = stretch[used]
-            own = np.maximum(_beginnings_kernel(stretch, stretch, alone=True), 1e-12)
-            value = _beginnings_kernel(stretch[at], self.codes[marks]) / np.sqrt(own[at] * self.own[marks][:, None])
-            lengths = (stretch != 0).sum(1)[at]
-            size = np.arange(1, longest + 1)
-            least = self.sizes[marks] - (stretch[at, 0] != ord("^"))
-            fits = (size >= np.minimum(least, lengths)[:, None]) & (size <= np.minimum(self.most[marks], lengths)[:, None])
-            best = np.minimum(np.where(fits, value, 0).max(1), 1)
-            np.maximum.at(out, (owner[place[used][at] // codes.shape[1]], marks), np.where(best >= LEAST, best**POWER, 0))
+            x, codes = self._letters(_codes([w]))[0], _codes([w])
+            for i, j, k, decay in _places(len(w)):
+                out[self.triple[self.pair[x[i], x[j]], x[k]], m] += decay
+            out[:, m] /= np.sqrt(_kernel(codes, codes)[0])
         return out
 
 
@@ -237,93 +166,77 @@ class Kernel:
 
 @dataclass
 class ToxicityModel:
-    landmarks: list[str]
-    whiten: np.ndarray
-    weights: np.ndarray
-    bias: float
-    logistic: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    known: dict[str, np.ndarray | None] = field(default_factory=dict)
-    kernel: Kernel | None = None
+    """The weight of each subsequence and of none (bias), and the logistic fit of a document's evidence."""
+
+    subsequences: Subsequences | None = None
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    bias: float = 0.0
+    logistic: tuple[np.ndarray, float] = field(default_factory=lambda: (np.array([1.0, 0.0, 0.0]), 0.0))
+    known: dict[str, float] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "kernel": None}
-
-    def learn(self, texts: list[set[str]]) -> None:
-        """Remember the kernel values of words not seen before; None for words that resemble no landmark."""
-        if self.kernel is None:
-            self.kernel = Kernel(self.landmarks)
-        new = sorted(set().union(*texts).difference(self.known), key=len)  # words of a length together
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            values = self.kernel.of(some)
-            like = values.max(1) > 0
-            self.known.update((w, values[k].astype(np.float32) if like[k] else None) for k, w in enumerate(some))
-
-    def forget(self) -> None:
-        """Empty a full cache: between batches only, as a batch's texts look up the words learnt for it."""
-        if len(self.known) > WORDS:
-            self.known.clear()
+        return self.__dict__ | {"known": {}}
 
-    def sentences(self, low: str, words: set[str]) -> np.ndarray:
-        """The kernel rows of the sentences of a lower-case text that resemble any landmark."""
-        if all(self.known[w] is None for w in words):
-            return np.zeros((0, len(self.landmarks)))
-        rows = []
-        for s in _SENTENCE.findall(low):
-            like = [v for w in tokens(s) if (v := self._value(w)) is not None]
-            if like:
-                rows.append(np.max(like, axis=0))
-        return np.array(rows) if rows else np.zeros((0, len(self.landmarks)))
-
-    def _value(self, word: str) -> np.ndarray | None:
-        if word not in self.known:
-            self.learn([{word}])
-        return self.known[word]
+    def margins(self, words: list[str]) -> np.ndarray:
+        """Margins of words; a long one has that of its most toxic window."""
+        parts = [windows(w) for w in words]
+        flat = self.subsequences.sums([p for x in parts for p in x], self.weights)
+        starts = np.cumsum([0] + [len(x) for x in parts[:-1]])
+        return np.maximum.reduceat(flat, starts) + self.bias
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """For each text: the largest margin of its sentences, and the logarithm of the number of toxic ones."""
-        lows = [t.lower() for t in texts]
-        words = [word_set(t) for t in lows]
-        self.forget()
-        self.learn(words)
-        out = np.full((len(texts), 2), [self.bias, 0.0])
-        for k, (t, w) in enumerate(zip(lows, words, strict=True)):
-            rows = self.sentences(t, w)
-            if len(rows):
-                margins = rows @ self.whiten @ self.weights + self.bias
-                out[k] = max(margins.max(), self.bias), np.log1p((margins > 0).sum())
-        return np.clip(out, -20, 20)
+        """For each text: the margin of its most toxic sentence, which is that of its most toxic word, and the logarithms of one more than the
+        numbers of its toxic and of its doubtful words."""
+        own = [set(tokens(t.lower())) for t in texts]
+        if len(self.known) > WORDS:
+            self.known.clear()
+        new = list(set().union(*own).difference(self.known))
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            self.known.update(zip(some, self.margins(some).tolist(), strict=True))
+        out = np.zeros((len(texts), 3))
+        for k, words in enumerate(own):
+            x = np.fromiter(map(self.known.__getitem__, words), float, len(words))
+            out[k] = np.clip(x.max(initial=-EXTREME), -EXTREME, EXTREME), np.log1p((x > 0).sum()), np.log1p((x > DOUBTFUL).sum())
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if not self.landmarks:
+        if self.subsequences is None or not texts:
             return np.zeros(len(texts))
-        x = self.evidence(texts)
-        a, b, c = self.logistic
-        return 1 / (1 + np.exp(-(a * x[:, 0] + b * x[:, 1] + c)))
+        slopes, start = self.logistic
+        return 1 / (1 + np.exp(-(self.evidence(texts) @ slopes + start)))
 
 
-def _telling_words(sample: DataFrame) -> list[tuple[str, float]]:
-    """Beginnings of words by how well they tell toxic documents apart: document counts of the two classes, best first."""
+def _counted_words(sample: DataFrame) -> DataFrame:
+    """word, z (of its log odds) by the numbers of toxic and other documents that hold it."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             count: tuple[Counter, Counter] = Counter(), Counter()
             for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = word_set(t.lower())
-                count[label].update({x[: n + 1] for x in own for n in STEMS if len(x) > n or n == STEMS[0] and len(x) > 3})
-            stems = list(count[0] | count[1])
-            columns = [pa.array(stems, pa.string()), *[pa.array([count[y][x] for x in stems], pa.int64()) for y in (1, 0)]]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "toxic", "other"])
-
-    total = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n1, n0 = total.get(1, 0), total.get(0, 0)
-    if not n1 or not n0:
+                count[label].update({p for w in set(tokens(t.lower())) for p in windows(w)})
+            every = list(count[0] | count[1])
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([count[y][x] for x in every], pa.int64()) for y in (1, 0)]], ["word", "toxic", "other"])
+
+    total = sample.groupBy().agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    counts = sample.select("text", "label").mapInArrow(words, "word string, toxic bigint, other bigint")
+    counts = counts.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b")).crossJoin(total)  # one row of totals
+    cells = [F.col("a") + 0.5, F.col("n1") - F.col("a") + 0.5, F.col("b") + 0.5, F.col("n0") - F.col("b") + 0.5]
+    odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
+    return counts.select("word", (odds / F.sqrt(sum(1 / c for c in cells))).alias("z"))
+
+
+def choose_landmarks(words: list[str], most: int = TELLING) -> list[str]:
+    """Telling words from the best on, without those that resemble a chosen one closely."""
+    if not words:
         return []
-    counts = sample.select("text", "label").mapInArrow(words, "word string, toxic bigint, other bigint").groupBy("word")
-    counts = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(F.col("toxic") >= FEWEST)
-    odds = F.log((F.col("toxic") / n1 + 1e-4) / (F.col("other") / n0 + 1e-4))
-    best = counts.select("word", odds.alias("odds"), (F.col("toxic") * odds).alias("worth")).where((F.col("odds") >= TELLING) & (F.col("worth") >= WORTH))
-    return [(r["word"], r["odds"]) for r in best.orderBy(F.desc("worth"), F.desc(F.length("word")), "word").limit(CANDIDATES).collect()]
+    known = Subsequences(words)
+    table = known.table(words)
+    taken: list[int] = []
+    for k in range(len(words)):
+        if len(taken) < most and (not taken or (table[:, taken].T @ table[:, k]).max() < ALIKE):
+            taken.append(k)
+    return [words[k] for k in taken]
 
 
 def _without_copies(sample: DataFrame) -> DataFrame:
@@ -339,80 +252,91 @@ def _without_copies(sample: DataFrame) -> DataFrame:
     return made.withColumn("turn", turn).where(F.col("least").isNotNull() & (F.col("turn") == 1)).select("text", "label", "part")
 
 
-def choose_landmarks(words: list[tuple[str, float]], most: int = LANDMARKS) -> list[str]:
-    """Telling words from the best on, without those that resemble a chosen one closely."""
-    chosen: list[str] = []
-    if not words:
-        return chosen
-    kernel = Kernel([w for w, _ in words])
-    alike = kernel.of(kernel.landmarks)
-    alike = np.maximum(alike, alike.T)
-    taken: list[int] = []
-    for k in range(len(words)):
-        if len(taken) < most and (not taken or alike[k, taken].max() < 0.6):
-            taken.append(k)
-    return [words[k][0] for k in taken]
+def _support_vectors(rows: DataFrame, size: int) -> tuple[np.ndarray, float]:
+    """The slopes and bias of a linear support vector machine with squared hinge loss, by Newton steps whose sums the partitions make."""
+    w = np.zeros(size + 1)
+    for _ in range(NEWTON_STEPS):
+
+        def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((size + 3, size + 1))
+            for b in batches:
+                if b.num_rows:
+                    x = np.hstack([b.column(0).flatten().to_numpy().reshape(b.num_rows, size), np.ones((b.num_rows, 1))])
+                    side = 2 * b.column(1).to_numpy() - 1
+                    short = np.maximum(1 - side * (x @ w), 0)
+                    cost = np.where(side > 0, TOXIC_WEIGHT, 1.0)
+                    inside = x * (cost * (short > 0))[:, None]
+                    total[:-1] += np.vstack([inside.T @ x, -(side * short) @ inside])
+                    total[-1, 0] += cost.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        found = rows.select("x", "label").coalesce(4).mapInArrow(sums, "total binary").collect()  # four sums, of fixed size
+        total = sum(np.frombuffer(r["total"]).reshape(size + 3, size + 1) for r in found)
+        ridge = RIDGE * total[-1, 0] * np.diag([1.0] * size + [1e-6])
+        step = np.linalg.solve(total[:-2] + ridge, total[-2] + ridge @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w[:-1], float(w[-1])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST) -> ToxicityModel:
-    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Matrices
 
     sample = labelled_sample(docs, labels, "toxic", most).select(text_of().alias("text"), "label", "part")
     sample = materialise(_without_copies(sample), "toxicity-sample")
-    train = sample.where("part > 0")
-    telling = _telling_words(train)
-    landmarks = choose_landmarks(telling)
-    m = len(landmarks)
-    model = ToxicityModel(landmarks, np.eye(m), np.zeros(m), 0.0)
-    if not landmarks:
-        return model
-    values, vectors = np.linalg.eigh(Kernel(landmarks).of(landmarks))
-    model.whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    strong = tuple(w for w, _ in telling)
+    if {r["label"] for r in sample.select("label").distinct().collect()} != {0, 1}:
+        return ToxicityModel()
+    counted = materialise(_counted_words(sample), "toxicity-words")
+    best = {r["word"]: r["z"] for r in counted.orderBy(F.desc("z"), "word").limit(CANDIDATES).collect()}
+    telling = choose_landmarks(list(best))
+    drawn = [r["word"] for r in counted.orderBy(F.xxhash64("word"), "word").limit(DRAWN).collect()]
+    landmarks = list(dict.fromkeys([*telling, *drawn]))
+    known = Subsequences(landmarks)
+    table = known.table(landmarks)
+    values, vectors = np.linalg.eigh(table.T @ table)
+    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    z = np.array([max(best[w], 0.0) for w in telling])
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x, y = [], []
-            texts = b.column(0).to_pylist()
-            model.forget()
-            model.learn([word_set(t.lower()) for t in texts])
+            texts = [t.lower() for t in b.column(0).to_pylist()]
+            words = sorted({p for t in texts for w in tokens(t) for p in windows(w)})
+            like = {}
+            for i in range(0, len(words), 4_000):
+                some = words[i : i + 4_000]
+                like.update(zip(some, (known.sums(some, table)[:, : len(z)] * z).max(1).tolist(), strict=True))
+            chosen: dict[tuple[str, float], None] = {}
             for t, label in zip(texts, b.column(1).to_pylist(), strict=True):
-                for s in _SENTENCE.findall(t):
-                    own = tokens(s)
-                    rows = [v for w in own if (v := model._value(w)) is not None]
-                    if rows and (not label or any(w.startswith(strong) for w in own)):
-                        x.append((np.max(rows, axis=0) @ model.whiten).tolist())
-                        y.append(float(label))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], ["x", "label"])
-
-    rows = materialise(train.select("text", "label").mapInArrow(sentences, "x array<double>, label double"), "toxicity-sentences")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not counts.get(1.0):
-        return ToxicityModel([], np.eye(0), np.zeros(0), 0.0)
-    if not counts.get(0.0):
-        rows = rows.unionByName(rows.limit(1).select(F.transform("x", lambda v: v * 0).alias("x"), F.lit(0.0).alias("label")))
-    share = min(1.0, SENTENCES / sum(counts.values()))
-    rows = rows.where(F.pmod(F.xxhash64("x"), F.lit(10_000)) < int(10_000 * share) + 1)
-    weight = F.when(F.col("label") == 1, counts.get(0.0, 1) / counts[1.0]).otherwise(1.0)
-    data = rows.select(array_to_vector("x").alias("features"), "label", F.greatest(F.lit(0.1), F.least(weight, F.lit(10.0))).alias("weight")).coalesce(4).cache()
-    svm = LinearSVC(maxIter=60, regParam=1e-4, weightCol="weight", standardization=False, threshold=0.0).fit(data)
-    data.unpersist()
-    model.weights, model.bias = svm.coefficients.toArray(), float(svm.intercept)
+                witness = {max(own, key=lambda w: (like[w], w)) for s in _SENTENCE.findall(t) if (own := [p for w in tokens(s) for p in windows(w) if p in like])}
+                best = sorted(((like[w], w) for w in witness), reverse=True)
+                chosen.update(((w, float(label)), None) for v, w in best[: TOXIC_WORDS if label else OTHER_WORDS] if not label or v >= CLOSE * best[0][0])
+            found = list(chosen)
+            for i in range(0, len(found), 4_000):
+                some = found[i : i + 4_000]
+                x = known.sums([w for w, _ in some], table) @ whiten
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some]), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array([y for _, y in some], pa.float64())], ["word", "x", "label"])
+
+    rows = materialise(sample.select("text", "label").mapInArrow(sentences, "word string, x array<double>, label double"), "toxicity-sentences")
+    # A word stands once among the others, whatever the number of documents.
+    rows = rows.where("label = 1").select("x", "label").unionByName(rows.where("label = 0").dropDuplicates(["word"]).select("x", "label"))
+    slopes, bias = _support_vectors(materialise(rows, "toxicity-examples"), len(landmarks))
+    model = ToxicityModel(known, table @ (whiten @ slopes), bias)
+    model.weights[0] = 0.0
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(model.evidence(b.column(0).to_pylist()).tolist(), pa.list_(pa.float64())), b.column(1).cast(pa.float64())], ["x", "label"])
 
-    apart = sample.where("part = 0").select("text", "label").mapInArrow(evidence, "x array<double>, label double")
-    apart = apart.select(array_to_vector("x").alias("features"), "label").coalesce(4).cache()
-    if apart.select("label").distinct().count() == 2:
-        fit = LogisticRegression(maxIter=50, regParam=1e-3).fit(apart)
-        a, b = fit.coefficients.toArray()
-        model.logistic = float(a), float(b), float(fit.intercept)
-    else:
-        model.logistic = (1.0, 0.0, 0.0)
-    apart.unpersist()
+    found = sample.select("text", "label").mapInArrow(evidence, "x array<double>, label double")
+    found = found.select(array_to_vector("x").alias("features"), "label", F.when(F.col("label") == 1, TOXIC_WEIGHT).otherwise(1.0).alias("weight")).cache()
+    # A more toxic or further toxic word never speaks for a document; doubtful words may.
+    least = Matrices.dense(1, 3, [0.0, 0.0, -np.inf])
+    fit = LogisticRegression(maxIter=100, regParam=1e-4, weightCol="weight", lowerBoundsOnCoefficients=least).fit(found)
+    found.unpersist()
+    model.logistic = fit.coefficients.toArray(), float(fit.intercept)
     return model
 
 
