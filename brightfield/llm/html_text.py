@@ -1,8 +1,11 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by what contains them, by the share of their text in
-links, their length and the density of stop words; short or middling blocks stay open. In the second pass an open block takes the
-label of its nearest decided neighbours, those of its own article if it is in one.
+A page is cut into blocks at block-level tags. The first pass decides blocks: those in containers that never hold main text (menus,
+footers, asides, forms, what is hidden or marked as an advert, notice or comment) and those made of links are bad; long ones with many
+stop words are good; where a page's stop words are so few that they tell nothing (tables, other languages), length alone decides.
+Short, middling and sparse blocks stay open. In the second pass an open block takes the label of its nearest decided neighbours: those in
+its own container first, else in the container around it, and so on, up to an article or main element, which stands for itself
+where nothing in it is decided. Where an article holds good blocks, blocks outside of any article are not main text.
 
 Defined cases: a null or empty page, and one with only boilerplate, has an empty text; tags left open end with their container;
 a "<" that opens no tag is text; comments, scripts, styles and other raw content are dropped; repeated rows are handled alike.
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 from brightfield.llm.common import map_texts, struct_type
 
 SHORT, LONG = 70, 200
+#: The share of a block's characters in links over which it is bad.
 LINKED = 0.33
-STOPS_LOW, STOPS_HIGH = 0.10, 0.20
+#: The share of stop words of good blocks, and the one of a whole page under which stop words tell nothing.
+STOPS, TELLING = 0.20, 0.10
 
 # Function words of the languages of the pages, and HTML's element kinds.
 STOP_WORDS = frozenset(
@@ -37,13 +43,15 @@ BLOCKS = frozenset(
 RAW = frozenset("script style noscript template textarea title iframe object svg select button canvas math audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
-#: Words of a class or id, or a role, that mark what surrounds an article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?"
-    r"|sidebar|side|aside|related|recommend\w*|share|sharing|social|comments?|disqus|respond|replies|reply|footer|foot|masthead|header|topbar|newsletter|subscribe|signup"
-    r"|login|search|pagination|pager|tags|widget|toolbar|complementary|contentinfo|copyright|legal|disclaimer)(?=$|[\s_-])",
-    re.I,
+#: Words of a class, id or role that mark what surrounds an article; weak ones count only outside of articles.
+STRONG = frozenset(
+    """ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert
+    popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside related recommended recommendations social comment comments disqus respond
+    replies reply newsletter subscribe subscription signup login pagination pager complementary contentinfo disclaimer footer masthead topbar toolbar widget""".split()
 )
+WEAK = frozenset("header side share sharing tags search legal copyright foot".split())
+#: Before a mark these words turn it into a layout's name (with-sidebar, article-header).
+LAYOUT = frozenset("with has no without article entry post content main page left right".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -54,36 +62,41 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     linked: int
-    outside: bool  # of the article: in a container that never holds main text
+    outside: bool  # in a container that never holds main text
     article: int  # number of the article or main element around it, 0 for none
     tag: str
+    path: tuple[int, ...]  # the containers around it, outermost first
+    edge: int = 0  # how many of them are around its article, or 0
     label: str = ""
 
 
-def _marked(name: str, attributes: str) -> bool:
+def _marked(name: str, attributes: str, in_article: bool) -> bool:
     for key, value in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
+        key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and MARKS.search(value):
-            return True
-        if key in ("class", "id") and name == "article" and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies|related|promo|ad)(?=$|[\s_-])", value, re.I):
-            return True
+        if key in ("class", "id", "role") and name not in ("html", "body", "main"):
+            for token in value.split():
+                words = re.split(r"[-_]+", token)
+                for before, word in zip(["", *words], words):
+                    if (word in STRONG or word in WEAK and not in_article and name != "article") and before not in LAYOUT:
+                        return True
     return False
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    open_: list[tuple[str, bool, int]] = []  # element, whether it is boilerplate, its article
+    open_: list[tuple[str, bool, int, int]] = []  # element, whether it is boilerplate, its article, its number
     parts: list[str] = []
-    linked, in_link, articles, at, tag = 0, False, 0, 0, ""
+    linked, in_link, articles, containers, at, tag = 0, False, 0, 0, 0, ""
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            outside, article = (any(x[1] for x in open_), open_[-1][2]) if open_ else (False, 0)
-            out.append(Block(text, min(linked, len(text)), outside, article, tag))
+            article = open_[-1][2] if open_ else 0
+            edge = next((k for k, x in enumerate(open_) if x[2]), -1) + 1
+            out.append(Block(text, min(linked, len(text)), any(x[1] for x in open_), article, tag, tuple(x[3] for x in open_), edge))
         parts.clear()
         linked = 0
 
@@ -131,11 +144,12 @@ def blocks_of(page: str) -> list[Block]:
                     break
         else:
             article = open_[-1][2] if open_ else 0
-            if name in ("article", "main") and not article:
+            boiler = name in BOILERPLATE or name == "header" and not article or _marked(name, attributes, article > 0)
+            if name in ("article", "main") and not article and not boiler and not any(x[1] for x in open_):
                 articles += 1
                 article = articles
-            boiler = name in BOILERPLATE or name == "header" and not article or _marked(name, attributes)
-            open_.append((name, boiler, article))
+            containers += 1
+            open_.append((name, boiler, article, containers))
     close()
     return out
 
@@ -145,60 +159,54 @@ def _stops(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _decide(b: Block) -> str:
+def _decide(b: Block, telling: bool) -> str:
     n = len(b.text)
-    if b.outside or b.linked > LINKED * n or n < LONG and ("©" in b.text or b.text.startswith("Copyright")):
+    if b.outside or n < LONG and ("©" in b.text or b.text.startswith("Copyright")):
         return "bad"
-    if n < SHORT:
-        return "short"
-    stops = _stops(b.text)
-    if stops >= STOPS_HIGH:
-        return "good" if n >= LONG or b.article else "near"
-    if b.article or stops >= STOPS_LOW:
-        return "near"
-    return "bad"
+    if b.linked > LINKED * n:
+        # A paragraph or heading of an article may be one link.
+        return "open" if b.article and b.tag in ("p", "h1", "h2", "h3", "blockquote") else "bad"
+    return "good" if n >= LONG and (not telling or _stops(b.text) >= STOPS) else "open"
 
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
+    body = [b for b in blocks if not b.outside and not b.linked]
+    telling = _stops(" ".join(b.text for b in body)) >= TELLING
     for b in blocks:
-        b.label = _decide(b)
-    final = []
-    whole = any(b.article for b in blocks)
+        b.label = _decide(b, telling)
+    if not any(b.label == "good" for b in blocks):  # a page of short blocks: its unlinked paragraphs
+        for b in blocks:
+            if b.label == "open" and not b.linked and (b.tag in ("p", "pre", "blockquote") or len(b.text) >= SHORT):
+                b.label = "good"
+    around = any(b.label == "good" and b.article for b in blocks)
+    inherited = _inherited(blocks)
+    good = [b for b in blocks if (b.label == "good" or b.label == "open" and inherited[id(b)]) and (b.article or not around)]
+    return "\n\n".join(b.text for b in good)
+
+
+def _inherited(blocks: list[Block]) -> dict[int, bool]:
+    """For every open block whether its nearest decided neighbours, of the narrowest container that has any, make it good."""
+    scopes: dict[tuple[int, ...], list[int]] = {}
+    for k, b in enumerate(blocks):
+        if b.label != "open" and not b.outside:
+            for depth in range(len(b.path) + 1):
+                scopes.setdefault(b.path[:depth], []).append(k)
+    out = {}
     for k, b in enumerate(blocks):
-        if b.label in ("good", "bad"):
-            # Where a page marks its article, nothing outside it is main text.
-            final.append(b.label == "good" and (b.article > 0 or not whole))
+        if b.label != "open":
             continue
-        if b.article:
-            sides = [_nearest(blocks, k, step, b.article) for step in (-1, 1)]
-        else:
-            sides = [_nearest(blocks, k, step, None) for step in (-1, 1)]
-        found = [s for s in sides if s]
-        labels = {label for _, label in found}
-        if not found:
-            good = bool(b.article) or b.tag in ("p", "pre", "blockquote") or b.label == "near"
-        elif len(labels) == 1:
-            good = labels == {"good"}
-        else:
-            least = min(d for d, _ in found)
-            near = {label for d, label in found if d == least}
-            good = near == {"good"} or len(near) == 2 and (b.article > 0 or b.label == "near" or b.tag == "p")
-        if b.article and not good:
-            good = not (b.linked and labels == {"bad"})
-        final.append(good and (b.article > 0 or not whole))
-    return "\n\n".join(b.text for b, good in zip(blocks, final, strict=True) if good)
-
-
-def _nearest(blocks: list[Block], k: int, step: int, article: int | None) -> tuple[int, str] | None:
-    """Distance and label of the nearest decided block on one side; inside an article, of that article and not in a container apart."""
-    i = k + step
-    while 0 <= i < len(blocks):
-        b = blocks[i]
-        if b.label in ("good", "bad") and (article is None or b.article == article and not b.outside):
-            return abs(i - k), b.label
-        i += step
-    return None
+        found: list[int] = []
+        for depth in range(len(b.path), b.edge - 1, -1):
+            decided = scopes.get(b.path[:depth], [])
+            at = bisect_left(decided, k)
+            found = decided[max(at - 1, 0) : at + 1]
+            if found:
+                break
+        least = min((abs(i - k) for i in found), default=0)
+        near = {blocks[i].label for i in found if abs(i - k) == least}
+        out[id(b)] = "good" in near or not found and b.article > 0
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -114,16 +114,65 @@ def test_pii_spans_and_redaction(spark):
     assert pii.redact(docs, pii.Detector()).columns == docs.columns
 
 
-def test_pii_trees_choose_loose_spans(spark):
-    rng = random.Random(3)
-    good = [f"mail {prose(k, 3)} me{k}@host{k % 9}.org or {rng.randrange(1, 255)}.{rng.randrange(1, 255)}.1.{k % 250} there" for k in range(400)]
-    bad = [f"value {rng.randrange(256, 999)}.{rng.randrange(256, 999)}.{rng.randrange(1, 9)}.{k} and 1234567890{rng.randrange(10**5, 10**6)} x" for k in range(400)]
-    docs = documents(spark, [*good, *bad, "write bob (at) host3.org now"])
-    detector = pii.fit_detector(docs)
-    assert detector.trees and set(detector.least) <= set(range(4))
-    base = pii.spans(docs, pii.Detector()).select("doc_id", F.col("spans").alias("b"))
-    both = pii.spans(docs, detector).join(base, "doc_id")
-    assert both.where("length(spans) < length(b)").count() == 0
+@pytest.fixture(scope="module")
+def detector(spark):
+    return pii.fit_detector(spark)
+
+
+BASE_PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda hit, digits: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda hit, digits: all(int(x) <= 255 for x in hit.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda hit, digits: 12 <= len(digits) <= 19 and luhn(digits)),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda hit, digits: 9 <= len(digits) <= 15),
+]
+
+
+def luhn(digits):
+    twice = lambda n: 2 * n - 9 * (2 * n > 9)
+    return sum(twice(int(c)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_by_brute_force(text):
+    found = [(m.start(), k, m.end()) for k, (_, pattern, fits) in enumerate(BASE_PATTERNS) for m in re.finditer(pattern, text or "") if fits(m.group(), re.sub("[^0-9]", "", m.group()))]
+    return sorted(found)
+
+
+def test_pii_base_spans_by_brute_force(spark, detector):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts += [*ODD, "+1 22 333-4444 55.6.7.8\n\n1.2.3.4.5 a@b.c@d.e.f", "\n".join(f"{k}.1.2.3 and x{k}@y.org" for k in range(700)), "9 " * 900]
+    rows = {r.doc_id: r for r in pii.spans(documents(spark, texts), detector).collect()}
+    for k, t in enumerate(texts):
+        want = base_by_brute_force(t)
+        written = ",".join(f"{BASE_PATTERNS[kind][0]}:{a}:{b}" for a, kind, b in want)
+        assert rows[k].base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        assert [rows[k][f"n_{name}"] for name in pii.KINDS] == [sum(x[1] == j for x in want) for j in range(4)]
+        assert set(written.split(",")) <= set(rows[k].spans.split(","))
+
+
+def test_pii_trees_on_examples_not_seen(spark, detector):
+    assert detector.trees and set(detector.least) == set(range(4))
+    fresh = pii.examples(spark, pii.EXAMPLES + 3_000).where(F.col("n") >= pii.EXAMPLES).withColumn("doc_id", F.col("n"))
+    made = pii.detect(fresh.withColumnRenamed("line", "text"), detector)
+    spans = F.concat("base", "added")
+    hit = F.exists(spans, lambda x: (x["start"] == F.col("doc.start")) & (x["stop"] == F.col("doc.stop")) & (x["kind"] == F.col("doc.kind")))
+    counts = {r.label: r for r in made.groupBy(F.col("doc.label").alias("label")).agg(F.avg(hit.cast("int")).alias("found"), F.avg((F.size("added") > 0).cast("int")).alias("added")).collect()}
+    assert counts[1].found > 0.8 and counts[1].added > 0.6 and counts[0].added < 0.03
+
+
+def test_pii_chooses_among_overlapping_spans(spark, detector):
+    texts = ["write bob (at) host3.org now", "call (555) 234-5678 or 0049 30 123 4567", "on 2023-01-15 2023-02-15", "ip 10[.]2[.]3[.]4", "pages 10 20 30 40"]
+    docs = documents(spark, texts)
+    assert {r.doc_id: r.spans for r in pii.spans(docs, detector).collect()} == {0: "email:6:24", 1: "phone:5:19,phone:23:39", 2: "", 3: "ip:3:17", 4: ""}
+    assert [r.text for r in pii.redact(docs, detector).orderBy("doc_id").collect()][:2] == ["write [EMAIL] now", "call [PHONE] or [PHONE]"]
+    span = lambda a, b, **more: F.struct(F.lit(a).alias("start"), F.lit(0).alias("kind"), F.lit(b).alias("stop"), *[F.lit(v).alias(k) for k, v in more.items()])
+    base, scored = F.array(span(20, 30)), F.array(*[span(a, b, score=v) for a, b, v in [(0, 5, 1.0), (3, 9, 2.0), (8, 12, 1.5), (12, 14, 0.1), (25, 40, 9.0), (15, 21, 9.0), (30, 31, 0.2)]])
+    assert [x.start for x in spark.range(1).select(pii._swept(base, scored).alias("x")).first().x] == [3, 12, 30]
+
+
+def test_sums_of_two_levels(spark):
+    for n in (0, 1, 256, 257, 1000):
+        made = spark.range(1).select(pii._before(F.array(*[F.lit(k % 7) for k in range(n)]).cast("array<int>")).alias("x")).first().x
+        assert made == [sum(k % 7 for k in range(i)) for i in range(n)]
 
 
 # ---- 4 and 10 ----
@@ -168,54 +217,51 @@ def test_toxicity_learns(spark):
     assert {r.score for r in toxicity.scored(docs, labels.limit(0)).collect()} == {0.0}
 
 
-def test_subsequence_kernel_by_brute_force():
+def slow_kernel(s, t):
     from itertools import combinations
 
-    def slow(s, t):
-        sub = lambda x: [("".join(x[i] for i in c), c[-1] - c[0] + 1) for c in combinations(range(len(x)), toxicity.ORDER)]
-        return sum(toxicity.DECAY ** (a + b) for x, a in sub(s) for y, b in sub(t) if x == y)
+    sub = lambda x: [("".join(x[i] for i in c), c[-1] - c[0] + 1) for c in combinations(range(len(x)), toxicity.ORDER)]
+    return sum(toxicity.DECAY ** (a + b) for x, a in sub(s) for y, b in sub(t) if x == y)
 
-    for s, t in (("idiot", "idxiot"), ("clown", "clown"), ("abc", "xyz"), ("banana", "bandana")):
-        made = toxicity._subsequence_kernel(toxicity._codes([s], 9), toxicity._codes([t], 9))[0]
-        assert made == pytest.approx(slow(s, t), rel=1e-5)
+
+def test_subsequence_kernel_by_brute_force():
+    words = ["^idiot", "^idxiot", "^clown", "^banana", "^bandana", "^ab", "^的的的x", "^"]
+    known = toxicity.Subsequences(words[:5])
+    made = known.sums(words, known.table(words[:5]))
+    for i, s in enumerate(words):
+        for j, t in enumerate(words[:5]):
+            norm = (slow_kernel(s, s) * slow_kernel(t, t)) ** 0.5
+            assert made[i, j] == pytest.approx(slow_kernel(s, t) / norm if norm else 0.0)
 
 
-def test_toxicity_gate_drops_nothing(monkeypatch):
-    kernel = toxicity.Kernel(["^clown", "^idiot", "^quejall", "^aaab"])
-    rng = random.Random(5)
-    words = ["^clwn", "^cl0wn", "^clown", "^idit", "^1diot", "^aab", "^a", "^", ""]
-    for mark in kernel.landmarks * 60:
-        w = list(mark)
-        for _ in range(rng.randrange(4)):
-            w[rng.randrange(len(w))] = rng.choice(["", "0", "x", "l", "oo"])
-        words.append("".join(w))
-    made = kernel.of(words)
-    assert (made[:3, 0] > 0).all()
-    everything = lambda letter, *pairs: pairs or tuple(x.ravel() for x in np.indices((len(letter), 4)))
-    monkeypatch.setattr(kernel.gate, "pairs", everything)
-    monkeypatch.setattr(kernel.gate, "narrowed", everything)
-    monkeypatch.setattr(kernel.gate, "possible", lambda letter: np.ones((len(letter), 4), bool))
-    assert (made == kernel.of(words)).all()
+def test_long_words_are_compared_whole():
+    known = toxicity.Subsequences(["^idiot"])
+    model = toxicity.ToxicityModel(known, known.table(["^idiot"])[:, 0], 0.0)
+    made = model.margins(["^" + "的" * 200 + "idiot" + "的" * 90, "^" + "的" * 300, "^idiot", "^a"])
+    assert made[0] > 0 and made[1] == 0 == made[3] and made[2] == pytest.approx(1)
 
 
-def test_toxicity_kernel_takes_any_stretch():
-    kernel = toxicity.Kernel(["^idiot", "^worthless"])
-    made = kernel.of(["^vollidiot", "^" + "的" * 200 + "idiot" + "的" * 90, "^woxrtxhlexss", "^idiot" + "a" * 100, "^clean", ""])
-    assert made[0, 0] > 0 and made[0, 0] == pytest.approx(made[1, 0])
-    assert made[2, 1] > 0 and made[3, 0] == pytest.approx(1) and not made[4:].any()
+def test_toxicity_of_disguised_insults(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    say = lambda w: f"The edhe of {w} in there thation."
+    clean, plain, one, two = (model.scores([say(w) for w in words]) for words in (["table", "nothing", "thation"], ["idiot", "i.d.i.o.t", "c l o w n"], ["idxiot", "clowwn", "wxorthless"], ["idxxiot and a clxown", "stxupid and mor.xon"]))
+    assert clean.max() < 0.5 < min(plain.min(), one.min(), two.min())
 
 
-def test_toxicity_judges_sentences_with_hidden_words():
-    model = toxicity.ToxicityModel(["^idiot", "^clown"], np.eye(2), np.array([1.0, 1.0]), -0.5)
-    x = model.evidence(["An idiot here. You id-iot and cl*wn. Fine words.", "An idiot here. Fine words."])
-    assert x[0, 0] > x[1, 0] and x[0, 1] > x[1, 1]
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.scored(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.predicted for r in rows if r.toxic and r.lang == "en") and sum(r.predicted for r in rows if not r.toxic) <= 0.06 * len(rows)
 
 
 def test_toxicity_cache_lasts_for_a_batch(monkeypatch):
     monkeypatch.setattr(toxicity, "WORDS", 3)
-    model = toxicity.ToxicityModel(["^idiot"], np.eye(1), np.array([1.0]), -0.5)
-    x = model.evidence(["idiot a b. c d e f g h", "idiot some other words", "fine"])
-    assert x[0, 0] == x[1, 0] > x[2, 0]
+    known = toxicity.Subsequences(["^idiot"])
+    model = toxicity.ToxicityModel(known, known.table(["^idiot"])[:, 0], -0.5)
+    for _ in range(2):
+        x = model.evidence(["idiot a b. c d e f g h", "idiot some other words", "fine", ""])
+        assert x[0, 0] == x[1, 0] > x[2, 0] >= x[3, 0]
 
 
 # ---- 5 and 6 ----
@@ -335,6 +381,61 @@ def test_html_blocks():
     assert html_text.main_text("<article><p>" + "long text " * 50000).count("long") == 50000
 
 
+def article_of(page):
+    """The text between <article> tags, cut at its paragraphs and headings."""
+    import html
+
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+    parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner))
+    return "\n\n".join(x for x in parts if x)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect() if "<article>" in (r.html or "")]
+
+
+@pytest.mark.parametrize("tag", ["<article>", "<div>", ""])
+def test_html_rules_need_no_article(pages, tag):
+    for page in pages:
+        there = page.replace("<article>", tag).replace("</article>", tag.replace("<", "</"))
+        assert html_text.main_text(there) == article_of(page)
+
+
+def unmarked(page):
+    """A page without any tag or class that tells menus, adverts and footers from main text."""
+    return re.sub(r"</?article>| class=\"ad\"", "", re.sub(r"<(/?)(?:nav|footer)>", r"<\1div>", page))
+
+
+def words_f1(a, b):
+    from collections import Counter
+
+    x, y = Counter(a.split()), Counter(b.split())
+    return 2 * sum((x & y).values()) / max(1, x.total() + y.total())
+
+
+def test_html_text_by_rules_alone(pages):
+    assert np.mean([words_f1(html_text.main_text(unmarked(p)), article_of(p)) for p in pages]) > 0.93
+
+
+@pytest.mark.parametrize("name,value", [("_stops", lambda text: 0.0), ("LINKED", 9.0), ("_inherited", lambda blocks: {id(b): False for b in blocks})])
+def test_html_every_pass_counts(pages, monkeypatch, name, value):
+    made = [html_text.main_text(unmarked(p)) for p in pages]
+    monkeypatch.setattr(html_text, name, value)
+    assert made != [html_text.main_text(unmarked(p)) for p in pages]
+
+
+def test_html_marks_and_neighbours():
+    long_ = "It is the text of the page and it is a long one that goes on for a while, as it was to be read by all of us in the end. " * 3
+    keywords = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega " * 3
+    page = f"""<body class=with-sidebar><header>Site</header><div class="article-header"><h1>Title</h1></div><div id=text><p>{long_}</p><p>Short.</p>
+    <table><tr><td>a</td></tr></table></div><div class="comments"><article class=comment><p>{long_}</p></article></div><div><p>{keywords}</p></div></body>"""
+    made = html_text.main_text(page).split("\n\n")
+    assert made[:3] == ["Title", long_.strip(), "Short."] and "a" in made and len([x for x in made if x == long_.strip()]) == 1
+    related = f"<article><h1>T</h1><p>{long_}</p><ul><li><a href=a>Read more of this here</a><li><a href=b>And that</a></ul><p><a href=c>The source of it</a></p><p>{long_}</p></article>"
+    assert html_text.main_text(related) == "\n\n".join(["T", long_.strip(), "The source of it", long_.strip()])
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<p>It is the text of a page and it is one</p>"), (2, None, "<p>It is the text of a page and it is one</p>")], "page_id long, url string, html string")
     rows = html_text.extract(pages).collect()
