@@ -2,26 +2,32 @@
 
 Most word tokenizers cut at white space and drop it, so that the ids of a text are those of its words in turn. Where the file is of
 that kind, a worker remembers the ids of words, and the library encodes only the unseen ones; every other file gets whole texts.
-Which kind a file is, the library itself tells: its normaliser and pre-tokenizer must part samples at a blank just as they part
-the samples alone, and no added token may hold white space or look at its neighbours.
+Which kind a file is, the library itself tells: its normaliser and pre-tokenizer must part samples at a blank, and before a full stop
+or comma, just as they part the samples alone, and no added token may hold white space or look at its neighbours.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from bisect import bisect_left
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
 #: Words that a worker remembers; the cache is emptied when full. Longer words than LONG are not remembered.
-WORDS, LONG = 400_000, 64
+WORDS, LONG = 1_000_000, 64
 CHARS_AT_ONCE = 1_000_000
+#: Unseen words that the library gets as one text.
+JOINED = 200
 TOKENIZER = "word_bpe_49k.json"
 
 #: Samples that a blank must part; the blanks that texts are cut at.
 _SAMPLES = ("a", "Ab", "1", "12", ".", "'s", "'", "-", "é", "ß", "é", "́", "你", "🙂", "<|", "…")
 _BLANKS = (" ", "\n")
+#: A full stop or comma between a letter or digit and a blank.
+_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -51,11 +57,25 @@ class Encoder:
             return [p for p, _ in cutter.pre_tokenize_str(normalizer.normalize_str(text) if normalizer else text)]
 
         alone = {s: pieces(s) for s in _SAMPLES}
+        if any(pieces(x + mark + " ") != alone[x] + pieces(mark) for mark in ".," for x in _SAMPLES if x[-1].isalnum()):
+            return False
         return all(pieces(x + blank + y) == alone[x] + alone[y] and pieces(x + 2 * blank + y) == alone[x] + alone[y] for blank in _BLANKS for x in _SAMPLES for y in _SAMPLES)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Remember words; where a text of them has as many pieces, each word is one piece, and the library's word numbers part the ids."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for some, made in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            numbers = made.word_ids
+            if None not in numbers and numbers and numbers[-1] == len(some) - 1 and len(set(numbers)) == len(some):
+                raw = np.array(made.ids, "<u4").tobytes()
+                at = np.searchsorted(numbers, np.arange(len(some) + 1)).tolist()
+                self.words.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])], strict=True))
+            else:
+                self.words.update(zip(some, self._library(some), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a few texts at a time, to hold few words at once."""
         out, some, size = [], [], 0
@@ -70,9 +90,11 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._library(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        unseen = list(set(chain.from_iterable(split)).difference(self.words))
-        self.words.update(zip(unseen, self._library(unseen), strict=True))
+        split = [_MARK.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        unseen = sorted(set(chain.from_iterable(split)).difference(self.words), key=str.isalpha)
+        letters = bisect_left(unseen, True, key=str.isalpha)
+        self.words.update(zip(unseen[:letters], self._library(unseen[:letters]), strict=True))
+        self._learn(unseen[letters:])
         known = self.words.__getitem__
         out = [b"".join(map(known, words)) for words in split]
         for w in unseen:
