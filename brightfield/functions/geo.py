@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MILES, KM, METRES = 3958.7613, 6371.0, 6_371_000.0
@@ -54,3 +54,34 @@ def view_centre(west: float, east: float) -> float:
     """Middle longitude of a map view that may cross the antimeridian, in [-180, 180)."""
     span = (east - west) % 360
     return (west + span / 2 + 180) % 360 - 180
+
+
+#: Kilometres of a degree of latitude, rounded down: cells never come out too small.
+DEGREE_KM = 111.0
+
+
+def _row(lat: Column, km: float) -> Column:
+    return F.floor((lat + 90) * (DEGREE_KM / km)).cast("bigint")
+
+
+def _cells_around(row: Column, km: float) -> Column:
+    """How many cells the grid row of a latitude has around the globe: each at least km wide all over the row."""
+    south = (row * (km / DEGREE_KM) - 90).cast("double")
+    widest = F.greatest(F.abs(south), F.abs(south + km / DEGREE_KM))
+    width = DEGREE_KM * F.cos(F.radians(F.least(widest, F.lit(89.9999))))
+    return F.greatest(F.floor(360 * width / km), F.lit(1)).cast("bigint")
+
+
+def in_cell(places: DataFrame, lat: str, lon: str, km: float) -> DataFrame:
+    """``places`` with row and col of a grid whose cells are km high and km wide at least, at every latitude."""
+    rows = places.withColumn("row", _row(F.col(lat), km))
+    n = _cells_around(F.col("row"), km)
+    return rows.withColumn("col", F.pmod(F.floor((F.col(lon) + 180) / 360 * n).cast("bigint"), n))
+
+
+def around_cells(places: DataFrame, lat: str, lon: str, km: float) -> DataFrame:
+    """A row for every cell that can hold a place within km: three rows, each with the cells beside the longitude, around the globe."""
+    rows = places.withColumn("row", F.explode(F.array(*[_row(F.col(lat), km) + k for k in (-1, 0, 1)])))
+    n = _cells_around(F.col("row"), km)
+    col = F.floor((F.col(lon) + 180) / 360 * n).cast("bigint")
+    return rows.withColumn("col", F.explode(F.array_distinct(F.array(*[F.pmod(col + k, n) for k in (-1, 0, 1)]))))

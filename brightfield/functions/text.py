@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks that fold to a plain letter, and letters that fold to two.
-_MARKED = "àáâãäåāăąçćčďèéêëēėęěğìíîïīįıłñńňòóôõöøōőŕřśşšťùúûüūůűųýÿźżž"
-_PLAIN = "aaaaaaaaacccdeeeeeeeegiiiiiiilnnnoooooooorrssstuuuuuuuuyyzzz"
-_PAIRS = {"æ": "ae", "œ": "oe", "ß": "ss", "ð": "d", "đ": "d", "þ": "th"}
+#: Letters whose compatibility decomposition is a plain letter and marks, and that letter.
+_MARKED = [c for c in map(chr, range(0xC0, 0x2000)) if c.islower() and len(b := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and b != c]
+_PLAIN = [next(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in _MARKED]
+# Letters that fold to others without a decomposition.
+_PAIRS = {"æ": "ae", "œ": "oe", "ß": "ss", "ð": "d", "đ": "d", "þ": "th", "ø": "o", "ł": "l", "ı": "i"}
 
 
 def blank_to_null(c: Column) -> Column:
@@ -18,8 +20,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks."""
-    plain = F.translate(F.lower(c), _MARKED, _PLAIN)
+    """Lower case without marks, composed or not."""
+    plain = F.translate(F.regexp_replace(F.lower(c), "\\p{M}+", ""), "".join(_MARKED), "".join(_PLAIN))
     return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _PAIRS.items(), plain)
 
 
@@ -140,6 +142,10 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+#: What the agents of robots hold.
+ROBOTS = "bot|crawler|spider|scrapy|curl|wget|python-requests|httpclient|preview|validator|lighthouse"
+
+
 def is_bot(agent: Column) -> Column:
-    a = F.coalesce(F.trim(agent), F.lit(""))
-    return (a == "") | F.lower(a).rlike("bot|crawl|spider|slurp|preview|headless|monitor|curl|wget|python|httpclient")
+    a = F.lower(F.coalesce(agent, F.lit("")))
+    return (a == "") | a.rlike(ROBOTS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, name: str = "components") -> DataFrame:
+    """``df`` written to the shared folder and read back. Only in local mode may the session name no such folder."""
     spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="brightfield-")
         spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place}/brightfield-components-{uuid.uuid4().hex}"
+    path = f"{place}/brightfield-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -26,13 +30,13 @@ def components(pairs: DataFrame) -> DataFrame:
     Every round a node takes the least label among its neighbours, and then the label of its label, so that long chains take
     logarithmically many rounds. Rounds are written to the shared folder, which cuts the lineage and survives lost executors.
     """
-    edges = _written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
+    edges = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         seen = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         near = labels.join(seen, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         up = near.select(F.col("node").alias("via"), F.col("label").alias("top"))
-        now = _written(near.join(up, F.col("label") == F.col("via"), "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "old"))
+        now = written(near.join(up, F.col("label") == F.col("via"), "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "old"))
         if now.where("label <> old").isEmpty():
             return now.select("node", F.col("label").alias("component"))
         labels = now.select("node", "label")

@@ -10,17 +10,14 @@ from brightfield.operators.components import components
 from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, organizations, read, sql, treatments
 
-CELL = 0.02
-
 _KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))))"
 
 
-def nearby_pairs(places: DataFrame, km: float, cell: float = CELL) -> DataFrame:
-    """(a, b, km) for pairs within a distance: each place is joined to the nine grid cells around it, never to all others."""
-    around = F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)]))
-    p = places.select("id", "latitude", "longitude", F.floor(F.col("latitude") / cell).alias("row"), F.floor(F.col("longitude") / cell).alias("col"))
-    left = p.withColumn("dr", around).withColumn("dc", around).select(F.col("id").alias("a"), F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-    pairs = left.join(p, ["row", "col"]).where(F.col("a") < F.col("id"))
+def nearby_pairs(places: DataFrame, km: float) -> DataFrame:
+    """(a, b, km) for pairs within a distance: each place is joined to the grid cells around it, never to all others."""
+    p = places.select("id", "latitude", "longitude")
+    left = geo.around_cells(p.select(F.col("id").alias("a"), F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1")), "lat1", "lon1", km)
+    pairs = left.join(geo.in_cell(p, "latitude", "longitude", km), ["row", "col"]).where(F.col("a") < F.col("id"))
     distance = geo.haversine(F.col("lat1"), F.col("lon1"), F.col("latitude"), F.col("longitude"), geo.KM)
     return pairs.select("a", F.col("id").alias("b"), distance.alias("km")).where(F.col("km") <= km)
 
@@ -28,9 +25,9 @@ def nearby_pairs(places: DataFrame, km: float, cell: float = CELL) -> DataFrame:
 _PAIRS = f", near AS (SELECT a.id AS a, b.id AS b, {_KM} AS km FROM locations a JOIN locations b ON a.id < b.id AND abs(a.latitude - b.latitude) < 0.05 AND abs(a.longitude - b.longitude) < 0.05)"
 
 
-@query("j13_proximity_pairs", sql(_PAIRS + " SELECT a, b, round(km, 6) AS km FROM near WHERE km <= 1.0 AND a < 600", "locations"))
+@query("j13_proximity_pairs", sql(_PAIRS + " SELECT a, b, round(km, 6) AS km FROM near WHERE km <= 1.5", "locations"))
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    return nearby_pairs(locations(spark, d), 1.0).where("a < 600").select("a", "b", F.round("km", 6).alias("km"))
+    return nearby_pairs(locations(spark, d), 1.5).select("a", "b", F.round("km", 6).alias("km"))
 
 
 @query("j12_band_and_name", sql(_PAIRS + " SELECT n.a, n.b FROM near n JOIN locations x ON x.id = a JOIN locations y ON y.id = b WHERE km <= 1.5 AND x.locality = y.locality AND x.country_code = y.country_code", "locations"))
@@ -112,13 +109,11 @@ def match_cascade(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     rule = lambda rank, df: df.select("input_id", "candidate", F.lit(rank).alias("rank"))
     by_org = rule(1, i.join(c, ["org_id", "locality"]))
     by_name = rule(2, i.join(c, ["name_key", "country_code"]))
-    grid = lambda df: df.withColumn("row", F.floor(F.col("latitude") / CELL)).withColumn("col", F.floor(F.col("longitude") / CELL))
-    around = F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)]))
-    left = grid(i).withColumn("dr", around).withColumn("dc", around).select("input_id", F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-    near = left.join(grid(c), ["row", "col"])
+    left = geo.around_cells(i.select("input_id", F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1")), "lat1", "lon1", 1.0)
+    near = left.join(geo.in_cell(c, "latitude", "longitude", 1.0), ["row", "col"])
     by_place = rule(3, near.where(geo.metres(F.col("lat1"), F.col("lon1"), F.col("latitude"), F.col("longitude")) <= 1000))
     by_slug = rule(4, i.join(c.drop("latitude", "longitude"), "slug"))
-    every = by_org.unionByName(by_name).unionByName(by_place).unionByName(by_slug).distinct()
+    every = by_org.unionByName(by_name).unionByName(by_place).unionByName(by_slug).where("candidate <> input_id").distinct()
     best = every.groupBy("input_id", "rank").agg(F.count("*").alias("n"), F.min("candidate").alias("candidate"))
     best = best.groupBy("input_id").agg(F.min(F.struct("rank", "n", "candidate")).alias("x")).select("input_id", "x.*")
     status = F.when(F.col("rank") == 4, "review").when(F.col("n") > 1, "review").otherwise("matched")
@@ -127,11 +122,11 @@ def match_cascade(inputs: DataFrame, candidates: DataFrame) -> DataFrame:
     return made.select("input_id", F.coalesce(F.when(F.col("rank").isNotNull(), status), F.lit("none")).alias("status"), "rank", F.when(status == "matched", F.col("candidate")).alias("candidate"), F.coalesce(F.when(F.col("rank").isNotNull(), confidence), F.lit(0.0)).alias("confidence"))
 
 
-_CASCADE = """, c AS (SELECT id AS candidate, org_id, locality, country_code, lower(replace(name, '#', ' ')) AS name_key, latitude, longitude, 's' || (id % 500) AS slug FROM locations WHERE id % 3 = 0 AND status = 'active'),
-i AS (SELECT id AS input_id, org_id, locality, country_code, CASE WHEN id % 5 = 0 THEN lower(replace(name, '#', ' ')) ELSE 'x' || id END AS name_key, latitude, longitude, 's' || (id % 700) AS slug FROM locations WHERE id % 7 = 1),
+_CASCADE = """, c AS (SELECT id AS candidate, org_id, locality, country_code, lower(replace(name, '#', ' ')) AS name_key, latitude, longitude, 's' || (id // 2) AS slug FROM locations WHERE status = 'active'),
+i AS (SELECT id AS input_id, org_id, locality, country_code, CASE WHEN id % 5 = 0 THEN lower(replace(name, '#', ' ')) ELSE 'x' || id END AS name_key, latitude, longitude, 's' || (id // 2 + 2) AS slug FROM locations),
 r AS (SELECT input_id, candidate, 1 AS rank FROM i JOIN c USING (org_id, locality) UNION SELECT input_id, candidate, 2 FROM i JOIN c USING (name_key, country_code)
   UNION SELECT input_id, candidate, 3 FROM i a JOIN c b ON abs(a.latitude - b.latitude) < 0.03 AND abs(a.longitude - b.longitude) < 0.03 WHERE """ + _KM.replace("6371.0", "6371000.0") + """ <= 1000 UNION SELECT input_id, candidate, 4 FROM i JOIN c USING (slug)),
-g AS (SELECT input_id, rank, count(*) AS n, min(candidate) AS candidate FROM r GROUP BY 1, 2), t AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY rank) = 1)
+g AS (SELECT input_id, rank, count(*) AS n, min(candidate) AS candidate FROM r WHERE candidate <> input_id GROUP BY 1, 2), t AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY rank) = 1)
 SELECT i.input_id, CASE WHEN rank IS NULL THEN 'none' WHEN rank = 4 OR n > 1 THEN 'review' ELSE 'matched' END AS status, rank, CASE WHEN rank < 4 AND n = 1 THEN candidate END AS candidate,
   CASE WHEN rank IS NULL THEN 0.0 WHEN n > 1 THEN CASE rank WHEN 1 THEN 0.80 WHEN 2 THEN 0.78 ELSE 0.72 END ELSE CASE rank WHEN 1 THEN 0.96 WHEN 2 THEN 0.93 WHEN 3 THEN 0.84 ELSE 0.5 END END::DOUBLE AS confidence FROM i LEFT JOIN t USING (input_id)"""
 
@@ -139,8 +134,8 @@ SELECT i.input_id, CASE WHEN rank IS NULL THEN 'none' WHEN rank = 4 OR n > 1 THE
 @query("d1_match_cascade", sql(_CASCADE.replace("CASE WHEN rank IS NULL THEN 0.0", "CAST(CASE WHEN rank IS NULL THEN 0.0").replace("END END::DOUBLE AS", "END END AS DOUBLE) AS"), "locations"))
 def d1(spark: SparkSession, d: str) -> DataFrame:
     l = locations(spark, d).withColumn("name_key", F.lower(F.replace("name", F.lit("#"), F.lit(" "))))
-    c = active(l).where("id % 3 = 0").withColumn("slug", F.concat(F.lit("s"), F.col("id") % 500))
-    i = l.where("id % 7 = 1").select(F.col("id").alias("input_id"), "org_id", "locality", "country_code", F.when(F.col("id") % 5 == 0, F.col("name_key")).otherwise(F.concat(F.lit("x"), "id")).alias("name_key"), "latitude", "longitude", F.concat(F.lit("s"), F.col("id") % 700).alias("slug"))
+    c = active(l).withColumn("slug", F.concat(F.lit("s"), F.expr("id div 2")))
+    i = l.select(F.col("id").alias("input_id"), "org_id", "locality", "country_code", F.when(F.col("id") % 5 == 0, F.col("name_key")).otherwise(F.concat(F.lit("x"), "id")).alias("name_key"), "latitude", "longitude", F.concat(F.lit("s"), F.expr("id div 2 + 2")).alias("slug"))
     return match_cascade(i, c)
 
 
@@ -175,25 +170,41 @@ def d17(spark: SparkSession, d: str) -> DataFrame:
     return t.join(t.groupBy("key").agg(F.min("id").alias("matched")), "key").select("id", "matched")
 
 
-@query("d18_coordinate_consensus", sql("SELECT org_id, CASE WHEN count(DISTINCT (latitude, longitude)) = 0 THEN 'none' WHEN count(DISTINCT (latitude, longitude)) = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM locations WHERE id % 5 = 0 OR org_id % 4 = 0 AND id % 15 = 3 GROUP BY 1", "locations"))
+@query("d18_coordinate_consensus", sql("SELECT org_id, country_code, CASE WHEN count(DISTINCT (latitude, longitude)) = 0 THEN 'none' WHEN count(DISTINCT (latitude, longitude)) = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM locations GROUP BY 1, 2", "locations"))
 def d18(spark: SparkSession, d: str) -> DataFrame:
     n = F.count_distinct(F.struct("latitude", "longitude"))
-    l = locations(spark, d).where("id % 5 = 0 OR org_id % 4 = 0 AND id % 15 = 3")
-    return l.groupBy("org_id").agg(F.when(n == 0, "none").when(n == 1, "matched").otherwise("ambiguous").alias("status"))
+    return locations(spark, d).groupBy("org_id", "country_code").agg(F.when(n == 0, "none").when(n == 1, "matched").otherwise("ambiguous").alias("status"))
+
+
+_PASSES = """, p1 AS (SELECT id, org_id AS target, status AS decision, CAST(60 + id * 7 % 41 AS DOUBLE) / 100 AS confidence FROM locations),
+p2 AS (SELECT id, CASE WHEN id % 11 = 0 THEN org_id + 1 ELSE org_id END AS target, CASE WHEN id % 13 = 0 THEN 'other' ELSE status END AS decision, CAST(60 + id * 11 % 41 AS DOUBLE) / 100 AS confidence FROM locations)"""
 
 
-@query("d19_two_pass_consensus", "SELECT l.doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'accepted' WHEN quality = 0 AND toxic = 0 THEN 'review' ELSE 'rejected' END AS decision FROM labels l")
+@query("d19_two_pass_consensus", sql(_PASSES + """ SELECT p1.id, CASE WHEN p1.decision <> p2.decision OR p1.target <> p2.target THEN 'disagreement' WHEN o.org_id IS NULL THEN 'invalid_target'
+  WHEN p1.confidence < 0.85 OR p2.confidence < 0.85 THEN 'low_confidence' ELSE 'accepted' END AS outcome, CASE WHEN p1.target = p2.target THEN p1.target END AS target
+  FROM p1 JOIN p2 ON p1.id = p2.id LEFT JOIN organizations o ON o.org_id = p1.target""", "locations", "organizations"))
 def d19(spark: SparkSession, d: str) -> DataFrame:
-    q, t = F.col("quality"), F.col("toxic")
-    return read(spark, d, "labels").select("doc_id", F.when((q == 1) & (t == 0), "accepted").when((q == 0) & (t == 0), "review").otherwise("rejected").alias("decision"))
+    """Two passes decide alike, on an existing target, and both are sure; else why not."""
+    l = locations(spark, d)
+    sure = lambda k: (60 + F.col("id") * k % 41).cast("double") / 100
+    one = l.select("id", F.col("org_id").alias("target"), F.col("status").alias("decision"), sure(7).alias("confidence"))
+    two = l.select("id", F.when(F.col("id") % 11 == 0, F.col("org_id") + 1).otherwise(F.col("org_id")).alias("target_2"), F.when(F.col("id") % 13 == 0, "other").otherwise(F.col("status")).alias("decision_2"), sure(11).alias("confidence_2"))
+    return two_pass_consensus(one, two, organizations(spark, d).select(F.col("org_id").alias("target")))
+
+
+def two_pass_consensus(one: DataFrame, two: DataFrame, targets: DataFrame, least: float = 0.85) -> DataFrame:
+    both = one.join(two, "id").join(targets.distinct().withColumn("known", F.lit(True)), "target", "left")
+    apart = (F.col("decision") != F.col("decision_2")) | (F.col("target") != F.col("target_2"))
+    outcome = F.when(apart, "disagreement").when(F.col("known").isNull(), "invalid_target").when((F.col("confidence") < least) | (F.col("confidence_2") < least), "low_confidence").otherwise("accepted")
+    return both.select("id", outcome.alias("outcome"), F.when(F.col("target") == F.col("target_2"), F.col("target")).alias("target"))
 
 
-@query("d22_query_resolution", sql(", q(q) AS (VALUES ('part#12'), ('economy brass'), ('part#1')), h AS (SELECT q, id, 1 AS tier FROM q JOIN treatments ON lower(name) = q UNION SELECT q, id, 2 FROM q JOIN treatments ON lower(category) = q UNION SELECT q, id, 3 FROM q JOIN treatments ON starts_with(lower(name), q || '0')), t AS (SELECT q, tier, count(*) AS n, min(id) AS id FROM h GROUP BY 1, 2) SELECT q, CASE WHEN n = 1 THEN id END AS treatment_id FROM t QUALIFY row_number() OVER (PARTITION BY q ORDER BY tier) = 1", "treatments"))
+@query("d22_query_resolution", sql(", q(q) AS (VALUES ('small ring'), ('economy'), ('red')), h AS (SELECT q, id, 1 AS tier FROM q JOIN treatments ON lower(name) = q UNION SELECT q, id, 2 FROM q JOIN treatments ON lower(category) = q UNION SELECT q, id, 3 FROM q JOIN treatments ON starts_with(lower(name), q || ' ')), t AS (SELECT q, tier, count(*) AS n, min(id) AS id FROM h GROUP BY 1, 2) SELECT q, CASE WHEN n = 1 THEN id END AS treatment_id FROM t QUALIFY row_number() OVER (PARTITION BY q ORDER BY tier) = 1", "treatments"))
 def d22(spark: SparkSession, d: str) -> DataFrame:
     """Exact name, then exact synonym, then prefix; only a unique hit of the first tier with hits resolves."""
     t = treatments(spark, d).select("id", F.lower("name").alias("name"), F.lower("category").alias("synonym"))
-    tier = lambda q: F.when(F.col("name") == q, 1).when(F.col("synonym") == q, 2).when(F.col("name").startswith(q + "0"), 3)
-    hits = F.array(*[F.struct(F.lit(q).alias("q"), tier(q).alias("tier")) for q in ("part#12", "economy brass", "part#1")])
+    tier = lambda q: F.when(F.col("name") == q, 1).when(F.col("synonym") == q, 2).when(F.col("name").startswith(q + " "), 3)
+    hits = F.array(*[F.struct(F.lit(q).alias("q"), tier(q).alias("tier")) for q in ("small ring", "economy", "red")])
     h = t.select("id", F.inline(hits)).where("tier IS NOT NULL").groupBy("q", "tier").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     return h.groupBy("q").agg(F.min(F.struct("tier", "n", "id")).alias("x")).select("q", F.when(F.col("x.n") == 1, F.col("x.id")).alias("treatment_id"))
 
@@ -228,10 +239,10 @@ def _grams(c: str) -> str:
     return f"list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN string_split(lower({c}), ' ')]))"
 
 
-@query("n5_trigram_jaccard", f"SELECT a.t AS a, b.t AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM (SELECT DISTINCT p_type AS t, {_grams('p_type')} AS g FROM part) a JOIN (SELECT DISTINCT p_type AS t, {_grams('p_type')} AS g FROM part) b ON a.t < b.t AND split_part(a.t, ' ', 1) = split_part(b.t, ' ', 1)")
+@query("n5_trigram_jaccard", f"SELECT a.t AS a, b.t AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM (SELECT DISTINCT p_name AS t, {_grams('p_name')} AS g FROM part) a JOIN (SELECT DISTINCT p_name AS t, {_grams('p_name')} AS g FROM part) b ON a.t < b.t AND split_part(a.t, ' ', 1) = split_part(b.t, ' ', 1)")
 def n5(spark: SparkSession, d: str) -> DataFrame:
     """Similarity inside blocks of the first word."""
-    t = read(spark, d, "part").select(F.col("p_type").alias("t")).distinct().select("t", F.split("t", " ")[0].alias("block"), text.word_trigrams(F.lower("t")).alias("g"))
+    t = read(spark, d, "part").select(F.col("p_name").alias("t")).distinct().select("t", F.split("t", " ")[0].alias("block"), text.word_trigrams(F.lower("t")).alias("g"))
     pairs = t.select(F.col("t").alias("a"), "block", F.col("g").alias("ga")).join(t.select(F.col("t").alias("b"), "block", F.col("g").alias("gb")), "block").where("a < b")
     return pairs.select("a", "b", F.round(text.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"))
 
@@ -246,12 +257,16 @@ def n10(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", text.without_tracking(F.col("url")).alias("url"))
 
 
-@query("n21_n22_full_text", "SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w = 'the')) AS hits FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'with')")
+@query("n21_n22_full_text", """WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents)
+SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) AS hits, round((log10(1 + len(list_filter(w, lambda x: x = 'the'))) + log10(1 + len(list_filter(w, lambda x: x = 'with')))) / (1 + log10(len(w))), 6) AS rank
+FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'with')""")
 def n21(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with all words of a query, and how often the first occurs."""
-    t = read(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    """Documents with all words of a query, how often the first occurs, and a rank by counts over the length."""
+    t = read(spark, d, "documents").select("doc_id", text.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     t = t.where(F.array_contains("t", "the") & F.array_contains("t", "with"))
-    return t.select("doc_id", F.size(F.filter("t", lambda w: w == "the")).cast("bigint").alias("hits"))
+    count = lambda word: F.size(F.filter("t", lambda w: w == word)).cast("bigint")
+    rank = (F.log10(1 + count("the")) + F.log10(1 + count("with"))) / (1 + F.log10(F.size("t")))
+    return t.select("doc_id", count("the").alias("hits"), F.round(rank, 6).alias("rank"))
 
 
 @query("n23_hashes", "SELECT doc_id, sha256(source || ':' || doc_id) AS sha, md5(lang) AS lang_key FROM documents")
@@ -259,10 +274,10 @@ def n23(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws(":", "source", "doc_id"), 256).alias("sha"), F.md5("lang").alias("lang_key"))
 
 
-@query("n18_n19_labels", sql("SELECT id, coalesce(nullif(trim(price_unit), ''), 'service') AS unit, CASE price_currency WHEN 'N' THEN 'Norte' WHEN 'R' THEN 'Rand' WHEN 'A' THEN 'Azul' ELSE price_currency END AS currency FROM offerings WHERE treatment_id < 100", "offerings"))
+@query("n18_n19_labels", sql("SELECT id, coalesce(nullif(trim(price_unit), ''), 'service') AS unit, CASE price_currency WHEN 'N' THEN 'Norte' WHEN 'R' THEN 'Rand' WHEN 'A' THEN 'Azul' ELSE price_currency END AS currency FROM offerings", "offerings"))
 def n18(spark: SparkSession, d: str) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in {"N": "Norte", "R": "Rand", "A": "Azul"}.items() for x in kv])
-    o = offerings(spark, d).where("treatment_id < 100")
+    o = offerings(spark, d)
     return o.select("id", F.coalesce(text.blank_to_null(F.col("price_unit")), F.lit("service")).alias("unit"), F.coalesce(names[F.col("price_currency")], "price_currency").alias("currency"))
 
 
@@ -292,10 +307,10 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").agg(F.count_if(u.rlike("^https://")).alias("secure"), F.count_if(u.rlike("[?]")).alias("with_query"), F.count_if(u.rlike("#")).alias("with_fragment"))
 
 
-@query("r7_keywords", sql(", k AS (SELECT id, lower(category) AS core FROM treatments WHERE id < 500) SELECT id, unnest([core, core || ' near me', core || ' clinic']) AS keyword FROM k", "treatments"))
+@query("r7_keywords", sql(", k AS (SELECT id, lower(category) AS core FROM treatments) SELECT id, unnest([core, core || ' near me', core || ' clinic']) AS keyword FROM k", "treatments"))
 def r7(spark: SparkSession, d: str) -> DataFrame:
     core = F.lower("category")
-    return treatments(spark, d).where("id < 500").select("id", F.explode(F.array(core, F.concat(core, F.lit(" near me")), F.concat(core, F.lit(" clinic")))).alias("keyword"))
+    return treatments(spark, d).select("id", F.explode(F.array(core, F.concat(core, F.lit(" near me")), F.concat(core, F.lit(" clinic")))).alias("keyword"))
 
 
 @query("r6_place_keywords", sql(", k AS (SELECT id, lower(category) AS core FROM treatments) SELECT id, core || ' lyon' AS keyword FROM k", "treatments"))

@@ -102,11 +102,13 @@ def d5(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("base").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
 
 
-@query("d6_shared_tokens", sql(", w AS (SELECT id, brand, list_sort(list_distinct([x FOR x IN string_split(lower(category), ' ') IF length(x) >= 4 AND x <> 'promo'])) AS t FROM treatments WHERE id < 400) SELECT a.id AS a, b.id AS b, array_to_string(list_sort(list_intersect(a.t, b.t)), ',') AS shared FROM w a JOIN w b ON a.brand = b.brand AND a.id < b.id", "treatments"))
+@query("d6_shared_tokens", sql(", w AS (SELECT id, brand, size, list_sort(list_distinct([x FOR x IN string_split(lower(name), ' ') IF length(x) >= 4])) AS t FROM treatments) SELECT a.id AS a, b.id AS b, array_to_string(list_sort(list_intersect(a.t, b.t)), ',') AS shared FROM w a JOIN w b ON a.brand = b.brand AND a.size // 10 = b.size // 10 AND a.id < b.id WHERE len(list_intersect(a.t, b.t)) > 0", "treatments"))
 def d6(spark: SparkSession, d: str) -> DataFrame:
-    w = treatments(spark, d).where("id < 400").select("id", "brand", F.array_distinct(F.filter(F.split(F.lower("category"), " "), lambda x: (F.length(x) >= 4) & (x != "promo"))).alias("t"))
-    pairs = w.select(F.col("id").alias("a"), "brand", F.col("t").alias("ta")).join(w.select(F.col("id").alias("b"), "brand", F.col("t").alias("tb")), "brand").where("a < b")
-    return pairs.select("a", "b", F.array_join(F.array_sort(F.array_intersect("ta", "tb")), ",").alias("shared"))
+    """Treatments of one brand and about one size by the words that they share: only those with a word in common meet."""
+    words = F.array_distinct(F.filter(F.split(F.lower("name"), " "), lambda x: F.length(x) >= 4))
+    w = treatments(spark, d).select("id", "brand", F.expr("size div 10").alias("size"), F.explode(words).alias("word"))
+    pairs = w.select(F.col("id").alias("a"), "brand", "size", "word").join(w.select(F.col("id").alias("b"), "brand", "size", "word"), ["brand", "size", "word"]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set("word")), ",").alias("shared"))
 
 
 @query("d12_row_winner", sql(", p AS (SELECT a.id AS a, b.id AS b, (coalesce(a.rating, 0), coalesce(a.review_count, 0), -a.id) >= (coalesce(b.rating, 0), coalesce(b.review_count, 0), -b.id) AS first FROM locations a JOIN locations b ON a.org_id = b.org_id AND a.id < b.id) SELECT a, b, CASE WHEN first THEN a ELSE b END AS winner FROM p", "locations"))
@@ -140,24 +142,24 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
     return tasks(spark, d).where("status = 'pending'").orderBy("priority", "id").limit(100).select("id", "priority")
 
 
-@query("e3_country_search", sql("SELECT id, name, (SELECT count(*) FROM locations WHERE status = 'active' AND country_code = 'FRANCE') AS total FROM locations WHERE status = 'active' AND country_code = 'FRANCE' ORDER BY rating DESC NULLS LAST, review_count DESC NULLS LAST, id LIMIT 18", "locations"))
+@query("e3_country_search", sql("SELECT id, name, (SELECT count(*) FROM locations WHERE status = 'active' AND country_code = 'NATION_3') AS total FROM locations WHERE status = 'active' AND country_code = 'NATION_3' ORDER BY rating DESC NULLS LAST, review_count DESC NULLS LAST, id LIMIT 18", "locations"))
 def e3(spark: SparkSession, d: str) -> DataFrame:
     """One page of a country, its total alongside."""
-    l = active(locations(spark, d)).where("country_code = 'FRANCE'")
+    l = active(locations(spark, d)).where("country_code = 'NATION_3'")
     page = l.orderBy(F.desc_nulls_last("rating"), F.desc_nulls_last("review_count"), "id").limit(PAGE_SIZE).select("id", "name")
     return page.join(F.broadcast(l.agg(F.count("*").alias("total"))))
 
 
-@query("e5_fallback", sql("SELECT id FROM locations WHERE status = 'active' AND country_code = 'JAPAN' ORDER BY id LIMIT 18", "locations"))
+@query("e5_fallback", sql("SELECT id FROM locations WHERE status = 'active' AND country_code = 'NATION_5' ORDER BY id LIMIT 18", "locations"))
 def e5(spark: SparkSession, d: str) -> DataFrame:
     """The fallback drops every other filter but the country."""
-    return active(locations(spark, d)).where("country_code = 'JAPAN'").orderBy("id").limit(PAGE_SIZE).select("id")
+    return active(locations(spark, d)).where("country_code = 'NATION_5'").orderBy("id").limit(PAGE_SIZE).select("id")
 
 
-@query("e10_practitioner_detail", "SELECT s_suppkey AS id, s_name AS name, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey) AS treatments FROM supplier WHERE s_suppkey < 5")
+@query("e10_practitioner_detail", "SELECT s_suppkey AS id, s_name AS name, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey) AS treatments FROM supplier")
 def e10(spark: SparkSession, d: str) -> DataFrame:
-    n = read(spark, d, "lineitem").where("l_suppkey < 5").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("treatments"))
-    return read(spark, d, "supplier").where("s_suppkey < 5").join(n, "s_suppkey", "left").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.coalesce("treatments", F.lit(0).cast("bigint")).alias("treatments"))
+    n = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("treatments"))
+    return read(spark, d, "supplier").join(n, "s_suppkey", "left").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.coalesce("treatments", F.lit(0).cast("bigint")).alias("treatments"))
 
 
 @query("e16_treatment_landing", sql("SELECT price_currency AS currency, min(price_amount) AS minimum, max(price_amount) AS maximum, count(*) AS offerings, count(DISTINCT location_id) AS locations FROM offerings WHERE price_amount > 0 AND treatment_id IN (SELECT id FROM treatments WHERE category = (SELECT min(category) FROM treatments)) GROUP BY 1", "offerings", "treatments"))
@@ -167,10 +169,10 @@ def e16(spark: SparkSession, d: str) -> DataFrame:
     return price_summary(offerings(spark, d).join(wanted, "treatment_id", "left_semi"), F.col("price_currency"))
 
 
-@query("e17_city_page", sql(", c AS (SELECT l.id, l.name, l.rating FROM locations l WHERE status = 'active' AND country_code = 'CHINA' AND locality = 'BUILDING' AND EXISTS (SELECT 1 FROM offerings o WHERE o.location_id = l.id AND o.treatment_id % 10 < 5)) SELECT id, name, (SELECT count(*) FROM c) AS total FROM c ORDER BY rating DESC NULLS LAST, id LIMIT 24", "locations", "offerings"))
+@query("e17_city_page", sql(", c AS (SELECT l.id, l.name, l.rating FROM locations l WHERE status = 'active' AND country_code = 'NATION_7' AND locality IN ('BUILDING', 'MACHINERY') AND EXISTS (SELECT 1 FROM offerings o WHERE o.location_id = l.id AND o.treatment_id % 10 < 5)) SELECT id, name, (SELECT count(*) FROM c) AS total FROM c ORDER BY rating DESC NULLS LAST, id LIMIT 24", "locations", "offerings"))
 def e17(spark: SparkSession, d: str) -> DataFrame:
     o = offerings(spark, d).where("treatment_id % 10 < 5").select(F.col("location_id").alias("id"))
-    c = active(locations(spark, d)).where("country_code = 'CHINA' AND locality = 'BUILDING'").join(o, "id", "left_semi")
+    c = active(locations(spark, d)).where("country_code = 'NATION_7' AND locality IN ('BUILDING', 'MACHINERY')").join(o, "id", "left_semi")
     page = c.orderBy(F.desc_nulls_last("rating"), "id").limit(24).select("id", "name")
     return page.join(F.broadcast(c.agg(F.count("*").alias("total"))))
 

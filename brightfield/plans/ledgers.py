@@ -117,10 +117,10 @@ def u1(spark: SparkSession, d: str) -> DataFrame:
     return l.where("rating IS NULL").select("id", F.lit("a").alias("kind")).unionByName(l.where("is_virtual").select("id", F.lit("b").alias("kind")))
 
 
-@query("u2_union", sql("SELECT lower(name) AS label FROM treatments WHERE size < 10 UNION SELECT lower(category) FROM treatments", "treatments"))
+@query("u2_union", sql("SELECT lower(name) AS label FROM treatments UNION SELECT lower(category) FROM treatments", "treatments"))
 def u2(spark: SparkSession, d: str) -> DataFrame:
     t = treatments(spark, d)
-    return t.where("size < 10").select(F.lower("name").alias("label")).unionByName(t.select(F.lower("category").alias("label"))).distinct()
+    return t.select(F.lower("name").alias("label")).unionByName(t.select(F.lower("category").alias("label"))).distinct()
 
 
 def drift(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -262,9 +262,9 @@ def q12(spark: SparkSession, d: str) -> DataFrame:
     return locations(spark, d).where("rating IS NULL").join(locked, "org_id", "left_anti").select("id")
 
 
-@query("q13_adopt_or_insert", sql(", w AS (SELECT id AS entity_id, id % 3 AS priority FROM locations WHERE id % 7 = 0), o AS (SELECT entity_id, min(priority) AS priority, max(attempts) AS attempts FROM tasks WHERE status = 'pending' GROUP BY 1) SELECT entity_id, least(w.priority, coalesce(o.priority, w.priority)) AS priority, coalesce(o.attempts, 0) AS attempts, o.entity_id IS NOT NULL AS adopted FROM w LEFT JOIN o USING (entity_id)", "locations", "tasks").replace("o.entity_id IS NOT NULL", "o.attempts IS NOT NULL"))
+@query("q13_adopt_or_insert", sql(", w AS (SELECT id AS entity_id, id % 3 AS priority FROM locations), o AS (SELECT entity_id, min(priority) AS priority, max(attempts) AS attempts FROM tasks WHERE status = 'pending' GROUP BY 1) SELECT entity_id, least(w.priority, coalesce(o.priority, w.priority)) AS priority, coalesce(o.attempts, 0) AS attempts, o.entity_id IS NOT NULL AS adopted FROM w LEFT JOIN o USING (entity_id)", "locations", "tasks").replace("o.entity_id IS NOT NULL", "o.attempts IS NOT NULL"))
 def q13(spark: SparkSession, d: str) -> DataFrame:
-    w = locations(spark, d).where("id % 7 = 0").select(F.col("id").alias("entity_id"), (F.col("id") % 3).alias("priority"))
+    w = locations(spark, d).select(F.col("id").alias("entity_id"), (F.col("id") % 3).alias("priority"))
     o = tasks(spark, d).where("status = 'pending'").groupBy("entity_id").agg(F.min("priority").alias("old"), F.max("attempts").alias("tries"))
     return w.join(o, "entity_id", "left").select("entity_id", F.least("priority", F.coalesce("old", "priority")).alias("priority"), F.coalesce("tries", F.lit(0)).alias("attempts"), F.col("tries").isNotNull().alias("adopted"))
 

@@ -56,10 +56,10 @@ def c20(spark: SparkSession, d: str) -> DataFrame:
     return offerings(spark, d).join(locations(spark, d).where("is_virtual").select(F.col("id").alias("location_id")), "location_id", "left_anti").select("id")
 
 
-@query("j17_keyword_lookup", sql(", k AS (SELECT id, regexp_replace(lower(category), ' (tin|brass)$', '') AS key FROM treatments), m AS (SELECT regexp_replace(lower(category), ' (tin|brass)$', '') AS key, CAST(sum(size) AS BIGINT) AS volume FROM treatments WHERE id % 2 = 0 GROUP BY 1) SELECT id, volume FROM k LEFT JOIN m USING (key)", "treatments"))
+@query("j17_keyword_lookup", sql(", k AS (SELECT id, regexp_replace(lower(category), ' (tin|brass)$', '') AS key FROM treatments), m AS (SELECT regexp_replace(lower(category), ' (tin|brass)$', '') AS key, CAST(sum(size) AS BIGINT) AS volume FROM treatments GROUP BY 1) SELECT id, volume FROM k LEFT JOIN m USING (key)", "treatments"))
 def j17(spark: SparkSession, d: str) -> DataFrame:
     key = F.regexp_replace(F.lower("category"), " (tin|brass)$", "").alias("key")
-    m = treatments(spark, d).where("id % 2 = 0").groupBy(key).agg(F.sum("size").alias("volume"))
+    m = treatments(spark, d).groupBy(key).agg(F.sum("size").alias("volume"))
     return treatments(spark, d).select("id", key).join(m, "key", "left").select("id", "volume")
 
 
@@ -123,11 +123,11 @@ def e18(spark: SparkSession, d: str) -> DataFrame:
     return l.select("id", F.coalesce("o", F.lit(False)).alias("has_offering"), F.coalesce("p", F.lit(False)).alias("has_image")).where("has_offering OR has_image")
 
 
-@query("d14_import_dedupe", sql(", e AS (SELECT doc_id AS id, md5(coalesce(text, '')) AS k FROM documents WHERE doc_id % 2 = 0), x AS (SELECT doc_id AS id, md5(coalesce(text, '')) AS k, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS turn FROM documents WHERE doc_id % 2 = 1) SELECT id FROM x WHERE turn = 1 AND k NOT IN (SELECT k FROM e)", "reviews"))
+@query("d14_import_dedupe", sql(", e AS (SELECT doc_id AS id, md5(coalesce(text, '')) AS k FROM documents WHERE lang = 'en'), x AS (SELECT doc_id AS id, md5(coalesce(text, '')) AS k, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS turn FROM documents WHERE lang <> 'en') SELECT id FROM x WHERE turn = 1 AND k NOT IN (SELECT k FROM e)", "reviews"))
 def d14(spark: SparkSession, d: str) -> DataFrame:
-    r = reviews(spark, d).select("id", F.md5(F.coalesce("text", F.lit(""))).alias("k"))
-    first = r.where("id % 2 = 1").groupBy("k").agg(F.min("id").alias("id"))
-    return first.join(r.where("id % 2 = 0"), "k", "left_anti").select("id")
+    r = reviews(spark, d).select("id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("k"))
+    first = r.where("lang <> 'en'").groupBy("k").agg(F.min("id").alias("id"))
+    return first.join(r.where("lang = 'en'"), "k", "left_anti").select("id")
 
 
 @query("d16_shadow_retirement", sql("SELECT id, winner FROM (SELECT s.id, w.id AS winner, row_number() OVER (PARTITION BY s.id ORDER BY w.price_amount, w.id) AS turn FROM offerings s JOIN offerings w ON w.location_id = s.location_id AND w.treatment_id = s.treatment_id AND w.price_amount IS NOT NULL WHERE s.price_amount IS NULL) WHERE turn = 1", "offerings"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightfield.functions import geo, pricing
+from brightfield.operators.components import written
 from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, organizations, read, sql, treatments
 
@@ -57,13 +58,12 @@ def country_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_points(points: DataFrame, places: DataFrame, miles: float) -> DataFrame:
-    """(city, id, distance) within a distance: an equi-join on one-degree cells of the latitude band, then the exact filter."""
-    reach = miles / 69.0
-    cells = F.sequence(F.floor(F.col("latitude") - reach), F.floor(F.col("latitude") + reach))
-    p = points.select("city", F.col("latitude").alias("plat"), F.col("longitude").alias("plon"), F.explode(cells).alias("cell"))
-    q = places.withColumn("cell", F.floor("latitude"))
+    """(city, id, distance) within a distance: an equi-join on grid cells of that size, then the exact filter."""
+    km = miles * geo.KM / geo.MILES
+    p = geo.around_cells(points.select("city", F.col("latitude").alias("plat"), F.col("longitude").alias("plon")), "plat", "plon", km)
+    q = geo.in_cell(places, "latitude", "longitude", km)
     distance = geo.haversine(F.col("plat"), F.col("plon"), F.col("latitude"), F.col("longitude"))
-    return p.join(q, "cell").withColumn("distance_miles", distance).where(F.col("distance_miles") <= miles)
+    return p.join(q, ["row", "col"]).drop("row", "col").withColumn("distance_miles", distance).where(F.col("distance_miles") <= miles)
 
 
 def radius_ladder(points: DataFrame, places: DataFrame, rungs: tuple[int, ...] = LADDER, enough: int = ENOUGH) -> DataFrame:
@@ -188,29 +188,29 @@ def p9_filters(spark: SparkSession, d: str) -> DataFrame:
     return l.select("id", "name")
 
 
-def closure(tree: DataFrame, levels: int = 12) -> DataFrame:
-    """(root, id) for every node and each of its descendants, itself included: the tree joined to itself level by level.
+def closure(tree: DataFrame) -> DataFrame:
+    """(root, id) for every node and each of its descendants, itself included, whatever the depth.
 
-    A pair found before is not followed again, so a cycle ends.
+    Every round joins the pairs to themselves, which doubles the depth; rounds are written to the shared folder, and the last one
+    adds nothing, so cycles end too.
     """
-    edges = tree.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("root"), "id")
-    every = tree.select(F.col("id").alias("root"), "id")
-    last = every
-    for _ in range(levels):
-        last = last.join(edges.withColumnRenamed("root", "up").withColumnRenamed("id", "down"), F.col("id") == F.col("up")).select("root", F.col("down").alias("id"))
-        last = last.join(every, ["root", "id"], "left_anti")
-        if last.isEmpty():
-            break
-        every = every.unionByName(last)
-    return every
+    steps = tree.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("root"), "id")
+    pairs = written(tree.select(F.col("id").alias("root"), "id").unionByName(steps).distinct(), "closure")
+    size = pairs.count()
+    while True:
+        further = pairs.join(pairs.select(F.col("root").alias("id"), F.col("id").alias("below")), "id").select("root", F.col("below").alias("id"))
+        pairs = written(further.distinct(), "closure")
+        before, size = size, pairs.count()
+        if size == before:
+            return pairs
 
 
 _CLOSURE = ", closure(root, id) AS (SELECT id, id FROM treatments UNION SELECT c.root, t.id FROM closure c JOIN treatments t ON t.parent_id = c.id)"
 
 
-@query("a10_descendants", sql(_CLOSURE + " SELECT root, id FROM closure WHERE root < 60", "treatments", recursive=True))
+@query("a10_descendants", sql(_CLOSURE + " SELECT root, id FROM closure", "treatments", recursive=True))
 def a10_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return closure(treatments(spark, d).select("id", "parent_id")).where(F.col("root") < 60)
+    return closure(treatments(spark, d).select("id", "parent_id"))
 
 
 @query("a11_supply_by_root", sql(_CLOSURE + " SELECT root, count(DISTINCT location_id) AS locations, count(*) AS offerings FROM closure JOIN offerings ON treatment_id = closure.id GROUP BY root", "treatments", "offerings", recursive=True))
@@ -256,9 +256,9 @@ def p15_ilike_any(spark: SparkSession, d: str) -> DataFrame:
     return treatments(spark, d).where(F.expr("category ILIKE ANY ('%brass%', 'promo%', '%tin')")).select("id", "category")
 
 
-@query("p16_regex", sql("SELECT id, name FROM treatments WHERE regexp_matches(name, '[0-9]*7[05]$')", "treatments"))
+@query("p16_regex", sql("SELECT id, name FROM treatments WHERE regexp_matches(name, '^(red|hot) .*r$')", "treatments"))
 def p16_regex(spark: SparkSession, d: str) -> DataFrame:
-    return treatments(spark, d).where(F.col("name").rlike("[0-9]*7[05]$")).select("id", "name")
+    return treatments(spark, d).where(F.col("name").rlike("^(red|hot) .*r$")).select("id", "name")
 
 
 @query("p17_id_list", sql("SELECT id, status FROM locations WHERE id IN (1, 5, 8, 34, 55)", "locations"))
@@ -273,13 +273,16 @@ def p18_json(spark: SparkSession, d: str) -> DataFrame:
     return tasks(spark, d).where(F.get_json_object("payload", "$.k").try_cast("int").between(10, 20)).select("id")
 
 
-_FORBIDDEN = re.compile(r"\b(select|insert|update|delete|drop|alter|create|truncate|grant|union|into|exec|call|merge|with)\b", re.I)
+# The words that make a predicate a statement.
+_FORBIDDEN = re.compile(
+    r"\b(select|insert|update|delete|merge|copy|call|do|create|alter|drop|truncate|grant|revoke|execute|vacuum|analyze|refresh|set|reset|listen|notify|load)\b", re.I
+)
 
 
 def checked_predicate(text: str) -> Column:
     """A free predicate over columns: no statements, comments or calls but IN, ANY and ALL; text in quotes is not looked at."""
     bare = re.sub(r"'(?:[^']|'')*'", "''", text)
-    if ";" in bare or "--" in bare or "/*" in bare or _FORBIDDEN.search(bare):
+    if not bare.strip() or any(x in bare for x in (";", "--", "/*", "*/")) or _FORBIDDEN.search(bare):
         raise ValueError("the predicate is not allowed")
     for name in re.findall(r"([A-Za-z_][A-Za-z0-9_.]*)\s*\(", bare):
         if name.lower() not in ("in", "any", "all", "and", "or", "not"):
@@ -330,14 +333,14 @@ def p24_city(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "p26_current_verification",
     sql(
-        """, v AS (SELECT s_suppkey AS org_id, DATE '1998-01-01' + CAST(s_suppkey % 400 AS INT) AS next_review, CASE WHEN s_suppkey % 3 > 0 THEN DATE '1998-01-01' + CAST(s_suppkey % 300 AS INT) END AS expires FROM supplier)
+        """, v AS (SELECT s_suppkey AS org_id, DATE '1998-01-01' + CAST(s_suppkey * 37 % 400 AS INT) AS next_review, CASE WHEN s_suppkey % 3 > 0 THEN DATE '1998-01-01' + CAST(s_suppkey * 53 % 300 AS INT) END AS expires FROM supplier)
 SELECT l.id FROM locations l JOIN v USING (org_id) WHERE next_review > DATE '1998-06-01' AND (expires IS NULL OR expires >= DATE '1998-06-01')""",
         "locations",
     ),
 )
 def p26_verified(spark: SparkSession, d: str) -> DataFrame:
     day, base = F.lit("1998-06-01").cast("date"), F.lit("1998-01-01").cast("date")
-    v = read(spark, d, "supplier").select(F.col("s_suppkey").alias("org_id"), F.date_add(base, (F.col("s_suppkey") % 400).cast("int")).alias("next_review"), F.when(F.col("s_suppkey") % 3 > 0, F.date_add(base, (F.col("s_suppkey") % 300).cast("int"))).alias("expires"))
+    v = read(spark, d, "supplier").select(F.col("s_suppkey").alias("org_id"), F.date_add(base, (F.col("s_suppkey") * 37 % 400).cast("int")).alias("next_review"), F.when(F.col("s_suppkey") % 3 > 0, F.date_add(base, (F.col("s_suppkey") * 53 % 300).cast("int"))).alias("expires"))
     good = v.where((F.col("next_review") > day) & (F.col("expires").isNull() | (F.col("expires") >= day)))
     return locations(spark, d).join(good, "org_id", "left_semi").select("id")
 
@@ -413,11 +416,11 @@ def s13_nearest(spark: SparkSession, d: str) -> DataFrame:
     return m.join(F.broadcast(first)).select("city", "n", F.when(F.col("city") == F.col("first"), 0).otherwise(1).alias("front"))
 
 
-@query("s15_typeahead", sql(", u AS (SELECT treatment_id AS id, count(DISTINCT location_id) AS n FROM offerings GROUP BY 1) SELECT t.id, t.name, coalesce(n, 0) AS n FROM treatments t LEFT JOIN u USING (id) WHERE lower(t.name) LIKE '%part#1%' ORDER BY CASE WHEN lower(t.name) LIKE 'part#1%' THEN 0 ELSE 1 END, coalesce(n, 0) DESC, t.name, t.id LIMIT 8", "treatments", "offerings"))
+@query("s15_typeahead", sql(", u AS (SELECT treatment_id AS id, count(DISTINCT location_id) AS n FROM offerings GROUP BY 1) SELECT t.id, t.name, coalesce(n, 0) AS n FROM treatments t LEFT JOIN u USING (id) WHERE lower(t.name) LIKE '%re%' ORDER BY CASE WHEN lower(t.name) LIKE 're%' THEN 0 ELSE 1 END, coalesce(n, 0) DESC, t.name, t.id LIMIT 8", "treatments", "offerings"))
 def s15_typeahead(spark: SparkSession, d: str) -> DataFrame:
-    t = treatments(spark, d).where(F.lower("name").contains("part#1"))
+    t = treatments(spark, d).where(F.lower("name").contains("re"))
     u = offerings(spark, d).join(t.select(F.col("id").alias("treatment_id")), "treatment_id", "left_semi").groupBy(F.col("treatment_id").alias("id")).agg(F.count_distinct("location_id").alias("n"))
-    return t.join(u, "id", "left").fillna(0, ["n"]).orderBy(~F.lower("name").startswith("part#1"), F.desc("n"), "name", "id").limit(8).select("id", "name", "n")
+    return t.join(u, "id", "left").fillna(0, ["n"]).orderBy(~F.lower("name").startswith("re"), F.desc("n"), "name", "id").limit(8).select("id", "name", "n")
 
 
 @query("j20_siblings", sql(f"SELECT a.id, b.id AS sibling, round({_MILES.format(a='a', b='b')}, 6) AS miles FROM locations a JOIN locations b ON a.org_id = b.org_id AND a.id <> b.id WHERE a.status = 'active' AND b.status = 'active'", "locations"))

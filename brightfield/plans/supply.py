@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightfield.functions.text import blank_to_null
+from brightfield.plans.search import closure
 from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, organizations, read, reviews, sql, treatments
 
@@ -41,7 +42,7 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
     return treatments(spark, d).select("id", F.explode(hits).alias("rank"))
 
 
-_RULES = [("^Part#1", "Brand#11", 7, 10), ("5$", None, 8, 20), ("[02468]$", "Brand#12", 9, 30)]
+_RULES = [("^small", "Brand#11", 7, 10), ("ring$", None, 8, 20), ("r$", "Brand#12", 9, 30), ("^red", None, 6, 20)]
 _RULE_SQL = ", rules(pattern, scope, target, priority) AS (VALUES " + ", ".join(f"('{p}', {repr(s) if s else 'NULL'}, {t}, {k})" for p, s, t, k in _RULES) + "), hit AS (SELECT id, target, priority FROM treatments JOIN rules ON regexp_matches(name, pattern) AND (scope IS NULL OR scope = brand))"
 
 
@@ -68,9 +69,10 @@ def j7(spark: SparkSession, d: str) -> DataFrame:
     return locations(spark, d).join(offerings(spark, d).where("price_unit = 'package'").select(F.col("location_id").alias("id")), "id", "left_semi").select("id")
 
 
-@query("j8_anti_join", sql("SELECT id FROM locations l WHERE NOT EXISTS (SELECT 1 FROM offerings o WHERE o.location_id = l.id)", "locations", "offerings"))
+@query("j8_anti_join", sql("SELECT id FROM locations l WHERE NOT EXISTS (SELECT 1 FROM offerings o WHERE o.location_id = l.id AND price_unit = 'package' AND price_currency = 'R')", "locations", "offerings"))
 def j8(spark: SparkSession, d: str) -> DataFrame:
-    return locations(spark, d).join(offerings(spark, d).select(F.col("location_id").alias("id")), "id", "left_anti").select("id")
+    o = offerings(spark, d).where("price_unit = 'package' AND price_currency = 'R'").select(F.col("location_id").alias("id"))
+    return locations(spark, d).join(o, "id", "left_anti").select("id")
 
 
 @query("j9_either_exists", sql("SELECT id FROM locations l WHERE EXISTS (SELECT 1 FROM offerings o WHERE o.location_id = l.id AND treatment_id < 5) OR org_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)", "locations", "offerings"))
@@ -170,9 +172,11 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
     return price_summary(offerings(spark, d), blank_to_null(F.col("price_currency")))
 
 
-@query("a8_search_price_summary", sql(_SUMMARY.format(c="upper(nullif(trim(price_currency), ''))").replace("> 0", "> 0 AND (treatment_id % 10 = 3 OR treatment_id < 50)"), "offerings"))
+@query("a8_search_price_summary", sql(", closure(root, id) AS (SELECT id, id FROM treatments WHERE id = 3 UNION SELECT c.root, t.id FROM closure c JOIN treatments t ON t.parent_id = c.id) " + _SUMMARY.format(c="upper(nullif(trim(price_currency), ''))").replace("> 0", "> 0 AND treatment_id IN (SELECT id FROM closure)"), "offerings", "treatments", recursive=True))
 def a8(spark: SparkSession, d: str) -> DataFrame:
-    return price_summary(offerings(spark, d).where("treatment_id % 10 = 3 OR treatment_id < 50"), F.upper(blank_to_null(F.col("price_currency"))))
+    """Prices of what a search for a category finds: its whole tree."""
+    wanted = closure(treatments(spark, d).select("id", "parent_id")).where("root = 3").select(F.col("id").alias("treatment_id"))
+    return price_summary(offerings(spark, d).join(wanted, "treatment_id", "left_semi"), F.upper(blank_to_null(F.col("price_currency"))))
 
 
 _CITY = """SELECT lower(trim(locality)) AS city_key, country_code, count(*) AS listing_count, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude,
@@ -192,9 +196,9 @@ def city_index(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("e20_city_lookup", sql(f", c AS ({_CITY}) SELECT * FROM c WHERE city_key = 'building' AND country_code IN ('FRANCE', 'CHINA')", "locations"))
+@query("e20_city_lookup", sql(f", c AS ({_CITY}) SELECT * FROM c WHERE city_key = 'building' AND country_code IN ('NATION_3', 'NATION_7', 'NATION_12')", "locations"))
 def e20(spark: SparkSession, d: str) -> DataFrame:
-    return city_index(spark, d).where("city_key = 'building' AND country_code IN ('FRANCE', 'CHINA')")
+    return city_index(spark, d).where("city_key = 'building' AND country_code IN ('NATION_3', 'NATION_7', 'NATION_12')")
 
 
 @query("a14_sources", sql("SELECT location_id, array_to_string(list_sort(list_distinct(list(CAST(source_id AS VARCHAR)))), ',') AS sources FROM offerings GROUP BY 1", "offerings"))
@@ -263,11 +267,11 @@ def a23(spark: SparkSession, d: str) -> DataFrame:
     return c.unionByName(t).unionByName(b)
 
 
-@query("a24_country_rollup", sql(", i AS (SELECT country_code, locality, count(*) AS n FROM locations GROUP BY 1, 2) SELECT country_code, CAST(sum(n) AS BIGINT) AS listings FROM i GROUP BY 1 HAVING max(lower(country_code)) LIKE 'c%' OR max(lower(country_code)) LIKE 'i%'", "locations"))
+@query("a24_country_rollup", sql(", i AS (SELECT country_code, locality, count(*) AS n FROM locations GROUP BY 1, 2) SELECT country_code, CAST(sum(n) AS BIGINT) AS listings FROM i GROUP BY 1 HAVING max(lower(country_code)) LIKE 'nation_1%' OR max(lower(country_code)) LIKE 'nation_7%'", "locations"))
 def a24(spark: SparkSession, d: str) -> DataFrame:
     i = locations(spark, d).groupBy("country_code", "locality").agg(F.count("*").alias("n"))
     c = i.groupBy("country_code").agg(F.sum("n").alias("listings"), F.max(F.lower("country_code")).alias("name"))
-    return c.where(F.col("name").startswith("c") | F.col("name").startswith("i")).select("country_code", "listings")
+    return c.where(F.col("name").like("nation_1%") | F.col("name").like("nation_7%")).select("country_code", "listings")
 
 
 @query("a37_chain_cohorts", sql(", m AS (SELECT location_id AS id, count(*) AS menu FROM offerings GROUP BY 1), o AS (SELECT org_id, list_sort(list(coalesce(menu, 0))) AS c, count(DISTINCT country_code) AS places FROM locations LEFT JOIN m USING (id) GROUP BY 1) SELECT org_id, len(c) AS n, c[1] AS least, c[len(c) // 2 + 1] AS upper_median, c[len(c)] AS most FROM o WHERE places >= 2 AND c[len(c)] >= 4", "locations", "offerings"))
@@ -285,9 +289,9 @@ def w15(spark: SparkSession, d: str) -> DataFrame:
     return l.where("peer >= 4 AND menu * 2 < peer").select("id", "menu", "peer")
 
 
-@query("a39_unambiguous_terms", sql("SELECT lower(category) AS term, min(id) AS id FROM treatments WHERE size > 25 GROUP BY 1 HAVING count(DISTINCT id) = 1", "treatments"))
+@query("a39_unambiguous_terms", sql("SELECT lower(name) || ' ' || lower(brand) AS term, min(id) AS id FROM treatments GROUP BY 1 HAVING count(DISTINCT id) = 1", "treatments"))
 def a39(spark: SparkSession, d: str) -> DataFrame:
-    g = treatments(spark, d).where("size > 25").groupBy(F.lower("category").alias("term")).agg(F.collect_set("id").alias("ids"))
+    g = treatments(spark, d).groupBy(F.concat_ws(" ", F.lower("name"), F.lower("brand")).alias("term")).agg(F.collect_set("id").alias("ids"))
     return g.where(F.size("ids") == 1).select("term", F.col("ids")[0].alias("id"))
 
 

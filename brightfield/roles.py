@@ -1,6 +1,6 @@
 """Directory entities over the given tables, once as DataFrames and once as SQL for the oracle.
 
-Locations are customers placed in clusters around their nation, organizations are suppliers, offerings are line items of a
+Locations are customers in towns around their nation's place (the twelve of a block that share a nation share a town), organizations are suppliers, offerings are line items of a
 location's orders, treatments are parts in a tree, reviews are documents, tasks and ledgers are events, pages are pages.
 """
 
@@ -25,8 +25,8 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("country_code"),
         F.col("c_mktsegment").alias("locality"),
         F.col("n_regionkey").alias("region"),
-        F.expr("CAST(-48 + 4 * c_nationkey AS DOUBLE) + CAST((c_custkey * 7919) % 200 AS DOUBLE) / 100 - 1").alias("latitude"),
-        F.expr("CAST(-168 + 14 * c_nationkey AS DOUBLE) + CAST((c_custkey * 104729) % 211 AS DOUBLE) / 100 - 1").alias("longitude"),
+        F.expr("CAST(-48 + 4 * c_nationkey AS DOUBLE) + CAST((c_custkey div 12 * 7919) % 200 AS DOUBLE) / 100 - 1 + CAST(c_custkey % 2 AS DOUBLE) / 250").alias("latitude"),
+        F.expr("CAST(-168 + 14 * c_nationkey AS DOUBLE) + CAST((c_custkey div 12 * 104729) % 211 AS DOUBLE) / 100 - 1").alias("longitude"),
         F.when(F.col("c_custkey") % 17 == 0, "inactive").otherwise("active").alias("status"),
         (F.col("c_custkey") % 23 == 0).alias("is_virtual"),
         F.when(rated, F.floor(F.col("c_acctbal") / 2500) + 1).cast("int").alias("rating"),
@@ -98,8 +98,8 @@ def active(df: DataFrame) -> DataFrame:
 
 SQL = {
     "locations": """locations AS (SELECT c_custkey AS id, c_name AS name, c_custkey // 15 AS org_id, n_name AS country_code, c_mktsegment AS locality, n_regionkey AS region,
-  CAST(-48 + 4 * c_nationkey AS DOUBLE) + CAST((c_custkey * 7919) % 200 AS DOUBLE) / 100 - 1 AS latitude,
-  CAST(-168 + 14 * c_nationkey AS DOUBLE) + CAST((c_custkey * 104729) % 211 AS DOUBLE) / 100 - 1 AS longitude,
+  CAST(-48 + 4 * c_nationkey AS DOUBLE) + CAST((c_custkey // 12 * 7919) % 200 AS DOUBLE) / 100 - 1 + CAST(c_custkey % 2 AS DOUBLE) / 250 AS latitude,
+  CAST(-168 + 14 * c_nationkey AS DOUBLE) + CAST((c_custkey // 12 * 104729) % 211 AS DOUBLE) / 100 - 1 AS longitude,
   CASE WHEN c_custkey % 17 = 0 THEN 'inactive' ELSE 'active' END AS status, c_custkey % 23 = 0 AS is_virtual,
   CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 2500) + 1 AS INT) END AS rating, CASE WHEN c_acctbal >= 0 THEN CAST(c_custkey % 40 AS INT) END AS review_count
   FROM customer JOIN nation ON c_nationkey = n_nationkey)""",

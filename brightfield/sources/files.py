@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Columns of a report that are looked at.
+MOST_COLUMNS = 64
+
+
 def _header(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
@@ -19,25 +24,21 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> Data
 
 
 def read_planner(spark: SparkSession, path: str, delimiter: str = ",", needed: tuple[str, ...] = ("keyword", "avg_monthly_searches")) -> DataFrame:
-    """A report whose header comes after some lines of preamble: the first row with the needed names; blank rows go.
+    """A report whose header comes after any lines of preamble: the first row with the needed names; blank keywords go.
 
-    Only the file's first lines are looked at by the driver; the rows are parsed where they are.
+    Cells may hold line breaks. Such a report comes as one file, which is read whole by one task; only its header's place and
+    names reach the driver.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    names, head = None, None
-    for row in lines.limit(50).collect():
-        cells = [_header(c.strip('" ')) for c in row["value"].split(delimiter)]
-        if all(any(c.startswith(n) for c in cells) for n in needed):
-            names, head = cells, row["value"]
-            break
-    if names is None:
+    wide = spark.read.csv(path, sep=delimiter, header=False, quote='"', escape='"', multiLine=True, schema=", ".join(f"c{i} string" for i in range(MOST_COLUMNS)))
+    rows = wide.select(F.monotonically_increasing_id().alias("line"), F.array_compact(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("v")) for i in range(MOST_COLUMNS)])).alias("cells"))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    names = F.transform("cells", lambda x: plain(x["v"]))
+    fits = [F.exists(names, lambda x: x.startswith(n)) for n in needed]
+    head = rows.where(F.coalesce(reduce(lambda a, b: a & b, fits), F.lit(False))).orderBy("line").limit(1).select("line", names.alias("names")).first()
+    if head is None:
         raise ValueError(f"no row names {needed}")
-    preamble = lines.limit(50).collect()
-    skip = [r["value"] for r in preamble[: [r["value"] for r in preamble].index(head) + 1]]
-    rows = lines.where(~F.col("value").isin(*skip))
-    schema = ", ".join(f"`{n or f'c{i}'}` string" for i, n in enumerate(names))
-    parsed = rows.select(F.from_csv("value", F.lit(schema), {"sep": delimiter, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
-    return parsed.where(F.trim("keyword") != "")
+    kept = [F.col("cells")[i]["v"].alias(n or f"c{i}") for i, n in enumerate(head["names"]) if n is not None]
+    return rows.where(F.col("line") > head["line"]).select(*kept).where(F.trim("keyword") != "")
 
 
 def write_delimited(df: DataFrame, path: str) -> None:

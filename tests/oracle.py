@@ -30,5 +30,7 @@ def check(spark, query, sql, sf_dir):
     made = query(spark, sf_dir)
     want = con.execute(sql)
     columns = [c[0] for c in want.description]
+    expected = want.fetchall()
+    assert expected, "an empty result proves nothing"
     assert sorted(made.columns) == sorted(columns)
-    assert _rows(made.columns, [tuple(r) for r in made.collect()]) == _rows(columns, want.fetchall())
+    assert _rows(made.columns, [tuple(r) for r in made.collect()]) == _rows(columns, expected)
