@@ -6,7 +6,8 @@ search may jump for a block, and blocks with shift 0 lead to a bucket of pattern
 first word and every pattern left is compared word by word.
 
 Defined cases: null or wordless texts have no words, no hits; items without words have no windows; repeated items and repeated
-documents are each reported; items with equal text all count; documents keep any other columns.
+documents are each reported; items with equal text all count; items without an id count as one with an empty id; documents keep
+any other columns.
 """
 
 from __future__ import annotations
@@ -87,8 +88,8 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
             out.append(([" ".join(w[i : i + WINDOW]) for i in range(max(1, len(w) - WINDOW + 1))] if w else [],))
         return out
 
-    made = map_texts(benchmark.where(F.col(item_id).isNotNull()), work, struct_type("windows array<string>"), text, [item_id])
-    return made.select(F.explode("found.windows").alias("window"), F.col(f"doc.{item_id}").cast("string").alias("item_id")).distinct()
+    made = map_texts(benchmark, work, struct_type("windows array<string>"), text, [item_id])
+    return made.select(F.explode("found.windows").alias("window"), F.coalesce(F.col(f"doc.{item_id}").cast("string"), F.lit("")).alias("item_id")).distinct()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, windows_per_pass: int = WINDOWS_PER_PASS) -> DataFrame:

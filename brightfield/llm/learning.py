@@ -23,13 +23,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
-def isotonic(score: np.ndarray, label: np.ndarray, knots: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares nondecreasing fit, as points to interpolate between (both ends of each level): pool adjacent violators over at most ``knots`` bins."""
+def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares nondecreasing fit by pooling adjacent violators, as points to interpolate between: both ends of each level."""
     order = np.argsort(score, kind="stable")
-    bins = [b for b in np.array_split(order, min(knots, len(order))) if len(b)]
+    values, starts = np.unique(score[order], return_index=True)
+    means = np.add.reduceat(label[order].astype(float), starts) / np.diff([*starts, len(order)]) if len(order) else np.zeros(0)
     blocks: list[list[float]] = []  # least and greatest score, mean label, weight
-    for b in bins:
-        blocks.append([float(score[b].min()), float(score[b].max()), float(label[b].mean()), float(len(b))])
+    for value, mean, weight in zip(values.tolist(), means.tolist(), np.diff([*starts, len(order)]).tolist(), strict=True):
+        blocks.append([value, value, mean, float(weight)])
         while len(blocks) > 1 and blocks[-2][2] >= blocks[-1][2]:
             _, hi, y1, w1 = blocks.pop()
             lo, _, y0, w0 = blocks.pop()

@@ -5,8 +5,9 @@
 2. Signatures are cut in bands. Classes that share a band are candidates of each other; every class of a bucket is tied to the
    bucket's least class, and the ties' connected components are clusters: no candidate pair lies across two of them.
 3. A cluster's sets meet in one task, or, past a weight, in chunks: first each chunk with itself and the cluster's least class,
-   then, for members outside the cluster's largest component so far, chunk against chunk. Members that are linked already are not
-   compared again, so a tight group of any size costs about one comparison for each member.
+   then members outside the cluster's largest component so far with the chunks of all others; where many stay outside, only with
+   the members of their own buckets. Members that are linked already are not compared again, so a tight group of any size costs
+   about one comparison for each member, and a loose heavy cluster moves a set once for each of its bands at most.
 4. A comparison looks at the signature batch by batch and stops when the posterior probability that the similarity reaches the
    threshold falls under the miss probability. Survivors are verified on the full sets. A spanning forest of the verified links
    is kept, and its components are the result.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from math import comb
 
@@ -32,21 +34,39 @@ from brightfield.llm.common import materialise, slices, text_of
 from brightfield.llm.graph import connected_components
 
 WORDS = 5
-#: Links have 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: A pair at the threshold shares no band with probability (1 - .85**6)**24, about 1e-5.
-BANDS, ROWS = 24, 6
-#: Hashes that a comparison looks at before each decision.
-BATCHES = (36, 72, 108, 144)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Links have 100 * intersection >= percent * union; signatures have bands of some rows."""
+
+    percent: int
+    bands: int
+    rows: int
+
+    @property
+    def hashes(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def batches(self) -> list[int]:
+        """Hashes that a comparison has looked at by each decision."""
+        return [self.hashes * k // 4 for k in range(1, 5)]
+
+
+#: At 85 % a pair shares no band with probability (1 - .85**6)**24, about 1e-5; at 80 % with (1 - .8**5)**28, about 1.5e-5.
+AT_85, AT_80 = Rule(85, 24, 6), Rule(80, 28, 5)
 #: A candidate is dropped when the posterior probability of a link is below this.
 MISS = 1e-6
 #: Shingles that one task holds for a cluster; heavier clusters are split into chunks.
 CHUNK_SHINGLES = 1_500_000
+#: Chunks of members outside a heavy cluster's largest component up to which they meet all its other members.
+LOOSE = 12
 
 #: Bytes of white space become spaces and A-Z become a-z.
 _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
-_HASHES = BANDS * ROWS
+_HASHES = 144
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _rng.integers(1, 2**63, _HASHES, dtype=_U) * _U(2) + _U(1)
 _OFFSETS = _rng.integers(0, 2**63, _HASHES, dtype=_U)
@@ -99,18 +119,18 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, hashes: int = _HASHES) -> np.ndarray:
     """16 bits of each minimum over the set."""
-    least = np.full(_HASHES, np.iinfo(_U).max, _U)
+    least = np.full(hashes, np.iinfo(_U).max, _U)
     for i in range(0, len(shingles), 1024):
-        part = shingles[i : i + 1024, None] * _FACTORS
-        part += _OFFSETS
+        part = shingles[i : i + 1024, None] * _FACTORS[:hashes]
+        part += _OFFSETS[:hashes]
         np.minimum(least, part.min(0), out=least)
     return (least >> _U(40)).astype(np.uint16)
 
 
 @lru_cache
-def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
+def least_matches(n: int, percent: int, miss: float = MISS) -> int:
     """Matches among ``n`` hashes below which P(similarity >= percent), from a uniform prior, is under ``miss``."""
     t, below = percent / 100, 0.0
     for m in range(n + 1):
@@ -126,12 +146,11 @@ def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
 class Members:
     """Documents that meet in one task: ids, set sizes, signatures, and their sets over a shared code."""
 
-    def __init__(self, ids: list[int], signatures: list[bytes], sets: list[bytes]):
-        self.ids = ids
-        self.signatures = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(ids), _HASHES)
-        every = np.frombuffer(b"".join(sets), np.uint16).reshape(-1, 3).astype(np.int64)
-        values, self.codes = np.unique(every[:, 0] | every[:, 1] << 16 | every[:, 2] << 32, return_inverse=True)
-        self.sizes = np.array([len(s) // 6 for s in sets], np.int64)
+    def __init__(self, rule: Rule, ids: list[int], signatures: list[bytes], sets: list[bytes]):
+        self.rule, self.ids = rule, ids
+        self.signatures = np.frombuffer(b"".join(signatures), np.uint16).reshape(len(ids), rule.hashes)
+        values, self.codes = np.unique(np.frombuffer(b"".join(sets), _U), return_inverse=True)
+        self.sizes = np.array([len(s) // 8 for s in sets], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.mark = np.zeros(len(values), bool)
         #: The component that a member is known to be in.
@@ -152,15 +171,15 @@ class Members:
         if not len(others):
             return others
         a, b = self.sizes[k], self.sizes[others]
-        others = others[100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)]
+        others = others[100 * np.minimum(a, b) >= self.rule.percent * np.maximum(a, b)]
         if not len(others):
             return others
         same = self.signatures[others] == self.signatures[k]
-        same = same[banded := same.reshape(-1, BANDS, ROWS).all(2).any(1)]
+        same = same[banded := same.reshape(-1, self.rule.bands, self.rule.rows).all(2).any(1)]
         others, matches, done = others[banded], 0, 0
-        for n in BATCHES:
+        for n in self.rule.batches:
             matches = matches + same[:, done:n].sum(1)
-            alive = matches >= least_matches(n)
+            alive = matches >= least_matches(n, self.rule.percent)
             others, same, matches, done = others[alive], same[alive], matches[alive], n
         return others
 
@@ -170,7 +189,7 @@ class Members:
         if not len(others):
             return
         shared = self.intersections(k, others)
-        linked = others[100 * shared >= PERCENT * (self.sizes[k] + self.sizes[others] - shared)]
+        linked = others[100 * shared >= self.rule.percent * (self.sizes[k] + self.sizes[others] - shared)]
         for o in linked.tolist():
             if self.label[o] != self.label[k]:
                 self.label[self.label == self.label[o]] = self.label[k]
@@ -198,7 +217,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_groups(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Links within groups (root, x, y): columns root, x, y, side, part, id, signature, shingles.
 
     Groups with x = y compare all members with each other; in others those of side 0, whose links are still open, meet those
@@ -209,7 +228,7 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         table = table.sort_by([("side", "ascending"), ("id", "ascending")])
         x, y = table.column(1)[0].as_py(), table.column(2)[0].as_py()
-        m = Members(table.column(5).to_pylist(), table.column(6).to_pylist(), table.column(7).to_pylist())
+        m = Members(rule, table.column(5).to_pylist(), table.column(6).to_pylist(), table.column(7).to_pylist())
         seen: dict[int, int] = {}
         for k, part in enumerate(table.column(4).to_pylist()):
             first = seen.setdefault(part, k)
@@ -231,7 +250,7 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the jobs ----
 
 
-def _sketch(docs: DataFrame) -> DataFrame:
+def _sketch(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, set_id (equal for equal sets, null for empty ones), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,26 +260,26 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 s = shingle_set(t)
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                signatures.append(signature(s).tobytes() if len(s) else None)
+                signatures.append(signature(s, rule.hashes).tobytes() if len(s) else None)
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_id", "signature"])
 
     return docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, signature binary")
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
+        signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, rule.bands, rule.rows)
         key = np.zeros(signatures.shape[:2], _U)
-        for r in range(ROWS):
+        for r in range(rule.rows):
             key = _mix(key ^ signatures[:, :, r].astype(_U)) * _PLACES[r]
-        key = _mix(key + np.arange(BANDS, dtype=_U)).view(np.int64).reshape(-1)
-        ids = np.repeat(batch.column(0).to_numpy(), BANDS)
+        key = _mix(key + np.arange(rule.bands, dtype=_U)).view(np.int64).reshape(-1)
+        ids = np.repeat(batch.column(0).to_numpy(), rule.bands)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], ["band", "id"])
 
 
-def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` (id, …) with signature and shingles, the set at 6 bytes a shingle, recomputed from the texts."""
+def _with_sets(docs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """``members`` (id, …) with signature and shingles, the whole set of 64-bit hashes, recomputed from the texts."""
     kept = [c for c in members.columns if c != "id"]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), text_of().alias("text"))
     joined = texts.join(members, "id").select("id", "text", F.struct(*kept).alias("known"))
@@ -271,8 +290,8 @@ def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             signatures, sets = [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t)
-                signatures.append(signature(s).tobytes())
-                sets.append(np.ascontiguousarray((s >> _U(16)).view(np.uint16).reshape(-1, 4)[:, :3]).tobytes())
+                signatures.append(signature(s, rule.hashes).tobytes())
+                sets.append(s.tobytes())
             arrays = [batch.column(0), batch.column(2), pa.array(signatures, pa.binary()), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "known", "signature", "shingles"])
 
@@ -280,21 +299,21 @@ def _with_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return made.select("id", "known.*", "signature", "shingles")
 
 
-def _links(groups: DataFrame) -> DataFrame:
+def _links(groups: DataFrame, rule: Rule) -> DataFrame:
     """Links of the groups (root, x, y) that the rows form: side, part, id, signature, shingles."""
     spread = groups.select("root", "x", "y", "side", "part", "id", "signature", "shingles").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
-    return spread.mapInArrow(_link_groups, "a bigint, b bigint")
+    return spread.mapInArrow(lambda batches: _link_groups(batches, rule), "a bigint, b bigint")
 
 
-def find_components(docs: DataFrame, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+def find_components(docs: DataFrame, chunk_shingles: int = CHUNK_SHINGLES, rule: Rule = AT_85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    sketch = materialise(_sketch(docs), "sketch")
+    sketch = materialise(_sketch(docs, rule), "sketch")
     classes = sketch.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     classes = materialise(classes, "classes")
 
     least = classes.select("id", "set_id").withColumnRenamed("set_id", "of")
     signed = sketch.join(least, (sketch["doc_id"] == least["id"]) & (sketch["set_id"] == least["of"])).select("id", "signature")
-    bands = materialise(signed.mapInArrow(_bands, "band bigint, id bigint"), "bands")
+    bands = materialise(signed.mapInArrow(lambda batches: _bands(batches, rule), "band bigint, id bigint"), "bands")
     buckets = bands.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") != F.col("most"))
     ties = bands.join(buckets, "band").select(F.col("id").alias("a"), F.col("least").alias("b"))
     clusters = materialise(connected_components(ties), "clusters")
@@ -304,16 +323,16 @@ def find_components(docs: DataFrame, chunk_shingles: int = CHUNK_SHINGLES) -> Da
     chunks = sized.groupBy("component").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("chunks"), F.count("*").alias("members"))
     known = clusters.join(chunks, "component").select(F.col("node").alias("id"), F.col("component").alias("root"), "chunks")
     known = known.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    members = materialise(_with_sets(docs, known), "members")
+    members = materialise(_with_sets(docs, known, rule), "members")
 
     # Every chunk with itself; the cluster's least member visits all chunks, so that a tight group is linked through it.
     visits = F.when((F.col("chunks") > 1) & (F.col("id") == F.col("root")), F.expr("sequence(0, chunks - 1)")).otherwise(F.array("chunk"))
     within = members.withColumn("x", F.explode(visits)).select("root", "x", F.col("x").alias("y"), F.lit(0).alias("side"), F.col("id").alias("part"), "id", "signature", "shingles")
-    links = materialise(_links(within), "links")
+    links = materialise(_links(within, rule), "links")
 
     heavy = members.where(F.col("chunks") > 1)
     if heavy.limit(1).count():
-        links = links.unionByName(materialise(_links(_across(heavy, connected_components(links), chunk_shingles)), "links"))
+        links = links.unionByName(materialise(_links(_across(heavy, connected_components(links), bands, chunk_shingles), rule), "links"))
     components = connected_components(links)
 
     named = classes.join(components.withColumnRenamed("node", "id"), "id", "left")
@@ -323,23 +342,37 @@ def find_components(docs: DataFrame, chunk_shingles: int = CHUNK_SHINGLES) -> Da
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _across(heavy: DataFrame, components: DataFrame, chunk_shingles: int) -> DataFrame:
-    """Groups of different chunks of a heavy cluster in which a member outside its largest component meets all others."""
-    parts = heavy.select("id", "root", "chunk", "chunks", F.expr("length(shingles) div 6").alias("n")).join(components.withColumnRenamed("node", "id"), "id", "left")
+def _across(heavy: DataFrame, components: DataFrame, bands: DataFrame, chunk_shingles: int) -> DataFrame:
+    """Groups in which a member of a heavy cluster outside its largest component meets others: all, or those of its buckets.
+
+    To meet all, a set moves once for each chunk of members outside; where those are more than LOOSE chunks, buckets move it less.
+    """
+    parts = heavy.select("id", "root", "chunk", "chunks", F.expr("length(shingles) div 8").alias("n")).join(components.withColumnRenamed("node", "id"), "id", "left")
     parts = parts.withColumn("part", F.coalesce("component", "id"))
     counted = parts.groupBy("root", "part").count()
     largest = counted.groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("largest"))
     parts = parts.join(largest, "root").withColumn("open", F.col("part") != F.col("largest"))
     loose = parts.where("open").groupBy("root").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("loose"))
     parts = parts.join(loose, "root").withColumn("turn", F.when(F.col("open"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("loose")).cast("int")))
-    placed = heavy.select("id", "signature", "shingles").join(parts.select("id", "root", "part", "open", "chunk", "chunks", "turn", "loose"), "id")
+    every = heavy.select("id", "signature", "shingles").join(parts.select("id", "root", "part", "open", "chunk", "chunks", "turn", "loose", "n"), "id")
+    placed = every.where(F.col("loose") <= LOOSE)
     left = placed.where("open").select("root", F.col("turn").alias("x"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("y"), F.lit(0).alias("side"), "part", "id", "signature", "shingles")
     right = placed.select("root", F.explode(F.expr("sequence(0, loose - 1)")).alias("x"), F.col("chunk").alias("y"), F.lit(1).alias("side"), "part", "id", "signature", "shingles")
     # x and y number different things here; y moves off so that no group looks like a chunk with itself.
-    return left.unionByName(right).withColumn("y", -1 - F.col("y"))
+    in_chunks = left.unionByName(right).withColumn("y", -1 - F.col("y"))
+
+    spread = every.where(F.col("loose") > LOOSE).join(bands, "id")
+    weights = spread.groupBy("band").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("open"), F.col("n"))) / chunk_shingles).cast("int").alias("turns"), F.count("*").alias("size"))
+    # A bucket without members outside has nothing to compare; a heavy one meets in parts.
+    spread = spread.join(weights.where("turns > 0 AND size > 1"), "band")
+    row = ["part", "id", "signature", "shingles"]
+    left = spread.where("open").select(F.col("band").alias("root"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("turns")).cast("int").alias("x"), F.explode(F.expr("sequence(0, parts - 1)")).alias("y"), F.lit(0).alias("side"), *row)
+    right = spread.select(F.col("band").alias("root"), F.explode(F.expr("sequence(0, turns - 1)")).alias("x"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("y"), F.lit(1).alias("side"), *row)
+    in_buckets = left.unionByName(right).withColumn("y", -1 - F.col("y"))
+    return in_chunks.unionByName(in_buckets)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, rule: Rule = AT_80) -> DataFrame:
     """One document of each component, with the columns it came with; rows without an id stay."""
-    removed = find_components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__removed")).distinct()
+    removed = find_components(docs, rule=rule).where(~F.col("kept")).select(F.col("doc_id").alias("__removed")).distinct()
     return docs.join(removed, F.col("doc_id").cast("bigint") == F.col("__removed"), "left_anti")

@@ -71,7 +71,7 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": f"""
-WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH item AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark),
 windows AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS win, least(len(w), 10) AS n
             FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM windows),
@@ -94,10 +94,10 @@ reach(doc_id, r) AS (SELECT doc_id, doc_id FROM doc UNION SELECT e.x, reach.r FR
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
 FROM doc d LEFT JOIN size s USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)""",
         "op9_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages WHERE page_id IS NOT NULL)
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original FROM pages)
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(sha1(body), 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS INT), 1) FOR i IN range(0, 32)], '') AS payload_digest,
-       CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN original <> page_id THEN original END AS refers_to
+       CASE WHEN original IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original IS DISTINCT FROM page_id THEN original END AS refers_to
 FROM p""",
     }

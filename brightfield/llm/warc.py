@@ -7,8 +7,8 @@ notes each member's offset and length in a sidecar index. The index then opens a
 A data set is a table of archives (shard, part, payload, index) that Spark stores and reads, so any store that Spark knows will
 do. Records with equal payloads are stored once: the one with the largest page_id is a response, the others revisit it.
 
-Defined cases: a null html is an empty payload, and empty payloads are equal; rows without a page_id are left out, as a record
-needs one; repeated rows of one page_id with equal payloads are all responses; a null url becomes urn:page:<id>.
+Defined cases: a null html is an empty payload, and empty payloads are equal; repeated rows of one page_id with equal payloads are
+all responses; a row without a page_id revisits an equal one that has one, else it is a response; a null url becomes urn:page:<id>.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ INFLATED_CHUNK = 1_000_000
 _END = b"\r\n\r\n"
 
 
-def record(page_id: int, url: str, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
+def record(page_id: int | None, url: str, digest: str, size: int, refers_to: int | None, payload: bytes) -> bytes:
     """One WARC/1.1 record: a response with its payload, or a revisit that only names what it refers to."""
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Target-URI: {url}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -129,12 +129,16 @@ def _payload(html: str) -> Column:
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """Write every page as a record of a monolithic archive: shard, payload (stored in the shared folder)."""
-    rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("bigint"), F.coalesce(F.col("url").cast("string"), F.concat(F.lit("urn:page:"), F.col("page_id"))).alias("url"), _payload("html").alias("payload"))
+    """Write every page as a record of a monolithic archive (stored in the shared folder)."""
+    page = F.coalesce(F.concat(F.lit("urn:page:"), F.col("page_id").cast("bigint")), F.lit("urn:page:"))
+    rows = pages.select(F.col("page_id").cast("bigint"), F.coalesce(F.col("url").cast("string"), page).alias("url"), _payload("html").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     originals = rows.select("sha1", "page_id").groupBy("sha1").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
-    # Only repeated payloads are looked up; those of a hot payload are spread by the adaptive skew join.
-    rows = rows.join(originals, "sha1", "left").select("page_id", "url", "payload", F.when(F.col("original") != F.col("page_id"), F.col("original")).alias("refers_to"))
+    # Only repeated payloads are looked up, in a table of known size: a small one is broadcast and no page moves; of a large one
+    # the adaptive skew join spreads the rows of a hot payload.
+    originals = materialise(originals.select("sha1", "original"), "warc-originals")
+    refers_to = F.when(~F.col("original").eqNullSafe(F.col("page_id")), F.col("original"))
+    rows = rows.join(originals, "sha1", "left").select("page_id", "url", "payload", refers_to.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = zlib.compressobj(MONOLITH_LEVEL, wbits=31), 0
@@ -179,7 +183,7 @@ def read_archives(normal: DataFrame) -> DataFrame:
                 raw, rows = archive.as_py(), []
                 for e in entries.as_py():
                     h, block = read_member(raw, e["offset"], e["length"])
-                    number = lambda name: int(h[name].rsplit(":", 1)[1].rstrip(">"))  # noqa: B023, E731
+                    number = lambda name: int(x) if (x := h[name].rsplit(":", 1)[1].rstrip(">")) else None  # noqa: B023, E731
                     digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
                     if kind == "response" and base32_sha1(block) != digest:
                         raise ValueError("a payload does not fit its digest")

@@ -90,6 +90,9 @@ def test_decontamination_in_passes(spark):
     texts = [*ODD, "x " + item.upper() + " y", " ".join(item.split()[3:12]), "short item here ok", "An IDIOM!"]
     docs = documents(spark, texts)
     bench = spark.createDataFrame([(1, item), (2, item), (3, "short, item"), (4, None), (5, "idiom"), (6, "")], "item_id long, text string")
+    nameless = spark.createDataFrame([(None, "idiom"), (None, "short item")], "item_id long, text string")
+    found = {r.doc_id: r for r in decontamination.decisions(docs, nameless).where("contaminated").collect()}
+    assert set(found) == {9, 10} and found[9].n_items == 1 and found[9].items_sha256 == hashlib.sha256(b"").hexdigest()
     one = {tuple(r) for r in decontamination.decisions(docs, bench).collect()}
     many = decontamination.find_contamination(docs, bench, ["doc_id"], windows_per_pass=3)
     hit = {r.doc.doc_id: (sum(h.b - h.a for h in r.found.hits), list(r.found["items"])) for r in many.collect()}
@@ -447,7 +450,7 @@ def test_warc_round_trip(spark, monkeypatch):
     htmls = [None, "", "x" * 500, "x" * 500, "é😀", "Content-Length: 5\r\n\r\nWARC/1.1"]
     pages = spark.createDataFrame([(k, None if k % 2 else f"http://h/{k}\n", h) for k, h in enumerate(htmls)] + [(None, "u", "gone")], "page_id long, url string, html string")
     rows = {r.page_id: r for r in warc.round_trip(pages).collect()}
-    assert set(rows) == set(range(6))
+    assert set(rows) == {*range(6), None} and rows[None].record_type == "response" and rows[None].payload_bytes == 4
     assert [(rows[k].record_type, rows[k].refers_to, rows[k].payload_bytes) for k in range(6)] == [("revisit", 1, 0), ("response", None, 0), ("revisit", 3, 500), ("response", None, 500), ("response", None, 6), ("response", None, len(htmls[5]))]
     assert warc.round_trip(pages.limit(0)).count() == 0
 
@@ -471,7 +474,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets, n = [shingles(t) for t in texts], len(texts)
     label = list(range(n))
 
@@ -483,14 +486,16 @@ def brute_components(texts):
     for i in range(n):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 label[b] = a
     return [find(k) for k in range(n)], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("chunk", [near_dedup.CHUNK_SHINGLES, 900])
-def test_near_dedup_by_brute_force(spark, chunk):
+@pytest.mark.parametrize("rule", [near_dedup.AT_85, near_dedup.AT_80])
+@pytest.mark.parametrize("chunk,loose", [(near_dedup.CHUNK_SHINGLES, 12), (900, 12), (900, 0)])
+def test_near_dedup_by_brute_force(spark, monkeypatch, chunk, loose, rule):
+    monkeypatch.setattr(near_dedup, "LOOSE", loose)
     rng = random.Random(9)
     texts = list(ODD)
     for g in range(3):
@@ -501,8 +506,8 @@ def test_near_dedup_by_brute_force(spark, chunk):
                 copy[rng.randrange(len(copy))] = "new" + str(rng.randrange(9))
             texts.append(" ".join(copy))
     texts += [texts[20]] * 5 + ["one"]
-    found = {r.doc_id: r for r in near_dedup.find_components(documents(spark, texts), chunk).collect()}
-    label, sizes = brute_components(texts)
+    found = {r.doc_id: r for r in near_dedup.find_components(documents(spark, texts), chunk, rule).collect()}
+    label, sizes = brute_components(texts, rule.percent)
     assert [found[k].component_id for k in range(len(texts))] == label
     assert [found[k].n_shingles for k in range(len(texts))] == sizes
     assert all(found[k].kept == (label[k] == k) for k in range(len(texts)))
