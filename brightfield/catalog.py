@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightfield.plans import entities, evidence, ledgers, records, search, supply  # noqa: F401
+from brightfield.plans import entities, evidence, front, ledgers, normal, records, search, supply  # noqa: F401
 from brightfield.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "e4_city_radius_search"

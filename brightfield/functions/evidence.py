@@ -81,3 +81,17 @@ def offering_label(label: Column) -> Column:
     same = F.forall(parts, lambda p: F.lower(p) == F.lower(parts[0]))
     bare = F.when(same, parts[0]).otherwise(F.trim(label))
     return F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, F.lit(2), F.length(bare)))
+
+
+def address_identity(street: Column, postal: Column, locality: Column, found: Column) -> Column:
+    """How a found address is a known one: by house number and postal code, else by street name and locality, else not."""
+    words = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
+    holds = lambda c: (F.trim(words(c)) != "") & F.contains(words(found), words(c))
+    number, name = F.regexp_extract(street, "([0-9]+[a-zA-Z]?)\\s*$", 1), F.regexp_replace(street, "[0-9]+[a-zA-Z]?\\s*$", "")
+    return F.when(holds(number) & holds(postal), "number_postal").when(holds(name) & holds(locality), "street_locality").otherwise("none")
+
+
+def names_place(page: Column, name: Column, place: Column) -> Column:
+    """Whether a page's words hold a word of the name (four characters at least) and one of the place."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 4))
+    return F.arrays_overlap(words(page), words(name)) & F.arrays_overlap(words(page), words(place))

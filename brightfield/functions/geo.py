@@ -15,7 +15,8 @@ def _half_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = MILES) -> Column:
     """Great-circle distance; null where a coordinate is."""
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(_half_chord(lat1, lon1, lat2, lon2))))
+    half = F.sqrt(_half_chord(lat1, lon1, lat2, lon2))
+    return 2 * radius * F.asin(F.when(half > 1, F.lit(1.0)).otherwise(half))  # least() would skip a null
 
 
 def usable(lat: Column, lon: Column) -> Column:
