@@ -6,22 +6,26 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str = "components") -> DataFrame:
-    """``df`` written to the shared folder and read back. Only in local mode may the session name no such folder."""
-    spark = df.sparkSession
+def place_for(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share. Only in local mode may the session name no such folder."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="brightfield-")
         spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place}/brightfield-{name}-{uuid.uuid4().hex}"
+    return f"{place}/brightfield-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "components") -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = place_for(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightfield.functions import text
+from brightfield.operators.components import place_for
 from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, organizations, read, reviews, sql, tasks, treatments
 from brightfield.sources import files
@@ -207,3 +208,51 @@ def z3(spark: SparkSession, d: str) -> DataFrame:
     """The batch form of the windowed stream."""
     e = read(spark, d, "events")
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
+
+
+# ---- files there and back ----
+
+
+@query("c9_c12_delimited", sql("SELECT id, name, category, brand || ', \"' || brand || '\"' AS brand, CAST(parent_id AS VARCHAR) AS parent_id FROM treatments".replace('\\"', '"'), "treatments"))
+def c9(spark: SparkSession, d: str) -> DataFrame:
+    """Written with quotes where needed and read back: quotes, commas and nulls survive."""
+    t = treatments(spark, d).select("id", "name", "category", F.concat("brand", F.lit(', "'), "brand", F.lit('"')).alias("brand"), F.col("parent_id").cast("string"))
+    path = place_for(spark, "csv")
+    files.write_delimited(t, path)
+    return files.read_delimited(spark, path).withColumn("id", F.col("id").cast("bigint"))
+
+
+@query("c11_semicolons", sql("SELECT id, name || ';x' AS name FROM treatments", "treatments"))
+def c11(spark: SparkSession, d: str) -> DataFrame:
+    path = place_for(spark, "csv")
+    files.write_delimited(treatments(spark, d).select("id", F.concat("name", F.lit(";x")).alias("name")), path, ";")
+    return files.read_delimited(spark, path, ";").withColumn("id", F.col("id").cast("bigint"))
+
+
+@query("c13_csv_objects", sql("SELECT id, to_json(struct_pack(id := CAST(id AS VARCHAR), name := name)) AS object FROM treatments", "treatments"))
+def c13(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of delimited text as an object of its cells."""
+    path = place_for(spark, "csv")
+    files.write_delimited(treatments(spark, d).select("id", "name"), path)
+    rows = files.read_delimited(spark, path)
+    return rows.select(F.col("id").cast("bigint").alias("id"), F.to_json(F.struct(*rows.columns)).alias("object"))
+
+
+@query("c14_json_lines", sql("SELECT id, task_type, cost FROM tasks", "tasks"))
+def c14(spark: SparkSession, d: str) -> DataFrame:
+    path = place_for(spark, "json")
+    files.write_json_lines(tasks(spark, d).select("id", "task_type", "cost"), path)
+    return files.read_json_lines(spark, path, "id bigint, task_type string, cost double")
+
+
+@query("c16_append_returning", sql("SELECT id FROM locations WHERE is_virtual", "locations"))
+def c16(spark: SparkSession, d: str) -> DataFrame:
+    return files.append_returning(spark, locations(spark, d).where("is_virtual"), place_for(spark, "appended"), ["id"])
+
+
+@query("c21_backup", sql("SELECT count(*) AS rows, count(rating) AS rated, CAST(sum(id) AS BIGINT) AS ids FROM locations", "locations"))
+def c21(spark: SparkSession, d: str) -> DataFrame:
+    """A copy of a table, checked by what it holds."""
+    path = place_for(spark, "backup")
+    locations(spark, d).write.parquet(path)
+    return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.count("rating").alias("rated"), F.sum("id").alias("ids"))

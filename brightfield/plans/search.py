@@ -333,16 +333,19 @@ def p24_city(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "p26_current_verification",
     sql(
-        """, v AS (SELECT s_suppkey AS org_id, DATE '1998-01-01' + CAST(s_suppkey * 37 % 400 AS INT) AS next_review, CASE WHEN s_suppkey % 3 > 0 THEN DATE '1998-01-01' + CAST(s_suppkey * 53 % 300 AS INT) END AS expires FROM supplier)
-SELECT l.id FROM locations l JOIN v USING (org_id) WHERE next_review > DATE '1998-06-01' AND (expires IS NULL OR expires >= DATE '1998-06-01')""",
+        """, v AS (SELECT s_suppkey AS org_id, n_regionkey AS jurisdiction, DATE '1998-01-01' + CAST(s_suppkey * 37 % 400 AS INT) AS next_review, CASE WHEN s_suppkey % 3 > 0 THEN DATE '1998-01-01' + CAST(s_suppkey * 53 % 300 AS INT) END AS expires FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT l.id FROM locations l JOIN v USING (org_id) WHERE next_review > DATE '1998-06-01' AND (expires IS NULL OR expires >= DATE '1998-06-01') AND region = jurisdiction AND EXISTS (SELECT 1 FROM labels WHERE doc_id = l.id AND quality = 1)""",
         "locations",
     ),
 )
 def p26_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Verified now: a review to come, not expired, in the place's own jurisdiction, and with a verified affiliation."""
     day, base = F.lit("1998-06-01").cast("date"), F.lit("1998-01-01").cast("date")
-    v = read(spark, d, "supplier").select(F.col("s_suppkey").alias("org_id"), F.date_add(base, (F.col("s_suppkey") * 37 % 400).cast("int")).alias("next_review"), F.when(F.col("s_suppkey") % 3 > 0, F.date_add(base, (F.col("s_suppkey") * 53 % 300).cast("int"))).alias("expires"))
-    good = v.where((F.col("next_review") > day) & (F.col("expires").isNull() | (F.col("expires") >= day)))
-    return locations(spark, d).join(good, "org_id", "left_semi").select("id")
+    home = read(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("jurisdiction"))
+    v = read(spark, d, "supplier").join(home, "s_nationkey").select(F.col("s_suppkey").alias("org_id"), "jurisdiction", F.date_add(base, (F.col("s_suppkey") * 37 % 400).cast("int")).alias("next_review"), F.when(F.col("s_suppkey") % 3 > 0, F.date_add(base, (F.col("s_suppkey") * 53 % 300).cast("int"))).alias("expires"))
+    good = v.where((F.col("next_review") > day) & (F.col("expires").isNull() | (F.col("expires") >= day))).select("org_id", F.col("jurisdiction").alias("region"))
+    affiliated = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return locations(spark, d).join(good, ["org_id", "region"], "left_semi").join(affiliated, "id", "left_semi").select("id")
 
 
 # ---- orders and pages ----

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightfield.operators.components import written
+
 
 #: Columns of a report that are looked at.
 MOST_COLUMNS = 64
@@ -41,10 +43,19 @@ def read_planner(spark: SparkSession, path: str, delimiter: str = ",", needed: t
     return rows.where(F.col("line") > head["line"]).select(*kept).where(F.trim("keyword") != "")
 
 
-def write_delimited(df: DataFrame, path: str) -> None:
+def write_delimited(df: DataFrame, path: str, delimiter: str = ",") -> None:
     """Quotes only where needed, nulls as empty cells, nested values as JSON."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    df.select(*flat).write.mode("overwrite").csv(path, sep=delimiter, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One object a line; lines that are none are left out."""
+    return spark.read.json(path, schema=schema, mode="DROPMALFORMED")
 
 
 def json_rows(column: Column, schema: str) -> Column:
@@ -83,5 +94,12 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
+def append_returning(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Append rows to a folder and give back the keys of what was written."""
+    before = written(new, "append")
+    before.write.mode("append").parquet(path)
+    return before.select(*keys)
+
+
 def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from brightfield.functions.text import is_bot
 
@@ -35,3 +38,24 @@ def keep_current(stream: DataFrame, key: str, recompute: Callable[[DataFrame], D
         recompute(touched).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: The last outcomes of a kind of task that are looked at, and the share of failures among them that halts it.
+RECENT, FAILING = 500, 0.25
+
+
+def failure_halts(outcomes: DataFrame, recent: int = RECENT, share: float = FAILING) -> DataFrame:
+    """For every kind of task (kind, at, failed) the failures among its last outcomes, kept as state: kind, n, failures, halted.
+
+    The state of a kind is at most ``recent`` flags. A micro-batch's outcomes are taken in order of time.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        flags = list(state.get[0]) if state.exists else []
+        news = pd.concat(list(batches)).sort_values("at", kind="stable")
+        flags = (flags + news["failed"].astype(bool).tolist())[-recent:]
+        state.update((flags,))
+        failures = sum(flags)
+        yield pd.DataFrame({"kind": [key[0]], "n": [len(flags)], "failures": [failures], "halted": [len(flags) == recent and failures >= share * recent]})
+
+    return outcomes.groupBy("kind").applyInPandasWithState(update, "kind string, n long, failures long, halted boolean", "flags array<boolean>", "update", GroupStateTimeout.NoTimeout)

@@ -24,13 +24,16 @@ def _rows(columns, rows):
 
 
 def check(spark, query, sql, sf_dir):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    made = query(spark, sf_dir)
-    want = con.execute(sql)
-    columns = [c[0] for c in want.description]
-    expected = want.fetchall()
+    """Compares on a folder, and where that gives no rows, which would prove nothing, on the next larger one."""
+    for d in (sf_dir, sf_dir.replace("sf0.001", "sf0.01")):
+        con = duckdb.connect()
+        for t in TABLES:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+        want = con.execute(sql)
+        columns, expected = [c[0] for c in want.description], want.fetchall()
+        if expected:
+            break
     assert expected, "an empty result proves nothing"
+    made = query(spark, d)
     assert sorted(made.columns) == sorted(columns)
     assert _rows(made.columns, [tuple(r) for r in made.collect()]) == _rows(columns, expected)

@@ -60,3 +60,18 @@ def test_touched_keys_are_recomputed(spark, tmp_path):
 def test_clicks(spark):
     rows = ledger.clicks(spark.createDataFrame([(1, datetime.datetime(2024, 1, 1), "curl/8"), (2, datetime.datetime(2024, 1, 1), "Mozilla/5.0")], "location_id int, clicked_at timestamp, user_agent string")).collect()
     assert [r.is_bot for r in rows] == [True, False] and len(rows[0].user_agent_hash) == 64
+
+
+def test_failing_tasks_halt(spark, tmp_path):
+    rows = [("a", k, k % 3 == 0) for k in range(30)] + [("b", k, k == 5) for k in range(30)] + [("c", 1, True)]
+    df = spark.createDataFrame(rows, "kind string, at long, failed boolean")
+    df.where("at < 12").write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
+    for batch in (None, df.where("at >= 12")):
+        if batch is not None:
+            batch.write.mode("append").parquet(str(tmp_path / "s"))
+        made = []
+        query = ledger.failure_halts(stream, recent=20).writeStream.foreachBatch(lambda out, _: made.extend(out.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    found = {r.kind: (r.n, r.failures, r.halted) for r in made}
+    assert found == {"a": (20, sum(k % 3 == 0 for k in range(10, 30)), True), "b": (20, 0, False)}
