@@ -172,37 +172,36 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def next_ids(rows: DataFrame) -> DataFrame:
-    """For every distinct (doc_id, h): n, and (next_id, next_h) of the next by descending doc_id, then h; after the last the first.
+    """For every distinct row key (h, g): n, and (next_h, next_g) of the next by descending doc_id, then h; after the last the first.
 
     Only ids, hashes and lengths are sorted, in ranges; every range's first row is the next one of the last row before it.
     """
     order = F.col("doc_id").desc_nulls_last(), F.col("h").asc()
-    ids = rows.select("doc_id", "h", "n").distinct().repartitionByRange(*order).withColumn("bucket", F.spark_partition_id())
+    ids = rows.select("doc_id", "h", "g", "n").distinct().repartitionByRange(*order).withColumn("bucket", F.spark_partition_id())
     ids = materialise(ids, "fingerprint-ids")
     within = Window.partitionBy("bucket").orderBy(*order)
-    after = lambda c, w: F.lead(F.struct(*c)).over(w)
-    ids = ids.withColumn("after", after(("doc_id", "h"), within)).withColumn("turn", F.row_number().over(within))
-    heads = ids.where("turn = 1").select("bucket", F.struct("doc_id", "h").alias("head"))
+    ids = ids.withColumn("after", F.lead(F.struct("h", "g")).over(within)).withColumn("turn", F.row_number().over(within))
+    heads = ids.where("turn = 1").select("bucket", F.struct("h", "g").alias("head"))
     buckets = Window.orderBy("bucket")  # a row per range
     first = F.first("head").over(buckets.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("bucket", F.coalesce(F.lead("head").over(buckets), first).alias("head"))
     made = ids.join(heads, "bucket").withColumn("after", F.coalesce("after", "head"))
-    return made.select("doc_id", "h", "n", F.col("after.doc_id").alias("next_id"), F.col("after.h").alias("next_h"))
+    return made.select("h", "g", "n", F.col("after.h").alias("next_h"), F.col("after.g").alias("next_g"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, keys (of its pieces), borrowed (a third of its length of the next document's beginning) and next_keys.
+    """doc_id, text, keys (of its pieces), next_id, borrowed (a third of its length of the next document's beginning) and next_keys.
 
-    Texts are shuffled once, by id; of the next document only the borrowed part and the keys move.
+    Rows are known by two hashes, of id and text and of the text. Texts are shuffled once by them; of the next document only the
+    borrowed part and the keys move. Both joins read the same columns of them, so one shuffle serves both.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").cast("bigint").alias("n"), "text")
-    pairs = next_ids(rows).select(F.col("doc_id").alias("for_id"), F.col("h").alias("for_h"), F.col("n").alias("for_n"), "next_id", "next_h")
-    lent = rows.join(pairs, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("h") == F.col("next_h")))
-    lent = lent.select("for_id", "for_h", F.substring("text", F.lit(1), F.floor(F.col("for_n") / 3).cast("int")).alias("borrowed"), paragraph_keys(F.col("text")).alias("next_keys"))
-    lent = lent.groupBy("for_id", "for_h").agg(F.any_value("borrowed").alias("borrowed"), F.any_value("next_keys").alias("next_keys"))
-    joined = rows.join(lent, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("h") == F.col("for_h")))
-    return joined.select("doc_id", "text", paragraph_keys(F.col("text")).alias("keys"), "borrowed", "next_keys")
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", F.lit(1)).alias("g"), F.char_length("text").cast("bigint").alias("n"), "text")
+    pairs = next_ids(rows).select(F.col("next_h").alias("h"), F.col("next_g").alias("g"), F.col("h").alias("for_h"), F.col("g").alias("for_g"), F.col("n").alias("for_n"))
+    lent = rows.drop("n").join(pairs, ["h", "g"])
+    lent = lent.select(F.col("for_h").alias("h"), F.col("for_g").alias("g"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.floor(F.col("for_n") / 3).cast("int")).alias("borrowed"), paragraph_keys(F.col("text")).alias("next_keys"))
+    lent = lent.groupBy("h", "g").agg(F.any_value("next_id").alias("next_id"), F.any_value("borrowed").alias("borrowed"), F.any_value("next_keys").alias("next_keys"))
+    return rows.drop("n").join(lent, ["h", "g"]).select("doc_id", "text", paragraph_keys(F.col("text")).alias("keys"), "next_id", "borrowed", "next_keys")
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -213,7 +212,7 @@ def edits(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), "borrowed"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", paragraph_keys(F.col("edited")).alias("edited_keys"), "next_keys")
+    rows = rows.select("doc_id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), "keys", paragraph_keys(F.col("edited")).alias("edited_keys"), "next_keys")
     rows = rows.select("*", *[sketch(F.col(c)).alias(c.replace("keys", "cells")) for c in ("keys", "edited_keys", "next_keys")])
     mine = F.col("keys"), F.col("cells")
     near = lambda c: likeness(*mine, F.col(f"{c}_keys"), F.col(f"{c}_cells"))
@@ -225,4 +224,5 @@ def edits(docs: DataFrame) -> DataFrame:
         written(F.col("edited_keys"), F.col("edited_cells")).alias("edited_fingerprint"),
         near("edited").alias("near_edited"),
         near("next").alias("near_next"),
+        "next_id",
     )
