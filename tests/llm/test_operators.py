@@ -538,3 +538,10 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     assert_gapless(packed)
+
+
+def test_pipeline_stages_take_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SF)
+        assert made.count() == 0 and (name == "packing" or made.columns == docs.columns)
