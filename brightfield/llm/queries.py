@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightfield.llm import decontamination, fingerprints, html_text, near_dedup, packing, pii, quality, token_files, toxicity, warc
+from brightfield.llm import decontamination, fingerprints, harmonic, html_text, near_dedup, packing, pii, quality, token_files, toxicity, warc
 from brightfield.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op11_harmonic": op11_harmonic,
     }
 
 
