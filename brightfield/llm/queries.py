@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightfield.llm import decontamination, fingerprints, harmonic, html_text, near_dedup, packing, pii, quality, token_files, toxicity, warc
+from brightfield.llm import decontamination, fingerprints, harmonic, html_text, near_dedup, packing, periodic_runs, pii, quality, token_files, toxicity, warc
 from brightfield.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
         "op11_harmonic": op11_harmonic,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
