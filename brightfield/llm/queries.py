@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightfield.llm import decontamination, fingerprints, harmonic, html_text, near_dedup, packing, periodic_runs, pii, quality, token_files, toxicity, warc
+from brightfield.llm import decontamination, fingerprints, harmonic, html_text, near_dedup, packing, periodic_runs, pii, quality, token_files, toxicity, warc, whitening
 from brightfield.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find_runs(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_harmonic": op11_harmonic,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_whitening": op13_whitening,
     }
 
 
