@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brightfield.functions import dates, geo, pricing, text
 from brightfield.operators.components import components
+from brightfield.operators.similarity import jaccard_of, rare_first, representatives, similar_pairs
 from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, organizations, read, sql, treatments
 
@@ -30,12 +31,43 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return nearby_pairs(locations(spark, d), 1.5).select("a", "b", F.round("km", 6).alias("km"))
 
 
-@query("j12_band_and_name", sql(_PAIRS + " SELECT n.a, n.b FROM near n JOIN locations x ON x.id = a JOIN locations y ON y.id = b WHERE km <= 1.5 AND x.locality = y.locality AND x.country_code = y.country_code", "locations"))
+_GRAMS = "list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN list_filter(string_split({c}, ' '), lambda x: x <> '')]))"
+_NAMED = """, named AS (SELECT l.id, l.country_code, l.latitude, l.longitude, trim(regexp_replace(lower(coalesce(canonical_name, '') || ' clinic ' || CASE id % 3 WHEN 0 THEN 'branch' WHEN 1 THEN 'branch 1' ELSE 'branch east' END), '[^a-z0-9]+', ' ', 'g')) AS name
+  FROM locations l LEFT JOIN organizations o USING (org_id)),
+reps AS (SELECT name, country_code, latitude, longitude, min(id) AS id, count(*) AS copies, replace(name, ' ', '-') AS slug, """ + _GRAMS.format(c="name") + """ AS g FROM named GROUP BY ALL),
+pairs AS (SELECT a.id AS a, b.id AS b, a.copies AS copies_a, b.copies AS copies_b, len(list_intersect(a.g, b.g)) AS shared, len(a.g) AS size_a, len(b.g) AS size_b, a.slug AS slug_a, b.slug AS slug_b, """ + _KM.replace("6371.0", "6371000.0") + """ AS metres
+  FROM reps a JOIN reps b ON a.id < b.id AND a.country_code IS NOT DISTINCT FROM b.country_code AND abs(a.latitude - b.latitude) < 0.002)"""
+
+
+def named_locations(spark: SparkSession, d: str) -> DataFrame:
+    branch = F.when(F.col("id") % 3 == 0, "branch").when(F.col("id") % 3 == 1, "branch 1").otherwise("branch east")
+    l = locations(spark, d).join(organizations(spark, d).select("org_id", "canonical_name"), "org_id", "left")
+    name = text.human_text(F.concat(F.coalesce("canonical_name", F.lit("")), F.lit(" clinic "), branch))
+    return l.select("id", "country_code", "latitude", "longitude", name.alias("name"))
+
+
+def nearby_namesakes(places: DataFrame, km: float, percent: int) -> DataFrame:
+    """Pairs of places of one country within a distance whose names' trigrams agree, but for those told apart by a number in the slug.
+
+    Places that share name and coordinates are one, with the number of its copies. Grid cells around a place and the rarest trigrams
+    of its name are one join key, so neither a town full of places nor a common name makes all pairs meet.
+    """
+    reps = representatives(places, "name", "country_code", "latitude", "longitude")
+    known = rare_first(reps.withColumn("grams", text.word_trigrams(F.col("name"))).withColumn("country", F.coalesce("country_code", F.lit(""))))
+    left = geo.around_cells(known, "latitude", "longitude", km)
+    pairs = similar_pairs(left, geo.in_cell(known, "latitude", "longitude", km), percent, on=("row", "col", "country"))
+    of = lambda k: reps.select(F.col("id").alias(k), F.col("copies").alias(f"copies_{k}"), F.col("latitude").alias(f"lat_{k}"), F.col("longitude").alias(f"lon_{k}"), text.slug(F.col("name")).alias(f"slug_{k}"))
+    pairs = pairs.withColumn("similarity", jaccard_of(pairs)).join(of("a"), "a").join(of("b"), "b")
+    pairs = pairs.withColumn("metres", geo.metres(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("metres") <= km * 1000)
+    bare = lambda k: F.regexp_replace(f"slug_{k}", "-[0-9]+$", "")
+    return pairs.where((F.col("slug_a") != bare("b")) & (F.col("slug_b") != bare("a")))
+
+
+@query("j12_band_and_name", sql(_NAMED + """ SELECT a, b, copies_a, copies_b, round(shared / (size_a + size_b - shared), 6) AS similarity, round(metres, 3) AS metres FROM pairs
+  WHERE 100 * shared >= 85 * (size_a + size_b - shared) AND metres <= 150 AND slug_a <> regexp_replace(slug_b, '-[0-9]+$', '') AND slug_b <> regexp_replace(slug_a, '-[0-9]+$', '')""", "locations", "organizations"))
 def j12(spark: SparkSession, d: str) -> DataFrame:
-    l = locations(spark, d).select("id", "locality", "country_code")
-    x, y = [l.select(F.col("id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("locality", "country_code")]) for k in ("a", "b")]
-    pairs = nearby_pairs(locations(spark, d), 1.5).join(x, "a").join(y, "b")
-    return pairs.where("locality_a = locality_b AND country_code_a = country_code_b").select("a", "b")
+    pairs = nearby_namesakes(named_locations(spark, d), 0.15, 85)
+    return pairs.select("a", "b", "copies_a", "copies_b", F.round("similarity", 6).alias("similarity"), F.round("metres", 3).alias("metres"))
 
 
 _SCORED = _PAIRS + """, coarse AS (SELECT latitude, longitude, count(*) AS n FROM locations GROUP BY 1, 2),
@@ -235,16 +267,18 @@ def n8(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.slug(F.concat("p_type", F.lit(" / "), "p_name")).alias("slug"))
 
 
-def _grams(c: str) -> str:
-    return f"list_distinct(flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN string_split(lower({c}), ' ')]))"
+_TITLES = f"""WITH t AS (SELECT DISTINCT lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))) AS t FROM pages),
+n AS (SELECT t, {_GRAMS.format(c="t")} AS g FROM t WHERE t <> '')"""
 
 
-@query("n5_trigram_jaccard", f"SELECT a.t AS a, b.t AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM (SELECT DISTINCT p_name AS t, {_grams('p_name')} AS g FROM part) a JOIN (SELECT DISTINCT p_name AS t, {_grams('p_name')} AS g FROM part) b ON a.t < b.t AND split_part(a.t, ' ', 1) = split_part(b.t, ' ', 1)")
+@query("n5_trigram_jaccard", _TITLES + """ SELECT a.t AS a, b.t AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity
+  FROM n a JOIN n b ON a.t < b.t WHERE 100 * len(list_intersect(a.g, b.g)) >= 45 * len(list_distinct(list_concat(a.g, b.g)))""")
 def n5(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity inside blocks of the first word."""
-    t = read(spark, d, "part").select(F.col("p_name").alias("t")).distinct().select("t", F.split("t", " ")[0].alias("block"), text.word_trigrams(F.lower("t")).alias("g"))
-    pairs = t.select(F.col("t").alias("a"), "block", F.col("g").alias("ga")).join(t.select(F.col("t").alias("b"), "block", F.col("g").alias("gb")), "block").where("a < b")
-    return pairs.select("a", "b", F.round(text.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"))
+    """Titles of pages that share most word trigrams; every title comes once."""
+    t = read(spark, d, "pages").select(F.lower(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("id")).where("id <> ''").distinct()
+    known = rare_first(t.withColumn("grams", text.word_trigrams(F.col("id"))))
+    pairs = similar_pairs(known, known, 45)
+    return pairs.select("a", "b", F.round(jaccard_of(pairs), 6).alias("similarity"))
 
 
 @query("n9_hosts", "SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:@]+)', 1), '^www[0-9]*\\.', '') AS host, array_to_string(string_split(regexp_extract(lower(url), '^[a-z]+://([^/?#:@]+)', 1), '.')[-2:], '.') AS domain FROM pages")

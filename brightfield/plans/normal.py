@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightfield.functions import evidence, geo, pricing, text
+from brightfield.operators.similarity import dice_of, dice_percent, rare_first, similar_pairs
 from brightfield.registry import query
 from brightfield.roles import locations, offerings, read, sql, tasks, treatments
 
@@ -52,11 +53,14 @@ def n4(spark: SparkSession, d: str) -> DataFrame:
 _WHOLE = "list_distinct([substr('  ' || {c} || '  ', i, 3) FOR i IN range(1, length({c}) + 3)])"
 
 
-@query("n6_string_dice", f"WITH n AS (SELECT DISTINCT p_name AS t, {_WHOLE.format(c='p_name')} AS g FROM part) SELECT a.t AS a, b.t AS b, round(2 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS dice FROM n a JOIN n b ON a.t < b.t AND split_part(a.t, ' ', 1) = split_part(b.t, ' ', 1)")
+@query("n6_string_dice", f"""WITH n AS (SELECT DISTINCT p_name || ' ' || p_brand || ' ' || p_type AS t, {_WHOLE.format(c="(p_name || ' ' || p_brand || ' ' || p_type)")} AS g FROM part)
+SELECT a.t AS a, b.t AS b, round(2 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS dice FROM n a JOIN n b ON a.t < b.t WHERE 200 * len(list_intersect(a.g, b.g)) >= 88 * (len(a.g) + len(b.g))""")
 def n6(spark: SparkSession, d: str) -> DataFrame:
-    n = read(spark, d, "part").select(F.col("p_name").alias("t")).distinct().select("t", F.split("t", " ")[0].alias("block"), text.string_trigrams(F.col("t")).alias("g"))
-    pairs = n.select(F.col("t").alias("a"), "block", F.col("g").alias("ga")).join(n.select(F.col("t").alias("b"), "block", F.col("g").alias("gb")), "block").where("a < b")
-    return pairs.select("a", "b", F.round(text.dice(F.col("ga"), F.col("gb")), 6).alias("dice"))
+    """Labels of parts that share most trigrams of the whole string; every label comes once."""
+    label = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    known = rare_first(read(spark, d, "part").select(label.alias("id")).distinct().withColumn("grams", text.string_trigrams(F.col("id"))))
+    pairs = similar_pairs(known, known, dice_percent(88)).where("200 * shared >= 88 * (size_a + size_b)")
+    return pairs.select("a", "b", F.round(dice_of(pairs), 6).alias("dice"))
 
 
 def _grams(c: str) -> str:
