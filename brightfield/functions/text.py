@@ -138,8 +138,8 @@ def keyword_in_place(keyword: Column, suffix: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Words of a full-text search: lower-case ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    """Words of a full-text search: lower-case letters with their marks, and digits, of any script."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[\\p{L}\\p{M}\\p{N}]+"), F.lit(0))
 
 
 #: What the agents of robots hold.

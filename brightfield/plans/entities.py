@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightfield.functions import dates, geo, pricing, text
+from brightfield.operators import cover_density
 from brightfield.operators.components import components
 from brightfield.operators.similarity import jaccard_of, rare_first, representatives, similar_pairs
 from brightfield.registry import query
@@ -291,16 +292,25 @@ def n10(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", text.without_tracking(F.col("url")).alias("url"))
 
 
-@query("n21_n22_full_text", """WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents)
-SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) AS hits, round((log10(1 + len(list_filter(w, lambda x: x = 'the'))) + log10(1 + len(list_filter(w, lambda x: x = 'with')))) / (1 + log10(len(w))), 6) AS rank
-FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'with')""")
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}]+')"
+
+
+@query("n21_n22_full_text", f"""WITH q AS (SELECT item_id AS query, {_TOKENS} AS t FROM benchmark), w AS (
+  SELECT DISTINCT query, t[1] AS word, 0 AS part FROM q WHERE len(t) >= 3 UNION SELECT query, unnest(t[2:3]), 1 FROM q WHERE len(t) >= 3 UNION SELECT query, t[-1], -1 FROM q WHERE len(t) >= 3),
+d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM d),
+h AS (SELECT query, doc_id, pos, part, row_number() OVER g AS turn, max(CASE WHEN part = 0 THEN pos END) OVER g AS l0, max(CASE WHEN part = 1 THEN pos END) OVER g AS l1
+  FROM p JOIN w USING (word) WINDOW g AS (PARTITION BY query, doc_id ORDER BY pos, part ROWS UNBOUNDED PRECEDING)),
+bad AS (SELECT DISTINCT query, doc_id FROM h WHERE part = -1),
+c AS (SELECT query, doc_id, least(l0, l1) AS b, min(pos) AS e, min(turn) AS turn FROM h WHERE l0 IS NOT NULL AND l1 IS NOT NULL GROUP BY ALL),
+v AS (SELECT c.query, c.doc_id, (e - b) - (c.turn - min(h.turn)) AS noise FROM c JOIN h ON h.query = c.query AND h.doc_id = c.doc_id AND h.pos = c.b GROUP BY c.query, c.doc_id, b, e, c.turn)
+SELECT query, doc_id AS id, CAST(count(*) AS INT) AS covers, round(sum(0.1 / (1 + greatest(noise, 0))), 6) AS rank FROM v WHERE (query, doc_id) NOT IN (SELECT (query, doc_id) FROM bad) GROUP BY 1, 2""")
 def n21(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with all words of a query, how often the first occurs, and a rank by counts over the length."""
-    t = read(spark, d, "documents").select("doc_id", text.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    t = t.where(F.array_contains("t", "the") & F.array_contains("t", "with"))
-    count = lambda word: F.size(F.filter("t", lambda w: w == word)).cast("bigint")
-    rank = (F.log10(1 + count("the")) + F.log10(1 + count("with"))) / (1 + F.log10(F.size("t")))
-    return t.select("doc_id", count("the").alias("hits"), F.round(rank, 6).alias("rank"))
+    """Documents with the first word of a benchmark item and its second or third, but not its last, ranked by cover density."""
+    t = text.tokens(F.coalesce("text", F.lit("")))
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query"), t.alias("t")).where(F.size("t") >= 3)
+    queries = q.select("query", F.array(F.slice("t", 1, 1), F.slice("t", 2, 2)).alias("all_of"), F.slice("t", -1, 1).alias("none_of"))
+    documents = read(spark, d, "documents").select(F.col("doc_id").alias("id"), cover_density.weighted_words((F.col("text"), "D")).alias("words"))
+    return cover_density.ranked_matches(documents, queries).select("query", "id", "covers", F.round("rank", 6).alias("rank"))
 
 
 @query("n23_hashes", "SELECT doc_id, sha256(source || ':' || doc_id) AS sha, md5(lang) AS lang_key FROM documents")
