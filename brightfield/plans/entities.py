@@ -365,11 +365,6 @@ def r6(spark: SparkSession, d: str) -> DataFrame:
 # ---- pages ----
 
 
-@query("x2_links", "SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages")
-def x2(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
-
-
 @query("x5_contacts", "SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', 0), '') AS email FROM documents WHERE contains(text, '@')")
 def x5(spark: SparkSession, d: str) -> DataFrame:
     e = F.regexp_extract("text", "[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", 0)
