@@ -1,8 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks: those in containers that never hold main text (menus,
-footers, asides, forms, what is hidden or marked as an advert, notice or comment) and those made of links are bad; long ones with many
-stop words are good; where a page's stop words are so few that they tell nothing (tables, other languages), length alone decides.
+footers, asides, forms, what is hidden or marked as an advert, notice or comment) and those made of links are bad; a container whose
+name only touches such a mark, and an article whose name does, is judged by its own text; long blocks with many stop words are good; where a page's stop words are so few that they tell nothing (tables, other languages), length alone decides.
 Short, middling and sparse blocks stay open. In the second pass an open block takes the label of its nearest decided neighbours: those in
 its own container first, else in the container around it, and so on, up to an article or main element, which stands for itself
 where nothing in it is decided. Where an article holds good blocks, blocks outside of any article are not main text.
@@ -40,18 +40,22 @@ BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
-RAW = frozenset("script style noscript template textarea title iframe object svg select button canvas math audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg select button canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 #: Words of a class, id or role that mark what surrounds an article; weak ones count only outside of articles.
 STRONG = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert
-    popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside related recommended recommendations social comment comments disqus respond
-    replies reply newsletter subscribe subscription signup login pagination pager complementary contentinfo disclaimer footer masthead topbar toolbar widget""".split()
+    popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside related recommended recommendations social
+    newsletter subscribe subscription signup login pagination pager complementary contentinfo disclaimer footer masthead topbar toolbar widget""".split()
 )
+#: What readers write; alone among these words they also mark an article element.
+READERS = frozenset("comment comments disqus respond replies reply".split())
 WEAK = frozenset("header side share sharing tags search legal copyright foot".split())
 #: Before a mark these words turn it into a layout's name (with-sidebar, article-header).
 LAYOUT = frozenset("with has no without article entry post content main page left right".split())
+#: Beside a mark these words say nothing; any other word makes the mark doubtful (cookie-recipe), and the container's own text decides.
+PLAIN = frozenset("box wrapper wrap container block section list item items inner outer area bar text panel group row col column links top bottom site global js id".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -63,6 +67,7 @@ class Block:
     text: str
     linked: int
     outside: bool  # in a container that never holds main text
+    doubtful: tuple[int, ...]  # the containers around it that a class marks, unless their own text is good
     article: int  # number of the article or main element around it, 0 for none
     tag: str
     path: tuple[int, ...]  # the containers around it, outermost first
@@ -70,23 +75,28 @@ class Block:
     label: str = ""
 
 
-def _marked(name: str, attributes: str, in_article: bool) -> bool:
+def _marked(name: str, attributes: str, in_article: bool) -> str:
+    """"" for a container that nothing marks, "yes" for a marked one, "perhaps" where its own text decides."""
+    found = ""
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "yes"
         if key in ("class", "id", "role") and name not in ("html", "body", "main"):
             for token in value.split():
-                words = re.split(r"[-_]+", token)
+                words = [w for w in re.split(r"[-_]+", token) if w]
+                known = STRONG | READERS | (WEAK if not in_article and name != "article" else frozenset())
                 for before, word in zip(["", *words], words):
-                    if (word in STRONG or word in WEAK and not in_article and name != "article") and before not in LAYOUT:
-                        return True
-    return False
+                    if word in known and before not in LAYOUT and (name != "article" or word in READERS):
+                        if all(w in known or w in PLAIN or w in LAYOUT or w.isdigit() for w in words):
+                            return "yes"
+                        found = "perhaps"
+    return found
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    open_: list[tuple[str, bool, int, int]] = []  # element, whether it is boilerplate, its article, its number
+    open_: list[tuple[str, bool, int, int, bool]] = []  # element, whether it is boilerplate, its article, its number, whether it is doubtful
     parts: list[str] = []
     linked, in_link, articles, containers, at, tag = 0, False, 0, 0, 0, ""
 
@@ -96,7 +106,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             article = open_[-1][2] if open_ else 0
             edge = next((k for k, x in enumerate(open_) if x[2]), -1) + 1
-            out.append(Block(text, min(linked, len(text)), any(x[1] for x in open_), article, tag, tuple(x[3] for x in open_), edge))
+            out.append(Block(text, min(linked, len(text)), any(x[1] for x in open_), tuple(x[3] for x in open_ if x[4]), article, tag, tuple(x[3] for x in open_), edge))
         parts.clear()
         linked = 0
 
@@ -144,12 +154,13 @@ def blocks_of(page: str) -> list[Block]:
                     break
         else:
             article = open_[-1][2] if open_ else 0
-            boiler = name in BOILERPLATE or name == "header" and not article or _marked(name, attributes, article > 0)
+            mark = _marked(name, attributes, article > 0)
+            boiler = name in BOILERPLATE or name == "header" and not article or mark == "yes"
             if name in ("article", "main") and not article and not boiler and not any(x[1] for x in open_):
                 articles += 1
                 article = articles
             containers += 1
-            open_.append((name, boiler, article, containers))
+            open_.append((name, boiler, article, containers, mark == "perhaps"))
     close()
     return out
 
@@ -159,13 +170,17 @@ def _stops(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _decide(b: Block, telling: bool) -> str:
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def _decide(b: Block, telling: bool, headed: bool) -> str:
+    """``headed``: the block is an item of a list that follows a heading."""
     n = len(b.text)
-    if b.outside or n < LONG and ("©" in b.text or b.text.startswith("Copyright")):
+    if b.outside or not b.article and n < LONG and ("©" in b.text or b.text.startswith("Copyright")):
         return "bad"
     if b.linked > LINKED * n:
-        # A paragraph or heading of an article may be one link.
-        return "open" if b.article and b.tag in ("p", "h1", "h2", "h3", "blockquote") else "bad"
+        # A paragraph or heading of an article may be one link, and so may the items under a heading (sources).
+        return "open" if b.article and (b.tag in ("p", *HEADINGS, "blockquote") or headed) else "bad"
     return "good" if n >= LONG and (not telling or _stops(b.text) >= STOPS) else "open"
 
 
@@ -173,8 +188,15 @@ def main_text(page: str) -> str:
     blocks = blocks_of(page)
     body = [b for b in blocks if not b.outside and not b.linked]
     telling = _stops(" ".join(b.text for b in body)) >= TELLING
+    headed = False
+    for b in blocks:
+        headed = b.tag == "li" and headed
+        b.label = _decide(b, telling, headed)
+        headed = headed or b.tag in HEADINGS
+    redeemed = {c for b in blocks if b.label == "good" for c in b.doubtful}
     for b in blocks:
-        b.label = _decide(b, telling)
+        if any(c not in redeemed for c in b.doubtful):
+            b.outside, b.label = True, "bad"
     if not any(b.label == "good" for b in blocks):  # a page of short blocks: its unlinked paragraphs
         for b in blocks:
             if b.label == "open" and not b.linked and (b.tag in ("p", "pre", "blockquote") or len(b.text) >= SHORT):

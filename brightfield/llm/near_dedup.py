@@ -13,7 +13,8 @@
    is kept, and its components are the result.
 
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of fewer words than a shingle is one
-shingle; rows with one doc_id are one document in the graph; ties go to the least doc_id.
+shingle; rows with one doc_id are one document in the graph; ties go to the least doc_id. A row without an id is nobody's partner: if its
+set equals that of a document with an id it has that one's component and is not kept, else its component is null and it is kept.
 """
 
 from __future__ import annotations
@@ -339,7 +340,8 @@ def find_components(docs: DataFrame, chunk_shingles: int = CHUNK_SHINGLES, rule:
     named = named.where((F.col("copies") > 1) | F.col("component").isNotNull()).select("set_id", F.coalesce("component", "id").alias("component"))
     found = sketch.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    kept = F.coalesce(component == F.col("doc_id"), component.isNull())
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def _across(heavy: DataFrame, components: DataFrame, bands: DataFrame, chunk_shingles: int) -> DataFrame:

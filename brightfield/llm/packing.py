@@ -29,12 +29,14 @@ from brightfield.llm.token_ids import encoder, tokenizer_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Classes of lengths in the linear program, and the cells of its knapsack.
-CLASSES, CELLS = 96, 1024
-MWU_STEPS = 160
-MWU_RATE = 0.5
-#: Shares of the program's solution that are tried.
-KEPT = (1.0, 0.8, 0.6, 0.4, 0.2, 0.1, 0.05)
+#: Classes of lengths in the linear program, and the cells of its knapsack; with FEW lengths each token is a cell.
+CLASSES, CELLS, FEW = 200, 1024, 40
+MWU_STEPS = 300
+MWU_RATE = 0.2
+#: Prices begin at this power of the length, so that the first fillings leave little room and take long pieces.
+POWER = 1.3
+#: Shares of the program's solution that are tried; with none of it all pieces fill gaps.
+KEPT = (1.0, 0.8, 0.6, 0.4, 0.2, 0.1, 0.05, 0.0)
 #: Rows of a bucket within which pieces of one length are numbered.
 ROWS_PER_BUCKET = 50_000
 
@@ -103,10 +105,10 @@ def dearest_filling(sizes: np.ndarray, value: np.ndarray, capacity: int) -> np.n
 
 def fractional_fillings(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = MWU_STEPS, rate: float = MWU_RATE) -> list[tuple[float, np.ndarray]]:
     """(times, filling) pairs that about cover ``demand``: multiplicative weights over the covering constraints."""
-    cover, found = np.zeros(len(sizes)), {}
+    cover, found, first = np.zeros(len(sizes)), {}, (sizes / capacity) ** POWER
     for _ in range(steps):
         done = cover / demand
-        value = np.exp(-(done - done.min()) / rate) / demand
+        value = first * np.exp(-(done - done.min()) / rate)
         uses = dearest_filling(sizes, value, capacity)
         some = uses > 0
         times = rate * (demand[some] / uses[some]).min()
@@ -207,8 +209,8 @@ def _classes(lengths: list[int], left: dict[int, int], most: int) -> list[list[i
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[float, list[list[int]]]]:
     """The program's solution: (times, the class of lengths of every place of a filling), most used first."""
-    unit = max(1, capacity // CELLS)
     lengths = sorted((n for n, c in histogram.items() if c > 0), reverse=True)
+    unit = 1 if len(lengths) <= FEW else max(1, capacity // CELLS)
     merged: dict[int, list[int]] = {}
     for c in _classes(lengths, histogram, CLASSES):  # classes of one size are one
         merged.setdefault(-(-c[0] // unit), []).extend(c)
@@ -238,7 +240,8 @@ def rounded(histogram: dict[int, int], solution: list[tuple[float, list[list[int
 def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Where the pieces go; the work depends on the number of different lengths, not of pieces.
 
-    How much of the solution is best kept depends on how many short pieces there are to fill gaps: each of KEPT is tried.
+    How much of the solution is best kept depends on how many short pieces there are to fill gaps: each of KEPT is tried, so that the
+    plan is never worse than filling gaps alone.
     """
     solution = solve(histogram, capacity)
     return min((rounded(histogram, solution, k, capacity) for k in KEPT), key=lambda plan: plan.n_sequences)
