@@ -35,21 +35,6 @@ def d24(spark: SparkSession, d: str) -> DataFrame:
     return x.select("org_id", evidence.one_proposal(F.col("a"), F.col("b"), F.col("c")).alias("decision"))
 
 
-@query("x1_images", "SELECT page_id, len(regexp_extract_all(html, '<img[^>]*src=\"([^\"]+)\"', 1)) AS images FROM pages")
-def x1(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.size(evidence.images(F.col("html"))).cast("bigint").alias("images"))
-
-
-@query("x4_json_ld_coordinates", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 < 2 THEN 45.5 END AS latitude, CASE WHEN s_suppkey % 3 < 2 THEN s_suppkey % 90 + 0.25 END AS longitude FROM supplier")
-def x4(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    lon = (k % 90 + 0.25).cast("string")
-    page = F.when(k % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"geo":{"latitude":"45.5","longitude":'), lon, F.lit("}}</script>")))
-    page = page.when(k % 3 == 1, F.concat(F.lit('<script type="application/ld+json">{"latitude":45.5,"longitude":"'), lon, F.lit('"}</script>'))).otherwise(F.lit('<script type="application/ld+json">{"latitude":0,"longitude":0}</script>'))
-    c = evidence.coordinates(evidence.json_ld(page)[0])
-    return read(spark, d, "supplier").select(k.alias("id"), c["latitude"].alias("latitude"), c["longitude"].alias("longitude"))
-
-
 @query("x3_offering_conflicts", sql(", x AS (SELECT location_id, treatment_id, count(DISTINCT price_amount) AS prices FROM offerings WHERE price_amount > 0 GROUP BY 1, 2) SELECT location_id, treatment_id, CASE WHEN prices > 1 THEN 'ambiguous' ELSE 'accepted' END AS decision FROM x", "offerings"))
 def x3(spark: SparkSession, d: str) -> DataFrame:
     x = offerings(spark, d).where("price_amount > 0").groupBy("location_id", "treatment_id").agg(F.count_distinct("price_amount").alias("prices"))
