@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brightfield.functions import dates, geo, pricing, text
 from brightfield.operators import cover_density
 from brightfield.operators.components import components
+from brightfield.operators.ranges import positions
 from brightfield.operators.similarity import jaccard_of, rare_first, representatives, similar_pairs
 from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, organizations, read, sql, treatments
@@ -251,7 +252,8 @@ def d23(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d25_chunks", sql(", n AS (SELECT country_code, id, (row_number() OVER (PARTITION BY country_code ORDER BY id) - 1) // 20 AS chunk FROM locations) SELECT country_code, chunk, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM n GROUP BY 1, 2", "locations"))
 def d25(spark: SparkSession, d: str) -> DataFrame:
-    n = locations(spark, d).withColumn("chunk", F.expr("(row_number() OVER (PARTITION BY country_code ORDER BY id) - 1) div 20"))
+    """Jobs of twenty places of a country, however many a country has."""
+    n = positions(locations(spark, d).select("country_code", "id"), ["country_code"], ["id"]).withColumn("chunk", F.expr("position div 20"))
     return n.groupBy("country_code", "chunk").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightfield.functions import pricing
+from brightfield.operators.ranges import rolling
 from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, read, reviews, sql, tasks, treatments
 
@@ -92,9 +93,8 @@ def w9(spark: SparkSession, d: str) -> DataFrame:
 @query("w12_failure_halt", sql(", o AS (SELECT task_type, id, CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS bad FROM tasks), r AS (SELECT task_type, id, CAST(sum(bad) OVER w AS BIGINT) AS failures, count(*) OVER w AS n FROM o WINDOW w AS (PARTITION BY task_type ORDER BY id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)) SELECT task_type, min(id) AS halted_at FROM r WHERE n = 500 AND failures * 4 > n GROUP BY 1", "tasks"))
 def w12(spark: SparkSession, d: str) -> DataFrame:
     """Per task type, the first task at which more than a quarter of the last 500 outcomes are failures."""
-    last = Window.partitionBy("task_type").orderBy("id").rowsBetween(-499, 0)
-    t = tasks(spark, d).select("task_type", "id", F.sum((F.col("status") == "failed").cast("bigint")).over(last).alias("failures"), F.count("*").over(last).alias("n"))
-    return t.where("n = 500 AND failures * 4 > n").groupBy("task_type").agg(F.min("id").alias("halted_at"))
+    t = rolling(tasks(spark, d).select("task_type", "id", "status"), ["task_type"], ["id"], 500, failures=(F.col("status") == "failed").cast("bigint"))
+    return t.where("window_rows = 500 AND failures * 4 > window_rows").groupBy("task_type").agg(F.min("id").alias("halted_at"))
 
 
 @query("w13_first_image", "SELECT host, page_id FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY url LIKE '%blog%' DESC, length(html) DESC NULLS LAST, page_id DESC) AS turn FROM (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)) WHERE turn = 1")
@@ -189,11 +189,16 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("country_code", "field").agg(ok.alias("covered"), F.count_if(~F.col("ok")).alias("missing"), (F.floor(10000.0 * ok / F.count("*") + 0.5) / 100).alias("pct"))
 
 
-@query("a26_gap_cohorts", sql(_COVERAGE + ", g AS (SELECT country_code, 'rating' AS gap, id FROM coverage WHERE NOT has_rating UNION ALL SELECT country_code, 'price', id FROM coverage WHERE has_menu AND NOT has_price UNION ALL SELECT country_code, 'reviews', id FROM coverage WHERE coalesce(review_count, 0) < 3) SELECT country_code, gap, count(*) AS n, sha256(string_agg(id, ',' ORDER BY id)) AS digest FROM g GROUP BY 1, 2", "locations", "offerings"))
+@query("a26_gap_cohorts", sql(_COVERAGE + ", g AS (SELECT country_code, 'rating' AS gap, id FROM coverage WHERE NOT has_rating UNION ALL SELECT country_code, 'price', id FROM coverage WHERE has_menu AND NOT has_price UNION ALL SELECT country_code, 'reviews', id FROM coverage WHERE coalesce(review_count, 0) < 3) SELECT country_code, gap, count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM g GROUP BY 1, 2", "locations", "offerings"))
 def a26(spark: SparkSession, d: str) -> DataFrame:
     gaps = F.array_compact(F.array(F.when(~F.col("has_rating"), F.lit("rating")), F.when(F.col("has_menu") & ~F.col("has_price"), F.lit("price")), F.when(F.coalesce("review_count", F.lit(0)) < 3, F.lit("reviews"))))
     g = coverage(spark, d).select("country_code", F.explode(gaps).alias("gap"), "id").groupBy("country_code", "gap")
-    return g.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ","), 256).alias("digest"))
+    return g.agg(F.count("*").alias("n"), order_free_digest(F.col("id")).alias("digest"))
+
+
+def order_free_digest(c: Column) -> Column:
+    """The sum of 60 bits of each value's hash: equal for equal sets in any order, and combined before the shuffle."""
+    return F.sum(F.conv(F.substring(F.md5(c.cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
 
 
 @query("q1_stratified_sample", sql(", s AS (SELECT id, country_code, row_number() OVER (PARTITION BY country_code ORDER BY md5('seed1:' || country_code || ':' || id), id) AS turn FROM locations WHERE status = 'active') SELECT id, country_code FROM s WHERE turn <= 8", "locations"))

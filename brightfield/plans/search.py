@@ -66,9 +66,9 @@ def near_points(points: DataFrame, places: DataFrame, miles: float) -> DataFrame
     return p.join(q, ["row", "col"]).drop("row", "col").withColumn("distance_miles", distance).where(F.col("distance_miles") <= miles)
 
 
-def radius_ladder(points: DataFrame, places: DataFrame, rungs: tuple[int, ...] = LADDER, enough: int = ENOUGH) -> DataFrame:
-    """For each point the smallest radius with enough places in it, and the counts of all rungs; null where none has enough."""
-    near = near_points(points, places, rungs[-1])
+def radius_ladder(points: DataFrame, near: DataFrame, rungs: tuple[int, ...] = LADDER, enough: int = ENOUGH) -> DataFrame:
+    """For each point the smallest radius with enough of the ``near`` places (city, distance_miles) in it, and the counts of all rungs;
+    null where none has enough."""
     counts = [F.count_if(F.col("distance_miles") <= r).alias(f"within_{r}") for r in rungs]
     found = points.select("city").join(near.groupBy("city").agg(*counts), "city", "left").fillna(0, [f"within_{r}" for r in rungs])
     radius = F.coalesce(*[F.when(F.col(f"within_{r}") >= enough, F.lit(r)) for r in rungs])
@@ -84,7 +84,8 @@ ladder AS (SELECT *, CASE WHEN within_25 >= 5 THEN 25 WHEN within_50 >= 5 THEN 5
 
 @query("a9_radius_bands", sql(_LADDER_SQL + " SELECT * FROM ladder", "locations"))
 def a9_radius_bands(spark: SparkSession, d: str) -> DataFrame:
-    return radius_ladder(country_points(spark, d), active(locations(spark, d)).where(~F.col("is_virtual")))
+    points = country_points(spark, d)
+    return radius_ladder(points, near_points(points, active(locations(spark, d)).where(~F.col("is_virtual")), LADDER[-1]))
 
 
 @query(
@@ -99,11 +100,15 @@ SELECT * FROM ranked WHERE place <= 18""",
     ),
 )
 def e4_city_radius_search(spark: SparkSession, d: str) -> DataFrame:
-    """The first page around every city, at the smallest radius of the ladder with enough hits."""
-    places = active(locations(spark, d)).where(~F.col("is_virtual"))
+    """The first page around every city, at the smallest radius of the ladder with enough hits.
+
+    Places near the cities are found once and written; the counts of the rungs and the pages read that.
+    """
+    places = active(locations(spark, d)).where(~F.col("is_virtual")).select("id", "name", "latitude", "longitude", "rating", "review_count")
     points = country_points(spark, d)
-    ladder = radius_ladder(points, places).select("city", "effective_radius")
-    near = near_points(points, places, LADDER[-1]).join(ladder, "city").where(F.col("distance_miles") <= F.col("effective_radius"))
+    found = written(near_points(points, places, LADDER[-1]).select("city", "id", "name", "rating", "review_count", "distance_miles"), "near")
+    ladder = radius_ladder(points, found).where("effective_radius IS NOT NULL").select("city", "effective_radius")
+    near = found.join(ladder, "city").where(F.col("distance_miles") <= F.col("effective_radius"))
     near = near.withColumn("distance_miles", F.round("distance_miles", 6))
     order = Window.partitionBy("city").orderBy(F.col("rating").isNull(), "distance_miles", F.desc_nulls_last("rating"), F.desc_nulls_last("review_count"), "name", "id")
     return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PAGE_SIZE).select("city", "id", "name", "distance_miles", "effective_radius", "place")
@@ -191,18 +196,28 @@ def p9_filters(spark: SparkSession, d: str) -> DataFrame:
 def closure(tree: DataFrame) -> DataFrame:
     """(root, id) for every node and each of its descendants, itself included, whatever the depth.
 
-    Every round joins the pairs to themselves, which doubles the depth; rounds are written to the shared folder, and the last one
-    adds nothing, so cycles end too.
+    Every round joins the pairs that the round before found with all pairs, on both sides, which doubles the depth; what is new is
+    written to the shared folder, and nothing is written again. A round that finds nothing is the last, so cycles end too.
     """
-    steps = tree.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("root"), "id")
-    pairs = written(tree.select(F.col("id").alias("root"), "id").unionByName(steps).distinct(), "closure")
-    size = pairs.count()
-    while True:
-        further = pairs.join(pairs.select(F.col("root").alias("id"), F.col("id").alias("below")), "id").select("root", F.col("below").alias("id"))
-        pairs = written(further.distinct(), "closure")
-        before, size = size, pairs.count()
-        if size == before:
-            return pairs
+    own = tree.select(F.col("id").alias("root"), "id").distinct()
+    found = fresh = written(tree.where("parent_id IS NOT NULL AND parent_id <> id").select(F.col("parent_id").alias("root"), "id").distinct(), "closure")
+    join = lambda above, below: above.join(below.select(F.col("root").alias("id"), F.col("id").alias("below")), "id").select("root", F.col("below").alias("id"))
+    while not fresh.isEmpty():
+        further = join(fresh, found).unionByName(join(found, fresh)).where("root <> id").distinct()
+        fresh = written(further.join(found, ["root", "id"], "left_anti"), "closure")
+        found = found.unionByName(fresh)
+    return own.unionByName(found)
+
+
+def descendants(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """The distinct ids of some roots (id) and of all below them: the children of what was new last, round after round."""
+    steps = tree.where("parent_id IS NOT NULL").select("parent_id", "id")
+    found = fresh = written(roots.select("id").distinct(), "descendants")
+    while not fresh.isEmpty():
+        children = steps.join(fresh.select(F.col("id").alias("parent_id")), "parent_id").select("id").distinct()
+        fresh = written(children.join(found, "id", "left_anti"), "descendants")
+        found = found.unionByName(fresh)
+    return found
 
 
 _CLOSURE = ", closure(root, id) AS (SELECT id, id FROM treatments UNION SELECT c.root, t.id FROM closure c JOIN treatments t ON t.parent_id = c.id)"
@@ -215,13 +230,16 @@ def a10_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a11_supply_by_root", sql(_CLOSURE + " SELECT root, count(DISTINCT location_id) AS locations, count(*) AS offerings FROM closure JOIN offerings ON treatment_id = closure.id GROUP BY root", "treatments", "offerings", recursive=True))
 def a11_supply(spark: SparkSession, d: str) -> DataFrame:
+    """Offerings of a treatment and place are counted before they meet the tree."""
     pairs = closure(treatments(spark, d).select("id", "parent_id")).withColumnRenamed("id", "treatment_id")
-    return pairs.join(offerings(spark, d), "treatment_id").groupBy("root").agg(F.count_distinct("location_id").alias("locations"), F.count("*").alias("offerings"))
+    counts = offerings(spark, d).groupBy("treatment_id", "location_id").agg(F.count("*").alias("n"))
+    per_place = pairs.join(counts, "treatment_id").groupBy("root", "location_id").agg(F.sum("n").alias("n"))
+    return per_place.groupBy("root").agg(F.count("*").alias("locations"), F.sum("n").alias("offerings"))
 
 
 @query("p10_category_tree", sql(_CLOSURE + " SELECT id, location_id FROM offerings WHERE treatment_id IN (SELECT id FROM closure WHERE root = 3)", "treatments", "offerings", recursive=True))
 def p10_tree(spark: SparkSession, d: str) -> DataFrame:
-    wanted = closure(treatments(spark, d).select("id", "parent_id")).where(F.col("root") == 3).select(F.col("id").alias("treatment_id"))
+    wanted = descendants(treatments(spark, d).select("id", "parent_id"), spark.range(3, 4)).select(F.col("id").alias("treatment_id"))
     return offerings(spark, d).join(wanted, "treatment_id", "left_semi").select("id", "location_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightfield.functions.text import blank_to_null
-from brightfield.plans.search import closure
+from brightfield.plans.search import descendants
 from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, organizations, read, reviews, sql, treatments
 
@@ -175,7 +175,7 @@ def a7(spark: SparkSession, d: str) -> DataFrame:
 @query("a8_search_price_summary", sql(", closure(root, id) AS (SELECT id, id FROM treatments WHERE id = 3 UNION SELECT c.root, t.id FROM closure c JOIN treatments t ON t.parent_id = c.id) " + _SUMMARY.format(c="upper(nullif(trim(price_currency), ''))").replace("> 0", "> 0 AND treatment_id IN (SELECT id FROM closure)"), "offerings", "treatments", recursive=True))
 def a8(spark: SparkSession, d: str) -> DataFrame:
     """Prices of what a search for a category finds: its whole tree."""
-    wanted = closure(treatments(spark, d).select("id", "parent_id")).where("root = 3").select(F.col("id").alias("treatment_id"))
+    wanted = descendants(treatments(spark, d).select("id", "parent_id"), spark.range(3, 4)).select(F.col("id").alias("treatment_id"))
     return price_summary(offerings(spark, d).join(wanted, "treatment_id", "left_semi"), F.upper(blank_to_null(F.col("price_currency"))))
 
 

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,13 +49,27 @@ def test_windowed_stream(spark, tmp_path):
 
 
 def test_touched_keys_are_recomputed(spark, tmp_path):
-    src = tmp_path / "events"
-    spark.read.parquet(f"{SF}/events.parquet").limit(50).write.parquet(str(src))
+    src, target = tmp_path / "events", str(tmp_path / "t")
     every = spark.read.parquet(f"{SF}/events.parquet")
-    q = ledger.keep_current(ledger.events(spark, str(src)), "user_id", lambda keys: every.join(keys, "user_id").groupBy("user_id").count(), str(tmp_path / "t"), str(tmp_path / "k"))
-    q.awaitTermination()
-    made = spark.read.parquet(str(tmp_path / "t" / "batch=0"))
-    assert made.count() == spark.read.parquet(str(src)).select("user_id").distinct().count()
+    for some in (every.where("event_id < 50"), every.where("event_id BETWEEN 50 AND 90")):
+        some.write.mode("append").parquet(str(src))
+        here = spark.read.parquet(str(src))
+        q = ledger.keep_current(ledger.events(spark, str(src)), "user_id", lambda keys: here.join(keys, "user_id").groupBy("user_id").count(), target, str(tmp_path / "k"))
+        q.awaitTermination()
+    made = {r.user_id: r["count"] for r in ledger.merged_table(spark, target).collect()}
+    assert made == {r.user_id: r["count"] for r in every.where("event_id <= 90").groupBy("user_id").count().collect()}
+
+
+def test_batches_that_run_again_change_nothing(spark, tmp_path):
+    merge = ledger.merge_into(str(tmp_path / "t"), ["id"], 3)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, v string")
+    assert ledger.merged_table(spark, str(tmp_path / "t")) is None
+    batches = [[(k, "a") for k in range(20)], [(3, "b"), (100, "b")], [(3, "c")], []]
+    for number, rows in enumerate(batches):
+        merge(frame(rows), number)
+        merge(frame(rows), number)
+    want = {k: "a" for k in range(20)} | {100: "b", 3: "c"}
+    assert {r.id: r.v for r in ledger.merged_table(spark, str(tmp_path / "t")).collect()} == want
 
 
 def test_clicks(spark):
@@ -62,16 +77,31 @@ def test_clicks(spark):
     assert [r.is_bot for r in rows] == [True, False] and len(rows[0].user_agent_hash) == 64
 
 
-def test_failing_tasks_halt(spark, tmp_path):
-    rows = [("a", k, k % 3 == 0) for k in range(30)] + [("b", k, k == 5) for k in range(30)] + [("c", 1, True)]
+def brute_halts(rows, recent, share):
+    """kind -> (n, failures, halted_at), looking at every window."""
+    made = {}
+    for kind in {r[0] for r in rows}:
+        mine = sorted(r[1:] for r in rows if r[0] == kind)
+        flags = [f for _, f in mine]
+        ends = [mine[e][0] for e in range(recent - 1, len(mine)) if sum(flags[e + 1 - recent : e + 1]) > share * recent]
+        made[kind] = (len(flags[-recent:]), sum(flags[-recent:]), ends[0] if ends else None)
+    return made
+
+
+@pytest.mark.parametrize("recent,cuts", [(20, (12,)), (20, (3, 29, 30)), (500, (2000,)), (500, (700, 1400))])
+def test_failing_tasks_halt_for_good(spark, tmp_path, recent, cuts):
+    rng = random.Random(recent + len(cuts))
+    rows = [("early", k, k < 300) for k in range(2000)]  # one batch: windows within it count, and a halt lasts
+    rows += [("edge", k, k % 4 == 0) for k in range(1000)] + [("over", k, k % 4 == 0 or k == 601) for k in range(1000)] + [("few", k, True) for k in range(recent - 1)]
+    rows += [("random", k, rng.random() < 0.24) for k in range(2000)]
     df = spark.createDataFrame(rows, "kind string, at long, failed boolean")
-    df.where("at < 12").write.parquet(str(tmp_path / "s"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
-    for batch in (None, df.where("at >= 12")):
-        if batch is not None:
-            batch.write.mode("append").parquet(str(tmp_path / "s"))
-        made = []
-        query = ledger.failure_halts(stream, recent=20).writeStream.foreachBatch(lambda out, _: made.extend(out.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
+    made = {}
+    for low, high in zip((0, *cuts), (*cuts, 10_000)):
+        df.where((F.col("at") >= low) & (F.col("at") < high)).write.mode("append").parquet(str(tmp_path / "s"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
+        sink = lambda out, _: made.update({r.kind: (r.n, r.failures, r.halted_at) for r in out.collect()})
+        query = ledger.failure_halts(stream, recent).writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
         query.awaitTermination()
-    found = {r.kind: (r.n, r.failures, r.halted) for r in made}
-    assert found == {"a": (20, sum(k % 3 == 0 for k in range(10, 30)), True), "b": (20, 0, False)}
+    want = brute_halts(rows, recent, 0.25)
+    assert made == want
+    assert want["edge"][2] is None and want["over"][2] == (601 if recent == 500 else want["over"][2]) and want["early"][2] is not None and want["few"][2] is None
