@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightfield.plans import crawl, entities, evidence, front, ledgers, normal, places, records, search, streams, supply  # noqa: F401
+from brightfield.plans import crawl, entities, evidence, front, ledgers, normal, places, records, rules, search, streams, supply  # noqa: F401
 from brightfield.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "e4_city_radius_search"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def rating(c: Column) -> Column:
     """A rating from a number, or from the ratingValue of a JSON object."""
-    number = "^-?[0-9]+(\\.[0-9]+)?$"
+    number = "^[0-9]+(\\.[0-9]+)?$"
     inner = F.when(F.trim(c).startswith("{"), F.get_json_object(c, "$.ratingValue"))
     return F.when(F.trim(c).rlike(number), F.trim(c)).when(inner.rlike(number), inner).try_cast("decimal(10,4)")
 

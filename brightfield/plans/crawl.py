@@ -40,6 +40,7 @@ FRAGMENTS = (
     '<script type="application/ld+json">{"@graph":[{"@type":"Place","address":{"@type":"PostalAddress","streetAddress":"{number} {place} Street","addressLocality":"{place}","postalCode":"{postal}"},"geo":{"latitude":"{lat}","longitude":-71.5}}]}</script>',
     '<span itemprop="streetAddress" content="{number} {place} Street"></span>',
     '<script id="__NEXT_DATA__">{"props":{"city":"{place}","zip":{postal},"lat":0,"lng":0}}</script><p>{number} {place} St</p>',
+    "<p>We offer small ring and <b>Red</b> widget therapy, no blue-bolt.</p>",
 )
 
 

@@ -332,14 +332,6 @@ def m1(spark: SparkSession, d: str) -> DataFrame:
     return locations(spark, d).select("id", F.round(geo.haversine(F.lit(-8.0), F.lit(-28.0), F.col("latitude"), F.col("longitude"), geo.KM), 6).alias("km"))
 
 
-@query("t1_ratings", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(c_custkey % 50 AS DOUBLE) / 10 END AS rating FROM customer")
-def t1(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    number = (k % 50 / 10).cast("string")
-    raw = F.when(k % 3 == 0, F.lit("n/a")).when(k % 3 == 1, number).otherwise(F.concat(F.lit('{"ratingValue": "'), number, F.lit('"}')))
-    return read(spark, d, "customer").select(k.alias("id"), dates.rating(raw).cast("double").alias("rating"))
-
-
 @query("t4_next_review", "SELECT s_suppkey AS id, greatest(DATE '2024-01-02', least(DATE '2024-01-01' + CAST(s_suppkey % 90 AS INT), DATE '2024-01-01' + CAST(s_suppkey % 60 AS INT) - 7)) AS due FROM supplier")
 def t4(spark: SparkSession, d: str) -> DataFrame:
     day = F.lit("2024-01-01").cast("date")
@@ -373,12 +365,6 @@ def x5(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").where(F.col("text").contains("@")).select("doc_id", F.nullif(e, F.lit("")).alias("email"))
 
 
-@query("x7_term_evidence", "SELECT page_id, CAST(contains(lower(html), 'thing') AS INT) + CAST(contains(lower(html), 'heure') AS INT) + CAST(contains(lower(html), 'copy;') AS INT) AS evidence FROM pages")
-def x7(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("html")
-    return read(spark, d, "pages").select("page_id", sum(low.contains(t).cast("int") for t in ("thing", "heure", "copy;")).alias("evidence"))
-
-
 @query("x14_titles", "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
 def x14(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))

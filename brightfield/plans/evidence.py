@@ -12,35 +12,6 @@ from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, read, sql, tasks, treatments
 
 
-@query("p25_opening_hours", "SELECT s_suppkey AS id, s_suppkey % 4 = 0 AS valid FROM supplier")
-def p25(spark: SparkSession, d: str) -> DataFrame:
-    """Hours written for every supplier: whole ones, a missing day, two kinds in one entry, an unknown key."""
-    week = lambda n, more="": "[" + ",".join(f'{{"day":"{day}","open":"09:00","close":"17:00"{more}}}' for day in evidence.DAYS[:n]) + "]"
-    closed_sunday = week(6)[:-1] + ',{"day":"sunday","closed":true}]'
-    k = F.col("s_suppkey") % 4
-    hours = F.when(k == 0, F.lit(closed_sunday)).when(k == 1, F.lit(week(6))).when(k == 2, F.lit(week(7, ',"closed":true'))).otherwise(F.lit(week(7, ',"note":"x"')))
-    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), evidence.valid_hours(hours).alias("valid"))
-
-
-@query("x6_address_evidence", "SELECT s_suppkey AS id, s_suppkey % 3 < 2 AS found FROM supplier")
-def x6(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    page = F.when(k % 3 == 0, F.concat(F.lit("Visit us at "), k, F.lit(" Rue des Lilas, Lyon"))).when(k % 3 == 1, F.concat(F.lit("rue lilas no. "), k)).otherwise(F.lit("somewhere in rue des lilas"))
-    return read(spark, d, "supplier").select(k.alias("id"), evidence.address_evidence(page, F.concat(k, F.lit(" Rue des Lilas"))).alias("found"))
-
-
-@query("d24_address_cascade", sql(", x AS (SELECT org_id, count(*) FILTER (WHERE rating = 4) AS a, count(*) FILTER (WHERE region = 2) AS b, count(*) FILTER (WHERE is_virtual) AS c FROM locations GROUP BY 1) SELECT org_id, CASE WHEN a = 1 THEN 'exact' WHEN b = 1 THEN 'street' WHEN c = 1 THEN 'postal' WHEN a + b + c = 0 THEN 'none' ELSE 'ambiguous' END AS decision FROM x", "locations"))
-def d24(spark: SparkSession, d: str) -> DataFrame:
-    x = locations(spark, d).groupBy("org_id").agg(F.count_if(F.col("rating") == 4).alias("a"), F.count_if(F.col("region") == 2).alias("b"), F.count_if("is_virtual").alias("c"))
-    return x.select("org_id", evidence.one_proposal(F.col("a"), F.col("b"), F.col("c")).alias("decision"))
-
-
-@query("x3_offering_conflicts", sql(", x AS (SELECT location_id, treatment_id, count(DISTINCT price_amount) AS prices FROM offerings WHERE price_amount > 0 GROUP BY 1, 2) SELECT location_id, treatment_id, CASE WHEN prices > 1 THEN 'ambiguous' ELSE 'accepted' END AS decision FROM x", "offerings"))
-def x3(spark: SparkSession, d: str) -> DataFrame:
-    x = offerings(spark, d).where("price_amount > 0").groupBy("location_id", "treatment_id").agg(F.count_distinct("price_amount").alias("prices"))
-    return x.select("location_id", "treatment_id", F.when(F.col("prices") > 1, "ambiguous").otherwise("accepted").alias("decision"))
-
-
 @query("t2_review_dates", "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(o_orderdate AS DATE) - CAST(7 * (o_orderkey % 9 + 1) AS INT) WHEN 2 THEN CAST(date_trunc('month', CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH) AS DATE) WHEN 3 THEN CAST(o_orderdate AS DATE) END AS day FROM orders")
 def t2(spark: SparkSession, d: str) -> DataFrame:
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
@@ -167,8 +138,3 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
     t = tasks(spark, d)
     gate = t.agg((F.count_if(F.col("status") == "claimed") == 0).alias("open"))
     return t.where("status = 'pending'").join(F.broadcast(gate), F.col("open") | (F.col("priority") == 0)).select("id")
-
-
-@query("x18_image_kinds", "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'pixel|spacer|1x1|tracking') THEN 'junk' WHEN regexp_matches(lower(url), 'logo|brand|favicon') THEN 'logo' WHEN regexp_matches(lower(url), 'banner|flyer|promo|price') THEN 'text_graphic' WHEN regexp_matches(lower(url), 'photo|team|clinic|studio|\\.jpe?g') THEN 'photo' END AS kind FROM pages")
-def x18(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", evidence.image_kind(F.lit(None).cast("string"), F.col("url")).alias("kind"))

@@ -13,16 +13,6 @@ from brightfield.roles import active, locations, offerings, sql, tasks, treatmen
 _MILES = "2 * 3958.7613 * asin(least(1.0, sqrt(pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))"
 
 
-@query("p27_requests", sql(""", q AS (SELECT id, 't=' || entity_id || ',' || (entity_id + 1) || ',x,' || entity_id AS treatments, CASE WHEN id % 2 = 0 THEN ' de ' ELSE 'germany' END AS country, CASE WHEN id % 3 = 0 THEN '200' ELSE '48.5' END AS lat FROM tasks)
-SELECT id, entity_id || ',' || (entity_id + 1) AS treatments, CASE WHEN id % 2 = 0 THEN 'DE' END AS country, CASE WHEN id % 3 = 0 THEN NULL ELSE 48.5 END AS latitude FROM tasks""", "tasks").replace("ELSE 48.5 END AS latitude", "ELSE CAST(48.5 AS DOUBLE) END AS latitude"))
-def p27(spark: SparkSession, d: str) -> DataFrame:
-    """Request parameters, checked: distinct whole treatment ids (25 at most), two-letter countries, bounded coordinates."""
-    raw = tasks(spark, d).select("id", F.concat_ws(",", "entity_id", F.col("entity_id") + 1, F.lit("x"), "entity_id").alias("t"), F.when(F.col("id") % 2 == 0, " de ").otherwise("germany").alias("c"), F.when(F.col("id") % 3 == 0, "200").otherwise("48.5").alias("lat"))
-    ids = F.slice(F.array_distinct(F.filter(F.split("t", ","), lambda x: x.rlike("^[0-9]+$"))), 1, 25)
-    country, lat = F.upper(F.trim("c")), F.col("lat").try_cast("double")
-    return raw.select("id", F.array_join(ids, ",").alias("treatments"), F.when(country.rlike("^[A-Z]{2}$"), country).alias("country"), F.when(lat.between(-90, 90), lat).alias("latitude"))
-
-
 def result_page(places: DataFrame, offers: DataFrame, request: SearchRequest) -> DataFrame:
     """A page of places with their distance, cheapest comparable price and the number of all results, best first."""
     priced = pricing.comparable(offers["price_amount"], offers["price_unit"], offers["price_audience"])
@@ -78,15 +68,6 @@ def e6(spark: SparkSession, d: str) -> DataFrame:
     return result_page(l, offerings(spark, d), SearchRequest(latitude=-8.0, longitude=-28.0)).select(F.lit("payload").alias("mode"), "*")
 
 
-@query("e1_search", sql(""", q AS (SELECT id FROM treatments WHERE lower(name) = 'small ring'), o AS (SELECT * FROM offerings WHERE treatment_id IN (SELECT id FROM q) AND price_amount > 0)
-SELECT price_currency AS currency, count(*) AS offerings, count(DISTINCT location_id) AS locations, min(price_amount) AS least, max(price_amount) AS most FROM o JOIN locations l ON l.id = o.location_id AND l.status = 'active' GROUP BY 1""", "treatments", "offerings", "locations"))
-def e1(spark: SparkSession, d: str) -> DataFrame:
-    """A query that names a treatment: what it costs at active places, by currency."""
-    wanted = treatments(spark, d).where(F.lower("name") == "small ring").select(F.col("id").alias("treatment_id"))
-    o = offerings(spark, d).where("price_amount > 0").join(wanted, "treatment_id", "left_semi").join(active(locations(spark, d)).select(F.col("id").alias("location_id")), "location_id", "left_semi")
-    return o.groupBy(F.col("price_currency").alias("currency")).agg(F.count("*").alias("offerings"), F.count_distinct("location_id").alias("locations"), F.min("price_amount").alias("least"), F.max("price_amount").alias("most"))
-
-
 _CARDS = f""", v AS (SELECT -8.0 AS latitude, -28.0 AS longitude), c AS (SELECT l.id, CASE WHEN locality = 'BUILDING' AND country_code = 'NATION_3' THEN 0 WHEN country_code = 'NATION_3' THEN 1 WHEN region = 3 THEN 2 ELSE 3 END AS proximity, round({_MILES.format(a="v", b="l")}, 6) AS miles
   FROM locations l, v WHERE status = 'active' AND l.id IN (SELECT location_id FROM offerings JOIN treatments t ON t.id = treatment_id WHERE t.category = 'ECONOMY')),
 cards AS (SELECT * FROM c ORDER BY proximity, miles, id LIMIT 80)"""

@@ -32,24 +32,6 @@ def n3(spark: SparkSession, d: str) -> DataFrame:
     return treatments(spark, d).select("id", text.alnum_key(F.concat("brand", F.lit(" / "), "name")).alias("key"))
 
 
-#: What a menu term loses: prices, lengths of time, qualifiers.
-_MENU = ((r"[$€£]\s*[0-9]+(?:[.,][0-9]+)?", " "), (r"\b[0-9]+\s*(?:min|mins|minutes|hr|hrs|hours?)\b", " "), (r"\b(?:new|special|promo|deluxe|signature)\b", " "), (r"[^a-z0-9]+", " "))
-
-
-def _menu_sql(c: str) -> str:
-    for pattern, by in _MENU:
-        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
-    return f"trim({c})"
-
-
-@query("n4_menu_terms", sql("SELECT id, " + _menu_sql("lower('New ' || name || ' $' || (id % 90) || '.50 - 30 min (' || category || ')')") + " AS term FROM treatments", "treatments"))
-def n4(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.lower(F.concat(F.lit("New "), "name", F.lit(" $"), (F.col("id") % 90).cast("string"), F.lit(".50 - 30 min ("), "category", F.lit(")")))
-    for pattern, by in _MENU:
-        raw = F.regexp_replace(raw, pattern, by)
-    return treatments(spark, d).select("id", F.trim(raw).alias("term"))
-
-
 _WHOLE = "list_distinct([substr('  ' || {c} || '  ', i, 3) FOR i IN range(1, length({c}) + 3)])"
 
 
@@ -153,12 +135,6 @@ def n28(spark: SparkSession, d: str) -> DataFrame:
     return locations(spark, d).select("id", F.array_join(parts, ", ").alias("query"), geo.usable(F.col("latitude"), F.col("longitude")).alias("usable"))
 
 
-@query("n29_status_labels", sql("SELECT id, CASE brand WHEN 'Brand#1' THEN 'Approved' WHEN 'Brand#2' THEN 'Off label' WHEN 'Brand#3' THEN 'Investigational' END AS label, brand IN ('Brand#1', 'Brand#2') AS in_menu FROM treatments", "treatments"))
-def n29(spark: SparkSession, d: str) -> DataFrame:
-    labels = F.create_map(*[F.lit(x) for kv in {"Brand#1": "Approved", "Brand#2": "Off label", "Brand#3": "Investigational"}.items() for x in kv])
-    return treatments(spark, d).select("id", labels[F.col("brand")].alias("label"), F.col("brand").isin("Brand#1", "Brand#2").alias("in_menu"))
-
-
 @query("n30_source_pages", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/given/' || page_id WHEN regexp_matches(url, '^https?://[^/]*\\.example\\.org(/|$)') THEN regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) END AS source FROM pages")
 def n30(spark: SparkSession, d: str) -> DataFrame:
     """A named source page, else the referrer's path and query where it is of the own origin."""
@@ -219,21 +195,3 @@ def j5_substring(spark: SparkSession, d: str) -> DataFrame:
     terms = t.select(F.substring("name", 1, 4).alias("term")).distinct().withColumn("gram", F.substring("term", 1, 3))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substring("name", i, F.lit(3))))
     return t.withColumn("gram", F.explode(grams)).join(terms, "gram").where(F.col("name").contains(F.col("term"))).select("id", "term")
-
-
-@query("x8_address_identity", sql("SELECT id, CASE WHEN id % 4 = 0 THEN 'number_postal' WHEN id % 4 = 1 THEN 'street_locality' ELSE 'none' END AS identity FROM locations", "locations"))
-def x8(spark: SparkSession, d: str) -> DataFrame:
-    """Two addresses are one by house number and postal code, else by street and locality."""
-    l = locations(spark, d).withColumn("street", F.concat(F.lit("Main Street "), F.col("id").cast("string")))
-    k = F.col("id") % 4
-    l = l.withColumn("found", F.when(k == 0, F.concat_ws(", ", F.concat(F.lit("Other Road "), "id"), F.concat(F.lit("9"), F.lpad(F.col("id").cast("string"), 5, "0")))).when(k == 1, F.concat_ws(", ", F.lit("MAIN  street"), "locality")).otherwise(F.lit("Elsewhere 0")))
-    postal = F.concat(F.lit("9"), F.lpad(F.col("id").cast("string"), 5, "0"))
-    return l.select("id", evidence.address_identity(F.col("street"), postal, F.col("locality"), F.col("found")).alias("identity"))
-
-
-@query("x10_x11_site_identity", sql("SELECT id, id % 3 = 0 AS name_and_place FROM locations", "locations"))
-def x10(spark: SparkSession, d: str) -> DataFrame:
-    """A site or place is the location's own where its text holds a token of the name and one of the place."""
-    l = locations(spark, d)
-    page = F.when(F.col("id") % 3 == 0, F.concat_ws(" ", F.lit("Welcome to"), F.replace("name", F.lit("#"), F.lit(" ")), F.lit("in"), "locality")).when(F.col("id") % 3 == 1, F.concat_ws(" ", F.lit("All about"), "locality")).otherwise(F.lit("nothing of it"))
-    return l.select("id", evidence.names_place(page, F.replace("name", F.lit("#"), F.lit(" ")), F.col("locality")).alias("name_and_place"))

@@ -8,30 +8,26 @@ from pyspark.sql import functions as F
 from brightfield.functions import geocoding, text, urls
 from brightfield.functions.binding import let
 from brightfield.functions.geocoding import COUNTRY_NAMES, PLAIN_STREET_WORDS
+from brightfield.raw import duck, pick
 from brightfield.registry import query
 from brightfield.roles import read
 
 
-def _pick(key: str, *values: str | None) -> str:
-    """SQL that Spark and DuckDB both know: the value that a number chooses."""
-    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else v}" for i, v in enumerate(values)) + " END"
-
-
 # ---- geocoder answers ----
 
 _NUMBER = "CAST(c_custkey % 50 + 1 AS STRING) || CASE WHEN c_custkey % 9 = 0 THEN 'a' ELSE '' END"
-_STREET = _pick("c_custkey", "'Harbour'", "'Old Mill'", "'Saint Marie'", "'Königs'") + " || ' ' || " + _pick("c_custkey", "'Street'", "'Ave'", "'Road'")
-_COUNTRY_OF = _pick("{k}", "'Canada'", "'USA'", "'Deutschland'", "'United Kingdom'", "'France'", "'Republic of Korea'", "'Nowhere'")
+_STREET = pick("c_custkey", "'Harbour'", "'Old Mill'", "'Saint Marie'", "'Königs'") + " || ' ' || " + pick("c_custkey", "'Street'", "'Ave'", "'Road'")
+_COUNTRY_OF = pick("{k}", "'Canada'", "'USA'", "'Deutschland'", "'United Kingdom'", "'France'", "'Republic of Korea'", "'Nowhere'")
 _ASKED = {
     "id": "c_custkey",
     "address": f"CASE WHEN c_custkey % 8 = 7 THEN NULL ELSE {_NUMBER} || ' ' || {_STREET} END",
     "locality": "CASE WHEN c_custkey % 10 = 3 THEN '' ELSE c_mktsegment END",
-    "region": _pick("c_custkey", "'Ontario'", None, "'Île-de-France'"),
-    "postal_code": _pick("c_custkey", "'K1A 0B' || CAST(c_custkey % 7 AS STRING)", None, "CAST(10000 + c_custkey AS STRING)", "''"),
-    "country_code": _pick("c_custkey", "'CA'", "' us '", "'DE'", "'GB'", "'FR'", "'KR'", "'XX'"),
+    "region": pick("c_custkey", "'Ontario'", None, "'Île-de-France'"),
+    "postal_code": pick("c_custkey", "'K1A 0B' || CAST(c_custkey % 7 AS STRING)", None, "CAST(10000 + c_custkey AS STRING)", "''"),
+    "country_code": pick("c_custkey", "'CA'", "' us '", "'DE'", "'GB'", "'FR'", "'KR'", "'XX'"),
     "latitude": "CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN 0.0 WHEN c_custkey % 17 = 0 THEN 91.5 ELSE CAST(c_custkey % 80 AS DOUBLE) END",
     "longitude": "CASE WHEN c_custkey % 11 = 0 THEN 0.0 ELSE CAST(c_custkey % 170 AS DOUBLE) END",
-    "formatted": _pick(
+    "formatted": pick(
         "(c_custkey div 3)",
         f"{_NUMBER} || ' ' || {_STREET} || ', ' || c_mktsegment || ', ' || {_COUNTRY_OF.format(k='c_custkey')}",
         f"'1' || {_NUMBER} || ' ' || {_STREET} || ', ' || c_mktsegment",
@@ -44,10 +40,6 @@ _ASKED = {
 }
 
 
-def _duck(expression: str) -> str:
-    return expression.replace(" AS STRING)", " AS VARCHAR)").replace(" div ", " // ")
-
-
 def _plain_sql(c: str) -> str:
     return f"trim(regexp_replace(replace(strip_accents(lower(coalesce({c}, ''))), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -55,7 +47,7 @@ def _plain_sql(c: str) -> str:
 _NAMES = ", ".join(f"('{code}', '{name}')" for code, names in COUNTRY_NAMES.items() for name in names)
 
 
-@query("x9_geocode_answers", f"""WITH asked AS (SELECT {", ".join(f"{_duck(v)} AS {k}" for k, v in _ASKED.items())} FROM customer), names(code, name) AS (VALUES {_NAMES}),
+@query("x9_geocode_answers", f"""WITH asked AS (SELECT {", ".join(f"{duck(v)} AS {k}" for k, v in _ASKED.items())} FROM customer), names(code, name) AS (VALUES {_NAMES}),
 t AS (SELECT *, {_plain_sql('formatted')} AS f, {_plain_sql('address')} AS a, {_plain_sql('locality')} AS l, {_plain_sql('region')} AS r, replace({_plain_sql('postal_code')}, ' ', '') AS p, upper(trim(country_code)) AS c FROM asked),
 u AS (SELECT *, nullif(regexp_extract(a, '\\b[0-9]+[a-z]?\\b'), '') AS number, list_filter(list_distinct(string_split(a, ' ')), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9]+[a-z]?$') AND w NOT IN ({", ".join(f"'{w}'" for w in PLAIN_STREET_WORDS)})) AS words FROM t),
 country AS (SELECT id, arg_max(n.code, length(n.name)) AS named FROM t JOIN names n ON contains(' ' || f || ' ', ' ' || n.name || ' ') GROUP BY id),
@@ -166,15 +158,15 @@ def merged_candidates(sightings: DataFrame) -> DataFrame:
 _P = "(c_custkey div 3)"
 _FOUND = {
     "turn": "c_custkey",
-    "name": _pick("c_custkey", f"'Café  No. ' || CAST({_P} AS STRING)", f"'CAFE no ' || CAST({_P} AS STRING)", f"CASE WHEN {_P} % 6 = 0 THEN 'n/a' ELSE 'cafe No: ' || CAST({_P} AS STRING) END"),
-    "website": _pick(_P, "'HTTPS://WWW.Site' || CAST(c_custkey div 3 AS STRING) || '.example.org/home/'", None, "CASE WHEN c_custkey % 3 = 0 THEN 'https://site' || CAST(c_custkey div 3 AS STRING) || '.example.org/home' ELSE 'https://www.site' || CAST(c_custkey div 3 AS STRING) || '.example.org/home//?x=1' END", "'not an address'"),
-    "address": _pick(_P, "'12 Main St.'", "CASE WHEN c_custkey % 3 = 1 THEN '7 Rue' ELSE '7, rue' END", "'Long Acre House, Soho'", None, "'9'"),
-    "locality": _pick(_P, "'Oakland'", "'OAKLAND '", "'unknown'"),
-    "region": _pick(_P, "'California'", None, "'ca'", "'Texas'"),
-    "country": _pick(_P, "'United States'", None, "'FRANCE'", "'us'", "'US'"),
-    "email": _pick("c_custkey", None, "'Mail@Example.org'", "'no mail'"),
-    "evidence_1": _pick("c_custkey", f"'https://blog.site' || CAST({_P} AS STRING) || '.example.org/a b#c'", "'mailto:x@y.z'", f"'https://list.example.net/' || CAST({_P} AS STRING)"),
-    "citation": _pick(_P, "'https://site' || CAST(c_custkey div 3 AS STRING) || '.example.org'", "'https://list.example.net/all'", "'https://ample.org/'", None, "'https://example.org/'"),
+    "name": pick("c_custkey", f"'Café  No. ' || CAST({_P} AS STRING)", f"'CAFE no ' || CAST({_P} AS STRING)", f"CASE WHEN {_P} % 6 = 0 THEN 'n/a' ELSE 'cafe No: ' || CAST({_P} AS STRING) END"),
+    "website": pick(_P, "'HTTPS://WWW.Site' || CAST(c_custkey div 3 AS STRING) || '.example.org/home/'", None, "CASE WHEN c_custkey % 3 = 0 THEN 'https://site' || CAST(c_custkey div 3 AS STRING) || '.example.org/home' ELSE 'https://www.site' || CAST(c_custkey div 3 AS STRING) || '.example.org/home//?x=1' END", "'not an address'"),
+    "address": pick(_P, "'12 Main St.'", "CASE WHEN c_custkey % 3 = 1 THEN '7 Rue' ELSE '7, rue' END", "'Long Acre House, Soho'", None, "'9'"),
+    "locality": pick(_P, "'Oakland'", "'OAKLAND '", "'unknown'"),
+    "region": pick(_P, "'California'", None, "'ca'", "'Texas'"),
+    "country": pick(_P, "'United States'", None, "'FRANCE'", "'us'", "'US'"),
+    "email": pick("c_custkey", None, "'Mail@Example.org'", "'no mail'"),
+    "evidence_1": pick("c_custkey", f"'https://blog.site' || CAST({_P} AS STRING) || '.example.org/a b#c'", "'mailto:x@y.z'", f"'https://list.example.net/' || CAST({_P} AS STRING)"),
+    "citation": pick(_P, "'https://site' || CAST(c_custkey div 3 AS STRING) || '.example.org'", "'https://list.example.net/all'", "'https://ample.org/'", None, "'https://example.org/'"),
     "n_offerings": "c_custkey % 4",
 }
 
@@ -191,7 +183,7 @@ _HOST = lambda c: f"regexp_replace(regexp_extract({c}, '^[a-z]+://([^/?]+)', 1),
 _IDENTITY = lambda c: f"trim(regexp_replace(strip_accents(lower(coalesce({c}, ''))), '[^a-z0-9]+', ' ', 'g'))"
 _MAP = lambda codes: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in codes.items()) + "}"
 
-_CANDIDATES = f"""raw AS (SELECT {", ".join(f"{_duck(v)} AS {k}" for k, v in _FOUND.items())} FROM customer),
+_CANDIDATES = f"""raw AS (SELECT {", ".join(f"{duck(v)} AS {k}" for k, v in _FOUND.items())} FROM customer),
 texts AS (SELECT turn, {_SAID('name')} AS name, {_URL('website')} AS website, {_SAID('address')} AS address, {_SAID('locality')} AS locality, upper(coalesce({_SAID('region')}, 'CA')) AS r0, upper(coalesce({_SAID('country')}, 'US')) AS c0, lower(email) AS mail, {_URL('evidence_1')} AS evidence, {_URL('citation')} AS citation, n_offerings FROM raw),
 coded AS (SELECT *, coalesce({_MAP(REGIONS)}[r0], r0) AS region, coalesce({_MAP(COUNTRIES)}[c0], c0) AS country, CASE WHEN regexp_matches(mail, '^[^\\s@]+@[^\\s@]+[.][^\\s@]+$') THEN mail END AS email FROM texts WHERE name IS NOT NULL),
 hosts AS (SELECT *, {_HOST('website')} AS h1, {_HOST('evidence')} AS h2, {_HOST('citation')} AS hc, trim(split_part(address, ',', 1)) AS first FROM coded),
@@ -295,17 +287,17 @@ def registry_matches(clinicians: DataFrame, records: DataFrame, today: str) -> D
 
 
 _K = "c_custkey"
-_FIRST = _pick(_K, "'Ana'", "'Béla'", "'Carl'", "'Dóra'", "'Eve'")
-_LAST = _pick(f"({_K} div 5)", "'Smith-'", "'Lee'", "'Müll'") + " || chr(CAST(97 + c_nationkey AS INT)) || 'er'"
+_FIRST = pick(_K, "'Ana'", "'Béla'", "'Carl'", "'Dóra'", "'Eve'")
+_LAST = pick(f"({_K} div 5)", "'Smith-'", "'Lee'", "'Müll'") + " || chr(CAST(97 + c_nationkey AS INT)) || 'er'"
 _RECORD = {
-    "board": _pick(_K, "'TX'", "'WA'", "'TX'", "'NY'"), "number": f"'L' || CAST({_K} AS STRING)", "first_name": f"{_FIRST} || CASE WHEN {_K} % 7 = 0 THEN ' Maria' ELSE '' END", "last_name": _LAST,
-    "type": _pick(_K, "'Physician License'", "'Osteopathic Physician & Surgeon License'", "'Physician License'", "'Nurse'", "'Physician License'", "'Physician And Surgeon License'", "'Acupuncture'"),
-    "current": f"CASE WHEN {_K} % 2 = 0 THEN " + _pick(_K, "'Y'", "'y'", "'N'") + " ELSE " + _pick(_K, "'Active'", "'ACTIVE'", "'Lapsed'") + " END", "discipline": _pick(_K, "'None'", "'no'", "'NONE'", "'No'", "'none'", "'no'", "'YES'", "'no'"),
-    "degree": _pick(f"({_K} div 2)", "'M.D.'", "'DO'", None), "expires": f"CASE {_K} % 6 WHEN 0 THEN NULL WHEN 1 THEN '2023-12-31' ELSE '2025-06-30' END", "city": _pick(f"({_K} div 3)", "'San José'", "'OAK-LAND'", "'Lyon'"),
+    "board": pick(_K, "'TX'", "'WA'", "'TX'", "'NY'"), "number": f"'L' || CAST({_K} AS STRING)", "first_name": f"{_FIRST} || CASE WHEN {_K} % 7 = 0 THEN ' Maria' ELSE '' END", "last_name": _LAST,
+    "type": pick(_K, "'Physician License'", "'Osteopathic Physician & Surgeon License'", "'Physician License'", "'Nurse'", "'Physician License'", "'Physician And Surgeon License'", "'Acupuncture'"),
+    "current": f"CASE WHEN {_K} % 2 = 0 THEN " + pick(_K, "'Y'", "'y'", "'N'") + " ELSE " + pick(_K, "'Active'", "'ACTIVE'", "'Lapsed'") + " END", "discipline": pick(_K, "'None'", "'no'", "'NONE'", "'No'", "'none'", "'no'", "'YES'", "'no'"),
+    "degree": pick(f"({_K} div 2)", "'M.D.'", "'DO'", None), "expires": f"CASE {_K} % 6 WHEN 0 THEN NULL WHEN 1 THEN '2023-12-31' ELSE '2025-06-30' END", "city": pick(f"({_K} div 3)", "'San José'", "'OAK-LAND'", "'Lyon'"),
 }
 _CLINICIAN = {
-    "id": _K, "board": _pick(_K, "'TX'", "'WA'", "'TX'", "'WA'", "'OR'"), "full_name": _pick(f"({_K} div 4)", f"'Dr. ' || {_FIRST} || ' ' || {_LAST} || ', M.D.'", f"upper({_FIRST} || ' X. ' || {_LAST}) || ' Jr'", f"{_FIRST} || ' ' || {_LAST}", "'Doctor No, MD'"),
-    "credentials": _pick(f"({_K} div 2)", "'M.D., PhD'", None, "'D.O.'"), "locality": _pick(f"({_K} div 3)", "'San Jose'", "'Oakland'", "'LYON'", "''"),
+    "id": _K, "board": pick(_K, "'TX'", "'WA'", "'TX'", "'WA'", "'OR'"), "full_name": pick(f"({_K} div 4)", f"'Dr. ' || {_FIRST} || ' ' || {_LAST} || ', M.D.'", f"upper({_FIRST} || ' X. ' || {_LAST}) || ' Jr'", f"{_FIRST} || ' ' || {_LAST}", "'Doctor No, MD'"),
+    "credentials": pick(f"({_K} div 2)", "'M.D., PhD'", None, "'D.O.'"), "locality": pick(f"({_K} div 3)", "'San Jose'", "'Oakland'", "'LYON'", "''"),
 }
 
 
@@ -319,8 +311,8 @@ _TOKEN = lambda c: f"regexp_replace(strip_accents(lower(coalesce({c}, ''))), '[^
 TODAY = "2024-07-01"
 
 
-@query("d27_registry_matches", f"""WITH people AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey), clinicians AS (SELECT {", ".join(f"{_duck(v)} AS {k}" for k, v in _CLINICIAN.items())} FROM people),
-records AS (SELECT {", ".join(f"{_duck(v)} AS {k}" for k, v in _RECORD.items())} FROM people),
+@query("d27_registry_matches", f"""WITH people AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey), clinicians AS (SELECT {", ".join(f"{duck(v)} AS {k}" for k, v in _CLINICIAN.items())} FROM people),
+records AS (SELECT {", ".join(f"{duck(v)} AS {k}" for k, v in _RECORD.items())} FROM people),
 usable AS (SELECT board, number, {_TOKEN("CASE WHEN board = 'TX' THEN string_split(trim(first_name), ' ')[1] ELSE first_name END")} AS first, {_TOKEN('last_name')} AS last, {_TOKEN('city')} AS city, CASE WHEN board = 'TX' THEN upper({_TOKEN('degree')}) WHEN contains(lower(type), 'osteopathic') THEN 'DO' ELSE 'MD' END AS degree FROM records
   WHERE CASE board WHEN 'TX' THEN type = 'Physician License' AND upper(current) = 'Y' AND upper(discipline) = 'NONE' WHEN 'WA' THEN type IN ({", ".join(f"'{t}'" for t in LICENCE_TYPES["WA"])}) AND lower(current) = 'active' AND lower(discipline) = 'no' ELSE false END AND (expires IS NULL OR expires >= '{TODAY}')),
 words AS (SELECT *, list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(full_name)), '{TITLES}', ' ', 'g'), '{DEGREES}', ' ', 'g'), '[^a-z'' -]+', ' ', 'g')), '\\s+'), lambda w: w <> '' AND w NOT IN ('jr', 'sr', 'ii', 'iii', 'iv')) AS w,
@@ -371,18 +363,18 @@ def trial_summary(response: Column, shown: int = 3) -> Column:
 
 def _study(i: int) -> str:
     k = f"(p_partkey + {i})"
-    status = _pick(k, "'\"RECRUITING\"'", "'\"COMPLETED\"'", "'null'", "'\"ACTIVE_NOT_RECRUITING\"'", "'\"COMPLETED\"'")
+    status = pick(k, "'\"RECRUITING\"'", "'\"COMPLETED\"'", "'null'", "'\"ACTIVE_NOT_RECRUITING\"'", "'\"COMPLETED\"'")
     return (
         f"'{{\"protocolSection\":{{\"identificationModule\":{{\"nctId\":' || CASE WHEN {k} % 13 = 0 THEN 'null' ELSE '\"NCT' || CAST(p_partkey * 10 + {i} AS STRING) || '\"' END || ',\"briefTitle\":\"' || CASE WHEN {k} % 17 = 0 THEN '' ELSE p_name END || '\"}},"
         f"\"statusModule\":{{\"overallStatus\":' || {status} || ',\"lastUpdatePostDateStruct\":{{\"date\":\"2024-0' || CAST({k} % 9 + 1 AS STRING) || '-01\"}}}},\"designModule\":{{\"phases\":[\"PHASE' || CAST({k} % 4 AS STRING) || '\"],"
-        f"\"enrollmentInfo\":{{\"count\":' || " + _pick(k, "'null'", f"CAST({k} % 300 AS STRING)") + f" || '}}}}}},\"hasResults\":' || " + _pick(k, "'true'", "'false'", "'null'") + " || '}'"
+        f"\"enrollmentInfo\":{{\"count\":' || " + pick(k, "'null'", f"CAST({k} % 300 AS STRING)") + f" || '}}}}}},\"hasResults\":' || " + pick(k, "'true'", "'false'", "'null'") + " || '}'"
     )
 
 
-_RESPONSE = "'{\"totalCount\":' || " + _pick("p_partkey", "'null'", "'0'", "CAST(p_size AS STRING)") + " || ',\"studies\":[{}' || " + " || ".join(f"CASE WHEN p_size % 7 > {i} THEN ',' || {_study(i)} ELSE '' END" for i in range(6)) + " || ']}'"
+_RESPONSE = "'{\"totalCount\":' || " + pick("p_partkey", "'null'", "'0'", "CAST(p_size AS STRING)") + " || ',\"studies\":[{}' || " + " || ".join(f"CASE WHEN p_size % 7 > {i} THEN ',' || {_study(i)} ELSE '' END" for i in range(6)) + " || ']}'"
 
 
-@query("a45_trial_summary", f"""WITH t AS (SELECT p_partkey AS id, {_duck(_RESPONSE)} AS j FROM part), s AS (SELECT id, unnest(from_json(j->'studies', '["JSON"]')) AS s, generate_subscripts(from_json(j->'studies', '["JSON"]'), 1) AS turn FROM t),
+@query("a45_trial_summary", f"""WITH t AS (SELECT p_partkey AS id, {duck(_RESPONSE)} AS j FROM part), s AS (SELECT id, unnest(from_json(j->'studies', '["JSON"]')) AS s, generate_subscripts(from_json(j->'studies', '["JSON"]'), 1) AS turn FROM t),
 r AS (SELECT id, turn, s->'protocolSection'->'identificationModule'->>'nctId' AS number, s->'protocolSection'->'identificationModule'->>'briefTitle' AS title, s->'protocolSection'->'statusModule'->>'overallStatus' AS status,
   CAST(s->'protocolSection'->'designModule'->'enrollmentInfo'->>'count' AS DOUBLE) AS enrollment, coalesce(CAST(s->>'hasResults' AS BOOLEAN), false) AS has_results, s->'protocolSection'->'statusModule'->'lastUpdatePostDateStruct'->>'date' AS updated, s->'protocolSection'->'designModule'->'phases'->>0 AS phase FROM s),
 g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS place FROM r WHERE number <> '' AND title <> '' AND status <> ''),

@@ -138,11 +138,6 @@ def d16(spark: SparkSession, d: str) -> DataFrame:
     return o.where("price_amount IS NULL").join(w, ["location_id", "treatment_id"]).select("id", F.col("w.id").alias("winner"))
 
 
-@query("d20_d21_provider_dedupe", sql("SELECT entity_id, task_type, min(id) AS id FROM tasks GROUP BY 1, 2", "tasks"))
-def d20(spark: SparkSession, d: str) -> DataFrame:
-    return tasks(spark, d).groupBy("entity_id", "task_type").agg(F.min("id").alias("id"))
-
-
 @query("q3_drift_gate", sql(", a AS (SELECT id FROM locations WHERE rating IS NULL), b AS (SELECT id FROM locations WHERE rating IS NULL AND id % 50 <> 0), x AS (SELECT count(*) AS n FROM (SELECT id FROM a EXCEPT SELECT id FROM b)), y AS (SELECT count(*) AS n FROM (SELECT id FROM b EXCEPT SELECT id FROM a)) SELECT x.n + y.n AS drift, x.n + y.n = 0 AS ready FROM x, y", "locations"))
 def q3(spark: SparkSession, d: str) -> DataFrame:
     from brightfield.plans.ledgers import drift
@@ -151,11 +146,6 @@ def q3(spark: SparkSession, d: str) -> DataFrame:
     return drift(a, a.where("id % 50 <> 0")).agg(F.count("*").alias("drift"), (F.count("*") == 0).alias("ready"))
 
 
-@query("q16_click_log", "SELECT page_id, CASE WHEN contains(url, '?') THEN regexp_extract(url, '[?](.*)', 1) ELSE '' END AS params, sha256(url) AS agent_hash FROM pages")
-def q16(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", F.regexp_extract("url", "[?](.*)", 1).alias("params"), F.sha2("url", 256).alias("agent_hash"))
-
-
 @query("r1_opening_hours", "SELECT user_id, string_agg(day || ':' || n, ',' ORDER BY day) AS hours FROM (SELECT u.user_id, d.day, coalesce(e.n, 0) AS n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(range(1, 8)) AS day) d LEFT JOIN (SELECT user_id, isodow(ts) AS day, count(*) AS n FROM events GROUP BY 1, 2) e ON e.user_id = u.user_id AND e.day = d.day) GROUP BY 1")
 def r1(spark: SparkSession, d: str) -> DataFrame:
     """Seven days in order for every user: one grouped pass, no cross join."""
@@ -174,13 +164,6 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").where("event_type = 'view'").select("event_id", F.json_array_length(F.concat(F.lit("["), "props", F.lit(",1]"))).alias("n"))
 
 
-@query("r5_metrics", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN CAST(p_size AS DOUBLE) WHEN 2 THEN p_size * 1000000.0 END AS metric FROM part")
-def r5(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    raw = F.when(k == 0, F.concat(n, F.lit("k"))).when(k == 1, F.concat(F.lit("$"), n)).when(k == 2, F.concat(n, F.lit("M"))).otherwise(F.lit("—"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.metric(raw).alias("metric"))
-
-
 @query("s2_case_insensitive", sql("SELECT id, category FROM treatments ORDER BY lower(category), id LIMIT 40", "treatments"))
 def s2(spark: SparkSession, d: str) -> DataFrame:
     return treatments(spark, d).orderBy(F.lower("category"), "id").limit(40).select("id", "category")
