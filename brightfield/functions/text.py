@@ -8,9 +8,31 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters whose compatibility decomposition is a plain letter and marks, and that letter.
-_MARKED = [c for c in map(chr, range(0xC0, 0x2000)) if c.islower() and len(b := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and b != c]
-_PLAIN = [next(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in _MARKED]
+from brightfield.functions.binding import let
+
+
+def _decomposed(c: str) -> str:
+    """The lower-case compatibility decomposition of a character without its marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M")).lower()
+
+
+_LETTERS = [c for c in map(chr, range(0xA0, 0x10000)) if unicodedata.category(c)[0] in "LN" and not 0xAC00 <= ord(c) < 0xD7A4]
+#: Letters and digits whose decomposition is one other character, and that character; those that become several (ligatures).
+_SINGLE = {c: d for c in _LETTERS if len(d := _decomposed(c)) == 1 and d != c.lower() and c == c.lower()}
+_SEVERAL = {c: d for c in _LETTERS if len(d := _decomposed(c)) > 1 and d.isalnum() and c == c.lower()}
+
+
+def _ranges(chars: str) -> str:
+    """A character class of some characters, ascending, as ranges: a long list of single ones is slow to match."""
+    out: list[list[int]] = []
+    for k in map(ord, chars):
+        if out and k == out[-1][1] + 1:
+            out[-1][1] = k
+        else:
+            out.append([k, k])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 # Letters that fold to others without a decomposition.
 _PAIRS = {"æ": "ae", "œ": "oe", "ß": "ss", "ð": "d", "đ": "d", "þ": "th", "ø": "o", "ł": "l", "ı": "i"}
 
@@ -20,11 +42,17 @@ def blank_to_null(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks, composed or not."""
-    plain = F.translate(F.regexp_replace(F.lower(c), "\\p{M}+", ""), "".join(_MARKED), "".join(_PLAIN))
+    """Lower case, compatibility forms as plain letters and digits, without marks, composed or not."""
+    plain = F.translate(F.regexp_replace(F.lower(c), "\\p{M}+", ""), "".join(_SINGLE), "".join(_SINGLE.values()))
+    several = lambda t: F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.try_element_at(_several_map(), x), x)), "")
+    plain = let(plain, lambda t: F.when(t.rlike("[^\\x00-\\x{132}]") & t.rlike(_ranges("".join(_SEVERAL))), several(t)).otherwise(t))
     return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _PAIRS.items(), plain)
 
 
+def _several_map() -> Column:
+    return F.map_from_arrays(F.split(F.lit("".join(_SEVERAL)), ""), F.split(F.lit("\n".join(_SEVERAL.values())), "\n"))
+
+
 def human_text(c: Column) -> Column:
     """Folded words, "&" read as "and", everything but letters and digits as one space."""
     named = F.replace(fold(c), F.lit("&"), F.lit(" and "))
@@ -37,7 +65,7 @@ def alnum_key(c: Column) -> Column:
 
 def search_term(c: Column) -> Column:
     """A query term: plus spelled out, letters and digits parted, iv for intravenous, plurals folded."""
-    t = F.regexp_replace(fold(c), "[™®]", "")
+    t = fold(F.regexp_replace(c, "[™®]", ""))
     t = F.replace(F.replace(t, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" plus "))
     t = F.regexp_replace(F.regexp_replace(t, "([a-z])([0-9])", "$1 $2"), "([0-9])([a-z])", "$1 $2")
     t = F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))

@@ -205,6 +205,17 @@ def c9(spark: SparkSession, d: str) -> DataFrame:
     return files.read_delimited(spark, path).withColumn("id", F.col("id").cast("bigint"))
 
 
+@query("c10_report", "SELECT lower(p_name) || ' ' || p_partkey AS keyword, p_size || ',000' AS avg_monthly_searches, p_type AS competition FROM part WHERE p_partkey % 9 <> 4")
+def c10(spark: SparkSession, d: str) -> DataFrame:
+    """A report with lines of preamble before its header, blank keywords and cells with line breaks, read back by its header."""
+    path = place_for(spark, "report")
+    line = F.format_string('"%s","%s,000",%s,"a\n""b"""', F.when(F.col("p_partkey") % 9 == 4, " ").otherwise(F.concat(F.lower("p_name"), F.lit(" "), F.col("p_partkey").cast("string"))), F.col("p_size").cast("string"), "p_type")
+    body = read(spark, d, "part").select(F.lit(1).alias("turn"), line.alias("value"))
+    head = spark.createDataFrame([(0, 'Keyword report\n"1 Jan - 2 Feb, all"\n\nKeyword,Avg. Monthly Searches (exact),Competition,Note')], "turn int, value string")
+    head.unionByName(body).repartition(1).sortWithinPartitions("turn").select("value").write.text(path)  # a report is one file
+    return files.read_planner(spark, path).select("keyword", F.col("avg_monthly_searches_exact").alias("avg_monthly_searches"), "competition")
+
+
 @query("c11_semicolons", sql("SELECT id, name || ';x' AS name FROM treatments", "treatments"))
 def c11(spark: SparkSession, d: str) -> DataFrame:
     path = place_for(spark, "csv")

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from brightfield.operators.components import written
 
 
-#: Columns of a report that are looked at.
-MOST_COLUMNS = 64
-
-
 def _header(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
@@ -28,11 +24,15 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> Data
 def read_planner(spark: SparkSession, path: str, delimiter: str = ",", needed: tuple[str, ...] = ("keyword", "avg_monthly_searches")) -> DataFrame:
     """A report whose header comes after any lines of preamble: the first row with the needed names; blank keywords go.
 
-    Cells may hold line breaks. Such a report comes as one file, which is read whole by one task; only its header's place and
-    names reach the driver.
+    Cells may hold line breaks. Such a report comes as one file, which is read whole by one task; only its width, its header's place
+    and names reach the driver. The width is that of the widest line; a record over several lines that is wider still is refused.
     """
-    wide = spark.read.csv(path, sep=delimiter, header=False, quote='"', escape='"', multiLine=True, schema=", ".join(f"c{i} string" for i in range(MOST_COLUMNS)))
-    rows = wide.select(F.monotonically_increasing_id().alias("line"), F.array_compact(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("v")) for i in range(MOST_COLUMNS)])).alias("cells"))
+    lines = spark.read.text(path).select((F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit("")))).alias("n"))
+    width = (lines.agg(F.max("n")).first()[0] or 0) // len(delimiter) + 1
+    wide = spark.read.csv(path, sep=delimiter, header=False, quote='"', escape='"', multiLine=True, schema=", ".join(f"c{i} string" for i in range(width + 1)))
+    if not wide.where(F.col(f"c{width}").isNotNull()).isEmpty():
+        raise ValueError(f"a record has more than {width} cells")
+    rows = wide.select(F.monotonically_increasing_id().alias("line"), F.array_compact(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("v")) for i in range(width)])).alias("cells"))
     plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     names = F.transform("cells", lambda x: plain(x["v"]))
     fits = [F.exists(names, lambda x: x.startswith(n)) for n in needed]
@@ -54,10 +54,17 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object a line; lines that are none are left out."""
+    """One object a line; lines that are none are left out, malformed_json_lines() has them."""
     return spark.read.json(path, schema=schema, mode="DROPMALFORMED")
 
 
+def malformed_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(line) of what read_json_lines() leaves out: lines that are not blank and no object of the schema."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
+    read = spark.read.text(path).select(F.col("value").alias("line"), F.from_json("value", f"{schema}, __corrupt string", options).alias("x"))
+    return read.where((F.trim("line") != "") & (F.col("x").isNull() | F.col("x.__corrupt").isNotNull())).select("line")
+
+
 def json_rows(column: Column, schema: str) -> Column:
     """The rows of a JSON array of objects, for ``select(inline(...))``."""
     return F.from_json(column, f"array<struct<{schema}>>")

@@ -28,6 +28,22 @@ def test_report_with_preamble(spark, tmp_path):
         files.read_planner(spark, str(tmp_path / "none.csv"))
 
 
+def test_wide_and_too_wide_reports(spark, tmp_path):
+    names = ",".join(f"n{i}" for i in range(90))
+    (tmp_path / "wide.csv").write_text(f"Report\nKeyword,Avg. monthly searches,{names}\nyoga,5," + ",".join(map(str, range(90))) + "\n")
+    (row,) = files.read_planner(spark, str(tmp_path / "wide.csv")).collect()
+    assert row.n89 == "89" and len(row) == 92
+    (tmp_path / "more.csv").write_text('Keyword,Avg. monthly searches\n"a\nb",1,"c\nd",2\n')
+    with pytest.raises(ValueError):
+        files.read_planner(spark, str(tmp_path / "more.csv"))
+
+
+def test_malformed_lines_are_told(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": 1}\n{broken\n\n[1]\n{"a": "no"}\n{"b": 2}\n')
+    assert sorted(r.a for r in files.read_json_lines(spark, str(tmp_path / "x.json"), "a int").collect() if r.a is not None) == [1]
+    assert {r.line for r in files.malformed_json_lines(spark, str(tmp_path / "x.json"), "a int").collect()} >= {"{broken", '{"a": "no"}'}
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a", ["x"], False), (2, None, ["y"], False)], "id int, v string, tags array<string>, flag boolean")
     new = spark.createDataFrame([(2, "b", ["a", "y"], True), (3, "c", ["z"], False)], "id int, v string, tags array<string>, flag boolean")
