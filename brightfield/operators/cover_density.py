@@ -4,8 +4,9 @@ A query is a list of groups: a document must hold a word of every group, and non
 of words that holds a word of every group; it counts the harmonic mean of its query words' weights, divided by one more than the
 number of other words in it. A document's rank is the sum over its covers, so that query words close together count more.
 
-Words with their positions meet the words of the queries in an equi-join; only those hits are shuffled, by query and document, and
-the covers of a document are found in one pass over its hits: a cover ends at the first hit for which its beginning moves on.
+Words of documents meet the words of the queries in an equi-join, once for each document and word, which tells the documents that a
+query matches; only then do their positions join, once for each document, however many queries match it. The covers of a document
+are found in one pass over its hits: a cover ends at the first hit for which its beginning moves on.
 """
 
 from __future__ import annotations
@@ -74,9 +75,12 @@ def ranked_matches(documents: DataFrame, queries: DataFrame, id_column: str = "i
     """(keys, id, covers, rank) of every document that a query matches. ``documents``: id and words, as from weighted_words()."""
     words = query_words(queries, keys)
     placed = documents.select(F.col(id_column).alias("id"), F.posexplode("words").alias("position", "x")).select("id", "position", "x.word", "x.weight")
-    hits = placed.join(words, "word")
-    hit = F.struct("position", "part", F.col("weight").alias("weight"))
-    met = hits.groupBy(*keys, "parts", "id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
-    held = F.array_distinct(F.transform("hits", lambda h: h["part"]))
-    met = met.where((F.size(held) == F.col("parts")) & ~F.array_contains(held, _EXCLUDED))
+    hits = placed.join(words.select("word").distinct(), "word", "left_semi")
+    per_word = hits.groupBy("id", "word").agg(F.collect_list(F.struct("position", "weight")).alias("places"))
+    held = per_word.select("id", "word").join(words, "word").groupBy(*keys, "parts", "id").agg(F.collect_set("part").alias("held"))
+    matched = held.where((F.size("held") == F.col("parts")) & ~F.array_contains("held", _EXCLUDED)).select(*keys, "parts", "id")
+    by_document = per_word.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("places"))
+    wanted = words.where(F.col("part") >= 0).groupBy(*keys).agg(F.collect_list(F.struct("word", "part")).alias("wanted"))
+    of_word = lambda places, w: F.transform(F.coalesce(F.try_element_at(places, w["word"]), F.array().cast("array<struct<position:int,weight:double>>")), lambda p: F.struct(p["position"].alias("position"), w["part"].alias("part"), p["weight"].alias("weight")))
+    met = matched.join(wanted, list(keys)).join(by_document, "id").withColumn("hits", F.sort_array(F.flatten(F.transform("wanted", lambda w: of_word(F.col("places"), w)))))
     return met.select(*keys, "id", _covers(F.col("hits"), F.col("parts")).alias("x")).select(*keys, "id", "x.covers", "x.rank")

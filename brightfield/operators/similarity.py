@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightfield.operators.ranges import positions
+
 
 def representatives(df: DataFrame, *keys: str, id_column: str = "id") -> DataFrame:
     """One row per combination of keys: the least id that has it, and how many rows do."""
@@ -22,11 +24,13 @@ def representatives(df: DataFrame, *keys: str, id_column: str = "id") -> DataFra
 
 
 def rare_first(sets: DataFrame, members: str = "grams", id_column: str = "id") -> DataFrame:
-    """``sets`` with their distinct members ordered by how many sets hold them, then by themselves. Empty and null sets go."""
+    """``sets`` with their distinct members as numbers, ascending: the rarer a member the smaller, ties by themselves. Empty and null sets
+    go."""
     each = sets.select(id_column, F.explode(F.array_distinct(F.col(members))).alias("member")).where(F.col("member").isNotNull())
-    held = each.groupBy("member").agg(F.count("*").alias("held"))
-    ordered = each.join(held, "member").groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("held", "member"))).alias("x"))
-    return sets.drop(members).join(ordered.select(id_column, F.col("x.member").alias(members)), id_column)
+    held = each.groupBy("member").agg(F.count("*").alias("held")).withColumn("every", F.lit(0))
+    ranks = positions(held, ["every"], ["held", "member"], "rank").select("member", "rank")
+    ordered = each.join(ranks, "member").groupBy(id_column).agg(F.sort_array(F.collect_list("rank")).alias(members))
+    return sets.drop(members).join(ordered, id_column)
 
 
 def _least_shared(size: Column, percent: int) -> Column:
@@ -48,13 +52,17 @@ def similar_pairs(left: DataFrame, right: DataFrame, percent: int, on: Sequence[
         some = df.select(F.col(id_column).alias(k), *on, F.col(members).alias(f"all_{k}"), size.alias(f"size_{k}"))
         some = some.where(F.col(f"size_{k}") > 0)
         first = F.slice(f"all_{k}", F.lit(1), F.col(f"size_{k}") - _least_shared(F.col(f"size_{k}"), percent) + 1)
-        return some.withColumn(f"first_{k}", first).withColumn("member", F.explode(f"first_{k}"))
+        some = some.withColumn(f"first_{k}", first)
+        return some.select("*", F.posexplode(f"first_{k}").alias(f"place_{k}", "member"))
 
     a = side(left, "a")
     sizes = F.sequence(_least_shared(F.col("size_a"), percent), F.floor(F.col("size_a") * 100 / F.lit(percent)).cast("int"))
     a = a.withColumn("size", F.explode(sizes))
     b = side(right, "b").withColumn("size", F.col("size_b"))
     met = a.join(b, [*on, "member", "size"]).where("a < b")
+    # Nothing before the first shared member is shared: what follows it must suffice.
+    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    met = met.where((100 + percent) * rest >= percent * (F.col("size_a") + F.col("size_b")))
     met = met.where(F.array_intersect("first_a", "first_b")[0] == F.col("member"))
     shared = F.size(F.array_intersect("all_a", "all_b"))
     pairs = met.select("a", "b", shared.alias("shared"), "size_a", "size_b")
