@@ -314,6 +314,17 @@ def fit_detector(spark: SparkSession, number: int = EXAMPLES) -> Detector:
     return detector
 
 
+_fitted: dict[tuple[str, int], Detector] = {}
+
+
+def detector_of(spark: SparkSession, number: int = EXAMPLES) -> Detector:
+    """The detector of an application, fitted once: its examples do not depend on any table."""
+    key = (spark.sparkContext.applicationId, number)
+    if key not in _fitted:
+        _fitted[key] = fit_detector(spark, number)
+    return _fitted[key]
+
+
 def detect(docs: DataFrame, detector: Detector, keep: list[str] | None = None) -> DataFrame:
     """``doc`` (a struct of the kept columns), ``text``, ``base`` and ``added`` spans, both by start."""
     kept = docs.columns if keep is None else keep
@@ -335,7 +346,7 @@ def _written(spans: Column) -> Column:
 
 def spans(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans."""
-    found = detect(docs, detector or fit_detector(docs.sparkSession), ["doc_id"])
+    found = detect(docs, detector or detector_of(docs.sparkSession), ["doc_id"])
 
     def number(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
@@ -346,7 +357,7 @@ def spans(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; a null text stays null. n_chars, if there, follows."""
-    found = detect(docs, detector or fit_detector(docs.sparkSession))
+    found = detect(docs, detector or detector_of(docs.sparkSession))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     every = F.array_sort(F.concat("base", "added"))
     # A span that starts inside an earlier one only moves that one's end on.
