@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brightfield.functions import dates, geo, pricing, text
+from brightfield.functions import dates, geo, text
 from brightfield.operators import cover_density
 from brightfield.operators.components import components
 from brightfield.operators.ranges import positions

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brightfield.functions import geo, pricing
 from brightfield.plans.search import PAGE_SIZE, SearchRequest, visitor_rank
 from brightfield.registry import query
-from brightfield.roles import active, locations, offerings, sql, tasks, treatments
+from brightfield.roles import active, locations, offerings, sql, treatments
 
 _MILES = "2 * 3958.7613 * asin(least(1.0, sqrt(pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightfield.functions import evidence, geo, pricing, text
+from brightfield.functions import geo, pricing, text
 from brightfield.operators.similarity import dice_of, dice_percent, rare_first, similar_pairs
 from brightfield.registry import query
 from brightfield.roles import locations, offerings, read, sql, tasks, treatments

@@ -16,7 +16,7 @@ from brightfield.functions.binding import let
 from brightfield.plans import crawl
 from brightfield.raw import duck, made, made_sql, pick
 from brightfield.registry import query
-from brightfield.roles import active, locations, offerings, read, sql, treatments
+from brightfield.roles import active, locations, offerings, read, sql
 
 _K, _P, _S = "c_custkey", "p_partkey", "s_suppkey"
 _FOLD = "strip_accents(lower(coalesce({c}, '')))"
@@ -354,7 +354,7 @@ names AS (SELECT min(p_partkey) AS treatment_id, lower(p_name) AS name FROM part
 def x7(spark: SparkSession, d: str) -> DataFrame:
     """The treatments that a page names. Phrases of a page as long as the names are meet them in an equi-join."""
     names = read(spark, d, "part").groupBy(geocoding.plain(F.col("p_name")).alias("phrase")).agg(F.min("p_partkey").alias("treatment_id"))
-    lengths = [r.n for r in names.select(F.size(F.split("phrase", " ")).alias("n")).distinct().where("n < 12").collect()]  # few
+    lengths = [r.n for r in names.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()]  # few
     words = crawl.crawled(spark, d).select("page_id", F.split(geocoding.plain(markup.visible_text(F.col("html"))), " ").alias("w"))
     of_length = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
     phrases = F.flatten(F.array(*map(of_length, lengths)))
