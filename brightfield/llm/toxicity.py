@@ -101,6 +101,23 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _self_kernel(a: np.ndarray) -> np.ndarray:
+    """_kernel() of the rows with themselves: what it sums is symmetric, so half of it is enough."""
+    n, width = len(a), a.shape[1]
+    before, total = np.ones((width + 1, width + 1, n)), np.zeros(n)
+    for order in range(ORDER):
+        after, total = np.zeros((width + 1, width + 1, n)), np.zeros(n)
+        for i in range(order + 1, width + 1):
+            run = np.zeros(n)
+            for j in range(order + 1, i + 1):
+                hit = (a[:, i - 1] == a[:, j - 1]) * before[i - 1, j - 1] * DECAY**2
+                total += hit if j == i else 2 * hit
+                run = DECAY * run + hit
+                after[i, j] = DECAY * (after[i - 1, j] if j < i else after[i, i - 1]) + run
+        before = after
+    return total
+
+
 @lru_cache(maxsize=64)
 def _places(length: int) -> list[tuple[int, int, int, float]]:
     return [(i, j, k, DECAY ** (k - i + 1)) for i, j, k in combinations(range(length), ORDER)]
@@ -139,12 +156,18 @@ class Subsequences:
         for k, w in enumerate(words):
             if len(w) >= ORDER:
                 by_length.setdefault(len(w), []).append(k)
+        width, flat, triples = self.triple.shape[1], weights.ndim == 1, self.triple.ravel()
+        by_place = weights[triples] if flat else None  # the weight of a pair's number and a letter
         for length, mine in by_length.items():
             codes = _codes([words[k] for k in mine])
-            letters, total = self._letters(codes), np.zeros((len(mine), *weights.shape[1:]))
+            letters, total = self._letters(codes).T.copy(), np.zeros((len(mine), *weights.shape[1:]))
+            pairs: dict[tuple[int, int], np.ndarray] = {}
             for i, j, k, decay in _places(length):
-                total += decay * weights[self.triple[self.pair[letters[:, i], letters[:, j]], letters[:, k]]]
-            norm = np.sqrt(np.maximum(_kernel(codes, codes), 1e-12))
+                if (i, j) not in pairs:
+                    pairs[i, j] = self.pair[letters[i], letters[j]] * width
+                at = pairs[i, j] + letters[k]
+                total += decay * (by_place.take(at) if flat else weights[triples.take(at)])
+            norm = np.sqrt(np.maximum(_self_kernel(codes), 1e-12))
             out[mine] = total / norm.reshape(-1, *[1] * (total.ndim - 1))
         return out
 

@@ -97,3 +97,10 @@ def test_detector_is_fitted_once(spark, monkeypatch):
 def test_held_out_rows_are_a_fifth_by_hash(spark):
     rows = quality.scored(table(spark, SF, "documents"), table(spark, SF, "labels")).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows) and re.match("0|1", str(rows[0].predicted))
+
+
+def test_half_of_a_kernel_is_enough():
+    rng = np.random.default_rng(1)
+    for length in range(3, 14):
+        codes = rng.integers(0, 4, (40, length)).astype(np.int32)
+        assert np.allclose(toxicity._self_kernel(codes), toxicity._kernel(codes, codes), rtol=1e-12)
