@@ -102,14 +102,16 @@ _EXTRACTED = {
 }
 
 
+_MENU_PAGES = {"url": "'https://h' || CAST(c_custkey % 6 AS STRING) || '.example.org/menu'", "t": "'We offer Red  widget 30 min, and small ring. Blue bolt (new patient); widget! gadget deluxe ' || CAST(c_custkey % 50 AS STRING)"}
+
+
 def _menu_pages(spark: SparkSession, d: str) -> DataFrame:
-    """A page of every fourth host: all that is offered there."""
-    texts = F.expr("'We offer Red  widget 30 min, and small ring. Blue bolt (new patient); widget! gadget deluxe ' || CAST(c_custkey % 50 AS STRING)")
-    rows = read(spark, d, "customer").where("c_custkey % 8 < 6").select(F.expr("'https://h' || CAST(c_custkey % 8 AS STRING) || '.example.org/menu'").alias("url"), texts.alias("t"))
-    return rows.distinct().groupBy("url").agg(F.array_join(F.sort_array(F.collect_list("t")), " ").alias("content"))
+    """One page for each of six hosts, with all that its customers are told; offerings name two hosts more, which were not crawled."""
+    rows = made(read(spark, d, "customer"), _MENU_PAGES).distinct()
+    return rows.groupBy("url").agg(F.array_join(F.sort_array(F.collect_list("t")), " ").alias("content"))  # fifty texts at most
 
 
-@query("x3_offering_decisions", f"""WITH raw AS ({made_sql(_EXTRACTED, 'customer')}), pages AS (SELECT url, string_agg(t, ' ' ORDER BY t) AS content FROM (SELECT DISTINCT 'https://h' || CAST(c_custkey % 8 AS VARCHAR) || '.example.org/menu' AS url, 'We offer Red  widget 30 min, and small ring. Blue bolt (new patient); widget! gadget deluxe ' || CAST(c_custkey % 50 AS VARCHAR) AS t FROM customer WHERE c_custkey % 8 < 6) GROUP BY 1),
+@query("x3_offering_decisions", f"""WITH raw AS ({made_sql(_EXTRACTED, 'customer')}), pages AS (SELECT url, string_agg(t, ' ' ORDER BY t) AS content FROM (SELECT DISTINCT * FROM ({made_sql(_MENU_PAGES, 'customer')})) GROUP BY 1),
 mapped AS (SELECT {_menu_sql('p_name')} AS term, min(p_partkey) AS treatment_id FROM part GROUP BY 1), t AS (SELECT raw.*, CASE WHEN trim(name) <> '' THEN {_menu_sql('name')} END AS term, content, {_WORDS.format(c='evidence')} AS e, {_WORDS.format(c='content')} AS p, {_WORDS.format(c='name')} AS n FROM raw LEFT JOIN pages ON url = source),
 j AS (SELECT t.*, treatment_id, CASE WHEN coalesce(term, '') = '' THEN 'missing_or_invalid_name' WHEN NOT coalesce(confidence >= 0.85 AND confidence <= 1, false) THEN 'below_confidence_threshold' WHEN term IN ({", ".join(f"'{x}'" for x in NAVIGATION)}) THEN 'generic_or_navigation_label'
   WHEN content IS NULL THEN 'source_page_not_crawled' WHEN e = '' OR NOT contains(p, e) THEN 'evidence_not_found_on_page' WHEN NOT contains(e, n) THEN 'service_name_not_in_evidence' WHEN NOT contains(term, ' ') AND treatment_id IS NULL THEN 'unmapped_single_word_not_specific' END AS reason FROM t LEFT JOIN mapped USING (term)),
