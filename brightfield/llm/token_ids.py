@@ -36,8 +36,9 @@ _BLANKS = (" ", "\n")
 #: Characters that a full stop or comma may be cut off, if the file agrees: letters and digits of Latin scripts.
 _LETTERS = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c) in ("Lu", "Ll", "Nd"))
 #: What no text that is cut at blanks may hold in a byte-level file; it includes _CUT.
-_OTHER_BLANKS = re.compile(r"[^\S \n]")
-_BLANK_RUNS = re.compile(r"[ \n]{2}|\A[ \n]|[ \n]\Z")
+_OTHER_BLANKS = [c for c in map(chr, range(0x10000)) if c.isspace() and c not in " \n"]
+_PLAIN_BLANKS = [c for c in _OTHER_BLANKS if c.isascii()]
+_BLANK_RUNS = ("  ", " \n", "\n ", "\n\n")
 _BLANK_AND_WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _CUT = "\x1e"
 
@@ -118,9 +119,9 @@ class Encoder:
     def _split(self, text: str) -> list[str]:
         if self.by_word:
             return self.mark.sub(" ", text).replace("\n", " ").split(" ") if self.mark else text.replace("\n", " ").split(" ")
-        if _OTHER_BLANKS.search(text):
+        if any(c in text for c in (_PLAIN_BLANKS if text.isascii() else _OTHER_BLANKS)):
             return [text]
-        if _BLANK_RUNS.search(text):
+        if text[:1] in _BLANKS or text[-1:] in _BLANKS or any(run in text for run in _BLANK_RUNS):
             return _BLANK_AND_WORD.findall(text)
         text = self.mark.sub(_CUT, text) if self.mark else text
         return text.replace(" ", _CUT + " ").replace("\n", _CUT + "\n").split(_CUT)
