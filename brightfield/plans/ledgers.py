@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightfield.functions import pricing
 from brightfield.operators.ranges import rolling
 from brightfield.registry import query
-from brightfield.roles import active, locations, offerings, read, reviews, sql, tasks, treatments
+from brightfield.roles import active, import_in_workers, locations, offerings, read, reviews, sql, tasks, treatments
 
 # ---- windows ----
 
@@ -189,16 +194,43 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("country_code", "field").agg(ok.alias("covered"), F.count_if(~F.col("ok")).alias("missing"), (F.floor(10000.0 * ok / F.count("*") + 0.5) / 100).alias("pct"))
 
 
-@query("a26_gap_cohorts", sql(_COVERAGE + ", g AS (SELECT country_code, 'rating' AS gap, id FROM coverage WHERE NOT has_rating UNION ALL SELECT country_code, 'price', id FROM coverage WHERE has_menu AND NOT has_price UNION ALL SELECT country_code, 'reviews', id FROM coverage WHERE coalesce(review_count, 0) < 3) SELECT country_code, gap, count(*) AS n, CAST(sum(CAST(CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM g GROUP BY 1, 2", "locations", "offerings"))
+@query("a26_gap_cohorts", sql(_COVERAGE + ", g AS (SELECT country_code, 'rating' AS gap, id FROM coverage WHERE NOT has_rating UNION ALL SELECT country_code, 'price', id FROM coverage WHERE has_menu AND NOT has_price UNION ALL SELECT country_code, 'reviews', id FROM coverage WHERE coalesce(review_count, 0) < 3) SELECT country_code, gap, count(*) AS n, sha256(string_agg(id, ',' ORDER BY id)) AS digest FROM g GROUP BY 1, 2", "locations", "offerings"))
 def a26(spark: SparkSession, d: str) -> DataFrame:
     gaps = F.array_compact(F.array(F.when(~F.col("has_rating"), F.lit("rating")), F.when(F.col("has_menu") & ~F.col("has_price"), F.lit("price")), F.when(F.coalesce("review_count", F.lit(0)) < 3, F.lit("reviews"))))
-    g = coverage(spark, d).select("country_code", F.explode(gaps).alias("gap"), "id").groupBy("country_code", "gap")
-    return g.agg(F.count("*").alias("n"), order_free_digest(F.col("id")).alias("digest"))
-
-
-def order_free_digest(c: Column) -> Column:
-    """The sum of 60 bits of each value's hash: equal for equal sets in any order, and combined before the shuffle."""
-    return F.sum(F.conv(F.substring(F.md5(c.cast("string")), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return ordered_digests(coverage(spark, d).select("country_code", F.explode(gaps).alias("gap"), "id"))
+
+
+def ordered_digests(cohorts: DataFrame) -> DataFrame:
+    """(country_code, gap, n, digest): SHA-256 of the ids of a cohort, ascending and comma-joined.
+
+    The rows of a cohort pass by in order and go into the digest at once, so no row or task holds a cohort's ids together.
+    """
+    import_in_workers(cohorts.sparkSession)
+    keys = ["country_code", "gap"]
+    ordered = cohorts.select(*keys, "id").repartition(*keys).sortWithinPartitions(*keys, "id")
+    return ordered.mapInArrow(_digests_of_runs, "country_code string, gap string, n long, digest string")
+
+
+def _digests_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ["country_code", "gap", "n", "digest"], (pa.string(), pa.string(), pa.int64(), pa.string())
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    key, n, known, sha = None, 0, 0, hashlib.sha256()
+    for batch in batches:
+        done = []
+        country, gap, ids = (c.to_pylist() for c in batch.columns)
+        for k, run in groupby(range(len(ids)), lambda i: (country[i], gap[i])):
+            if k != key:
+                if n:
+                    done.append((*key, n, sha.hexdigest() if known else None))
+                key, n, known, sha = k, 0, 0, hashlib.sha256()
+            rows = [ids[i] for i in run]
+            some = [str(x) for x in rows if x is not None]
+            sha.update(("," * (known > 0 and len(some) > 0) + ",".join(some)).encode())
+            n, known = n + len(rows), known + len(some)
+        if done:
+            yield batch_of(done)
+    if n:
+        yield batch_of([(*key, n, sha.hexdigest() if known else None)])
 
 
 @query("q1_stratified_sample", sql(", s AS (SELECT id, country_code, row_number() OVER (PARTITION BY country_code ORDER BY md5('seed1:' || country_code || ':' || id), id) AS turn FROM locations WHERE status = 'active') SELECT id, country_code FROM s WHERE turn <= 8", "locations"))
