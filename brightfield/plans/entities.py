@@ -9,7 +9,7 @@ from brightfield.functions import dates, geo, text
 from brightfield.operators import cover_density
 from brightfield.operators.components import components
 from brightfield.operators.ranges import positions
-from brightfield.operators.similarity import jaccard_of, rare_first, representatives, similar_pairs
+from brightfield.operators.similarity import jaccard_of, rare_first, representatives, similar_pairs, similar_short_sets
 from brightfield.registry import query
 from brightfield.roles import active, locations, offerings, organizations, read, sql, treatments
 
@@ -279,8 +279,7 @@ n AS (SELECT t, {_GRAMS.format(c="t")} AS g FROM t WHERE t <> '')"""
 def n5(spark: SparkSession, d: str) -> DataFrame:
     """Titles of pages that share most word trigrams; every title comes once."""
     t = read(spark, d, "pages").select(F.lower(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("id")).where("id <> ''").distinct()
-    known = rare_first(t.withColumn("grams", text.word_trigrams(F.col("id"))))
-    pairs = similar_pairs(known, known, 45)
+    pairs = similar_short_sets(t.withColumn("grams", text.word_trigrams(F.col("id"))), 45)
     return pairs.select("a", "b", F.round(jaccard_of(pairs), 6).alias("similarity"))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from brightfield.operators.similarity import dice_percent, jaccard_of, rare_first, representatives, similar_pairs
+from brightfield.operators.similarity import dice_percent, jaccard_of, rare_first, representatives, similar_pairs, similar_short_sets
 from brightfield.plans.entities import nearby_namesakes
 from tests.test_plans import km
 
@@ -98,3 +98,15 @@ def test_nearby_namesakes_by_brute_force(spark):
     assert want and found == want
     assert any(n > 300 for pair in want.values() for n in pair)
     assert representatives(df, "name", "country_code", "latitude", "longitude").count() == len(reps)
+
+
+@pytest.mark.parametrize("percent", [1, 45, 85, 100])
+def test_similar_short_sets_by_brute_force(spark, percent):
+    """Blocks of 30 sets, so that many meet; null and empty sets go."""
+    made = sets(percent, 110)
+    df = spark.createDataFrame([(k, m + m[:1] + [None]) for k, m in enumerate(made)] + [(900, None), (901, [None])], "id long, grams array<string>")
+    pairs = similar_short_sets(df, percent, block=30)
+    found = {(r.a, r.b): (r.shared, r.size_a, r.size_b) for r in pairs.collect()}
+    want = brute(made, percent)
+    assert found == {(a, b): (len(set(made[a]) & set(made[b])), len(made[a]), len(made[b])) for a, b in want}
+    assert similar_short_sets(df.limit(0), percent).count() == 0
