@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brightfield.functions import dates, geo, text
 from brightfield.operators import cover_density
-from brightfield.operators.components import components
+from brightfield.operators.components import components, written
 from brightfield.operators.ranges import positions
 from brightfield.operators.similarity import jaccard_of, rare_first, representatives, similar_pairs, similar_short_sets
 from brightfield.registry import query
@@ -54,12 +54,13 @@ def nearby_namesakes(places: DataFrame, km: float, percent: int) -> DataFrame:
     Places that share name and coordinates are one, with the number of its copies. Grid cells around a place and the rarest trigrams
     of its name are one join key, so neither a town full of places nor a common name makes all pairs meet.
     """
-    reps = representatives(places, "name", "country_code", "latitude", "longitude")
-    known = rare_first(reps.withColumn("grams", text.word_trigrams(F.col("name"))).withColumn("country", F.coalesce("country_code", F.lit(""))))
-    left = geo.around_cells(known, "latitude", "longitude", km)
-    pairs = similar_pairs(left, geo.in_cell(known, "latitude", "longitude", km), percent, on=("row", "col", "country"))
-    of = lambda k: reps.select(F.col("id").alias(k), F.col("copies").alias(f"copies_{k}"), F.col("latitude").alias(f"lat_{k}"), F.col("longitude").alias(f"lon_{k}"), text.slug(F.col("name")).alias(f"slug_{k}"))
-    pairs = pairs.withColumn("similarity", jaccard_of(pairs)).join(of("a"), "a").join(of("b"), "b")
+    reps = written(representatives(places, "name", "country_code", "latitude", "longitude"), "places")
+    known = written(rare_first(reps.select("id", "country_code", "latitude", "longitude", text.word_trigrams(F.col("name")).alias("grams"))), "names")
+    cell = F.xxhash64("row", "col", F.coalesce("country_code", F.lit(""))).alias("cell")  # of countries and distances only those that agree stay
+    left = geo.around_cells(known, "latitude", "longitude", km).select("id", cell, "grams")
+    pairs = similar_pairs(left, geo.in_cell(known, "latitude", "longitude", km).select("id", cell, "grams"), percent, on=("cell",))
+    of = lambda k: reps.select(F.col("id").alias(k), F.coalesce("country_code", F.lit("")).alias(f"country_{k}"), F.col("copies").alias(f"copies_{k}"), F.col("latitude").alias(f"lat_{k}"), F.col("longitude").alias(f"lon_{k}"), text.slug(F.col("name")).alias(f"slug_{k}"))
+    pairs = pairs.withColumn("similarity", jaccard_of(pairs)).join(of("a"), "a").join(of("b"), "b").where("country_a = country_b")
     pairs = pairs.withColumn("metres", geo.metres(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("metres") <= km * 1000)
     bare = lambda k: F.regexp_replace(f"slug_{k}", "-[0-9]+$", "")
     return pairs.where((F.col("slug_a") != bare("b")) & (F.col("slug_b") != bare("a")))

@@ -110,3 +110,10 @@ def test_similar_short_sets_by_brute_force(spark, percent):
     want = brute(made, percent)
     assert found == {(a, b): (len(set(made[a]) & set(made[b])), len(made[a]), len(made[b])) for a, b in want}
     assert similar_short_sets(df.limit(0), percent).count() == 0
+
+
+def test_only_numbers_meet(spark):
+    """What is exploded and joined on members holds no lists of members: these join the pairs that are left."""
+    known = rare_first(spark.createDataFrame([(k, m) for k, m in enumerate(sets(1, 20))], "id long, grams array<string>"))
+    plan = similar_pairs(known, known, 85)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect(first_a" not in plan and "array_intersect(all_a" in plan
