@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brightfield.functions.text import blank_to_null
 from brightfield.plans.search import descendants
 from brightfield.registry import query
-from brightfield.roles import active, locations, offerings, organizations, read, reviews, sql, treatments
+from brightfield.roles import active, locations, offerings, organizations, read, reviews, sql, supplied, treatments
 
 # ---- joins ----
 
@@ -322,7 +322,7 @@ def a43(spark: SparkSession, d: str) -> DataFrame:
 @query("a44_hubs", sql(", s AS (SELECT treatment_id AS id, country_code AS city, count(DISTINCT l.id) AS n FROM offerings o JOIN locations l ON l.id = o.location_id GROUP BY 1, 2) SELECT t.id, CAST(coalesce(sum(n), 0) AS BIGINT) AS total, coalesce(string_agg(city || ':' || n, ',' ORDER BY city), '') AS cities FROM treatments t LEFT JOIN s USING (id) GROUP BY 1", "treatments", "offerings", "locations"))
 def a44(spark: SparkSession, d: str) -> DataFrame:
     l = locations(spark, d).select(F.col("id").alias("location_id"), F.col("country_code").alias("city"))
-    s = offerings(spark, d).join(l, "location_id").groupBy(F.col("treatment_id").alias("id"), "city").agg(F.count_distinct("location_id").alias("n"))
+    s = supplied(spark, d, l).groupBy(F.col("treatment_id").alias("id"), "city").agg(F.count("*").alias("n"))
     h = s.groupBy("id").agg(F.sum("n").alias("total"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("city", "n"))), lambda x: F.concat_ws(":", x["city"], x["n"].cast("string"))), ",").alias("cities"))
     return treatments(spark, d).select("id").join(h, "id", "left").fillna({"total": 0, "cities": ""})
 

@@ -6,6 +6,7 @@ location's orders, treatments are parts in a tree, reviews are documents, tasks
 
 from __future__ import annotations
 
+import math
 import os
 from pathlib import Path
 
@@ -45,6 +46,27 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of a task where dealt() deals them out.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about so many rows, hashed by keys to as many tasks as leave each TASK_ROWS of them; adaptive execution would make a few
+    large tasks of narrow rows, as it goes by their compressed bytes."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)), *keys)
+
+
+def supplied(spark: SparkSession, sf_dir: str, places: DataFrame) -> DataFrame:
+    """(treatment_id, and the columns of ``places``) once for every treatment that one of the places (location_id, ...) offers.
+
+    Places meet the orders, which are fewer than the lines.
+    """
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("treatment_id"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("location_id")).join(places, "location_id")
+    pairs = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("treatment_id", *places.columns)
+    return dealt(pairs, line.count(), "treatment_id", "location_id").distinct()
+
+
 def organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("org_id"), F.col("s_name").alias("canonical_name"), F.col("s_nationkey").alias("nation"))
 
