@@ -341,4 +341,4 @@ def a47(spark: SparkSession, d: str) -> DataFrame:
 @query("e19_treatment_city_supply", sql("SELECT o.treatment_id, l.locality, l.country_code, count(DISTINCT l.id) AS n FROM offerings o JOIN locations l ON l.id = o.location_id WHERE l.status = 'active' AND NOT l.is_virtual GROUP BY 1, 2, 3 HAVING count(DISTINCT l.id) >= 2", "offerings", "locations"))
 def e19(spark: SparkSession, d: str) -> DataFrame:
     l = active(locations(spark, d)).where("NOT is_virtual").select(F.col("id").alias("location_id"), "locality", "country_code")
-    return offerings(spark, d).join(l, "location_id").groupBy("treatment_id", "locality", "country_code").agg(F.count_distinct("location_id").alias("n")).where("n >= 2")
+    return supplied(spark, d, l).groupBy("treatment_id", "locality", "country_code").agg(F.count("*").alias("n")).where("n >= 2")
