@@ -190,8 +190,13 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j5_substring_join", sql(", p AS (SELECT DISTINCT lower(substr(name, 1, 4)) AS term FROM treatments) SELECT t.id, p.term FROM treatments t JOIN p ON contains(lower(t.name), p.term)", "treatments"))
 def j5_substring(spark: SparkSession, d: str) -> DataFrame:
-    """Names that contain a term: candidates share the term's first trigram, an equi-join; then the terms are looked for."""
+    """Names that contain a term: candidates share the term's first trigram, an equi-join of distinct names; then the terms are looked for.
+
+    What is exploded is never broadcast: its size is not known before.
+    """
     t = treatments(spark, d).select("id", F.lower("name").alias("name"))
-    terms = t.select(F.substring("name", 1, 4).alias("term")).distinct().withColumn("gram", F.substring("term", 1, 3))
+    names = t.select("name").distinct()
+    terms = names.select(F.substring("name", 1, 4).alias("term")).distinct().withColumn("gram", F.substring("term", 1, 3))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 2, F.lit(1))), lambda i: F.substring("name", i, F.lit(3))))
-    return t.withColumn("gram", F.explode(grams)).join(terms, "gram").where(F.col("name").contains(F.col("term"))).select("id", "term")
+    held = names.withColumn("gram", F.explode(grams)).hint("merge").join(terms, "gram").where(F.col("name").contains(F.col("term"))).select("name", "term")
+    return t.hint("merge").join(held, "name").select("id", "term")
