@@ -516,11 +516,16 @@ def searched(queries: DataFrame, names: DataFrame, places: DataFrame, offers: Da
     """(q, treatment_id, location_id, least): for a query that names one treatment the active places that offer it, with its least
     price; for any other the places whose name holds all of its words."""
     known = resolved_terms(queries, names)
-    by_term = known.join(offers.groupBy("treatment_id", "location_id").agg(F.min(F.when(F.col("price_amount") > 0, F.col("price_amount"))).alias("least")), "treatment_id")
+    wanted = offers.join(known.select("treatment_id").distinct(), "treatment_id", "left_semi")
+    by_term = known.join(wanted.groupBy("treatment_id", "location_id").agg(F.min(F.when(F.col("price_amount") > 0, F.col("price_amount"))).alias("least")), "treatment_id")
     by_term = by_term.join(places.select(F.col("id").alias("location_id")), "location_id", "left_semi").select("q", "treatment_id", "location_id", "least")
-    other = queries.join(known.select("q"), "q", "left_anti").select("q", F.explode(F.array_distinct(text.tokens(F.col("q")))).alias("word"), F.size(F.array_distinct(text.tokens(F.col("q")))).alias("n"))
-    held = places.select(F.col("id").alias("location_id"), F.explode(F.array_distinct(text.tokens(F.concat_ws(" ", "name", "locality", "country_code")))).alias("word"))
-    by_words = other.join(held, "word").groupBy("q", "n", "location_id").agg(F.count("*").alias("hits")).where("hits = n")
+    # A place that holds all words of a query holds its rarest word: only there they meet.
+    other = queries.join(known.select("q"), "q", "left_anti").select("q", F.array_distinct(text.tokens(F.col("q"))).alias("asked"))
+    held = places.select(F.col("id").alias("location_id"), F.array_distinct(text.tokens(F.concat_ws(" ", "name", "locality", "country_code"))).alias("held")).withColumn("word", F.explode("held"))
+    words = other.withColumn("word", F.explode("asked"))
+    counted = held.join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = words.join(counted, "word").groupBy("q", "asked").agg(F.count("*").alias("known"), F.min(F.struct("n", "word")).alias("x")).where(F.col("known") == F.size("asked"))
+    by_words = rarest.select("q", "asked", "x.word").join(held, "word").where(F.size(F.array_except("asked", "held")) == 0)
     return by_term.unionByName(by_words.select("q", F.lit(None).cast("bigint").alias("treatment_id"), "location_id", F.lit(None).cast(by_term.schema["least"].dataType).alias("least")))
 
 
