@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from brightfield.functions import geo, pricing
 from brightfield.operators.components import written
 from brightfield.registry import query
-from brightfield.roles import active, locations, offerings, read, sql, treatments
+from brightfield.roles import active, dealt, locations, offerings, read, sql, treatments
 
 PAGE_SIZE = 18
 LADDER = (25, 50, 100)
@@ -230,10 +230,13 @@ def a10_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a11_supply_by_root", sql(_CLOSURE + " SELECT root, count(DISTINCT location_id) AS locations, count(*) AS offerings FROM closure JOIN offerings ON treatment_id = closure.id GROUP BY root", "treatments", "offerings", recursive=True))
 def a11_supply(spark: SparkSession, d: str) -> DataFrame:
-    """Offerings of a treatment and place are counted before they meet the tree."""
-    pairs = closure(treatments(spark, d).select("id", "parent_id")).withColumnRenamed("id", "treatment_id")
-    counts = offerings(spark, d).groupBy("treatment_id", "location_id").agg(F.count("*").alias("n"))
-    per_place = pairs.join(counts, "treatment_id").groupBy("root", "location_id").agg(F.sum("n").alias("n"))
+    """Offerings of a treatment and place are counted before they meet the tree; every step's tasks are dealt out by its rows."""
+    tree, o = treatments(spark, d).select("id", "parent_id"), offerings(spark, d).select("treatment_id", "location_id")
+    pairs = closure(tree).withColumnRenamed("id", "treatment_id")
+    rows = read(spark, d, "lineitem").count()
+    counts = dealt(o, rows, "treatment_id", "location_id").groupBy("treatment_id", "location_id").agg(F.count("*").alias("n"))
+    spread = rows * pairs.count() // max(1, tree.count())  # as many roots for an offering as for a treatment, on the average
+    per_place = dealt(pairs.join(counts, "treatment_id").select("root", "location_id", "n"), spread, "root", "location_id").groupBy("root", "location_id").agg(F.sum("n").alias("n"))
     return per_place.groupBy("root").agg(F.count("*").alias("locations"), F.sum("n").alias("offerings"))
 
 
