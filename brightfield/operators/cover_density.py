@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brightfield.functions import text
+from brightfield.operators.components import written
 
 #: The weights of a word's label.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -76,7 +77,7 @@ def ranked_matches(documents: DataFrame, queries: DataFrame, id_column: str = "i
     words = query_words(queries, keys)
     placed = documents.select(F.col(id_column).alias("id"), F.posexplode("words").alias("position", "x")).select("id", "position", "x.word", "x.weight")
     hits = placed.join(words.select("word").distinct(), "word", "left_semi")
-    per_word = hits.groupBy("id", "word").agg(F.collect_list(F.struct("position", "weight")).alias("places"))
+    per_word = written(hits.groupBy("id", "word").agg(F.collect_list(F.struct("position", "weight")).alias("places")), "words")  # texts are read once
     held = per_word.select("id", "word").join(words, "word").groupBy(*keys, "parts", "id").agg(F.collect_set("part").alias("held"))
     matched = held.where((F.size("held") == F.col("parts")) & ~F.array_contains("held", _EXCLUDED)).select(*keys, "parts", "id")
     by_document = per_word.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("places"))

@@ -50,3 +50,7 @@ def test_places_are_found_by_the_rarest_word(spark):
 
 def test_decisions_are_written_once(spark):
     assert any("brightfield-offerings" in f for f in catalog.queries()["x3_offering_decisions"](spark, SF).inputFiles())
+
+
+def test_texts_are_read_once(spark):
+    assert not any("documents.parquet" in f for f in catalog.queries()["n21_n22_full_text"](spark, SF).inputFiles())
