@@ -59,7 +59,7 @@ def nearby_namesakes(places: DataFrame, km: float, percent: int) -> DataFrame:
     cell = F.xxhash64("row", "col", F.coalesce("country_code", F.lit(""))).alias("cell")  # of countries and distances only those that agree stay
     left = geo.around_cells(known, "latitude", "longitude", km).select("id", cell, "grams")
     pairs = similar_pairs(left, geo.in_cell(known, "latitude", "longitude", km).select("id", cell, "grams"), percent, on=("cell",))
-    of = lambda k: reps.select(F.col("id").alias(k), F.coalesce("country_code", F.lit("")).alias(f"country_{k}"), F.col("copies").alias(f"copies_{k}"), F.col("latitude").alias(f"lat_{k}"), F.col("longitude").alias(f"lon_{k}"), text.slug(F.col("name")).alias(f"slug_{k}"))
+    of = lambda k: reps.select(F.col("id").alias(k), F.coalesce("country_code", F.lit("")).alias(f"country_{k}"), F.col("copies").alias(f"copies_{k}"), F.col("latitude").alias(f"lat_{k}"), F.col("longitude").alias(f"lon_{k}"), text.slug(F.col("name")).alias(f"slug_{k}")).hint("merge")
     pairs = pairs.withColumn("similarity", jaccard_of(pairs)).join(of("a"), "a").join(of("b"), "b").where("country_a = country_b")
     pairs = pairs.withColumn("metres", geo.metres(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).where(F.col("metres") <= km * 1000)
     bare = lambda k: F.regexp_replace(f"slug_{k}", "-[0-9]+$", "")
